@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkwell.llm import site_lines, term_stats, term_weight
+from inkwell.llm import encoding, mixing, packing, site_lines, splitting, term_stats, term_weight, tokens
 from inkwell.llm.common import lines_of
 from inkwell.sources.tables import entries, load, page_rows
 from inkwell.storage import materialize
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_restored(spark, folder).select("doc_id", "line_no")
+
+
+def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.garbled_lines(load(spark, folder, "trec_line"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines.repeated_lines(load(spark, folder, "trec_line"), page_rows(load(spark, folder, "page_table")))
 
@@ -43,13 +52,61 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return term_stats.marked_terms(_valid_entries(spark, folder)).selectExpr("word", "explode(marks) AS mark")
 
 
+def _limits(spark: SparkSession, folder: str, prefix: str) -> list[tuple[str, int, int]]:
+    """The caller's limits, a few rows: name, tokens, overlap."""
+    rows = load(spark, folder, "token_limit").where(F.col("limit_name").startswith(prefix)).orderBy("limit_name").collect()
+    return [(r["limit_name"], r["max_tokens"], r["overlap_tokens"] or 0) for r in rows]
+
+
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return materialize(tokens.sizes(load(spark, folder, "documents"), keep=("source",)), "sizes")
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    limits = [(n, c) for n, c, _ in _limits(spark, folder, "pack_")]
+    return packing.pack(_sizes(spark, folder), limits)
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    limits = [(n, c) for n, c, _ in _limits(spark, folder, "pack_")]
+    return packing.fill(packing.pack(_sizes(spark, folder), limits), limits)
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(_sizes(spark, folder), load(spark, folder, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    sized, targets = _sizes(spark, folder), load(spark, folder, "mix_target")
+    return mixing.shares(materialize(mixing.mixture(sized, targets), "mixture"), sized, targets)
+
+
+def p9_shares_corpus_size(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for a mixture of as many tokens as the corpus, where scarce sources stay short."""
+    sized, targets = _sizes(spark, folder), load(spark, folder, "mix_target")
+    total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    return mixing.shares(materialize(mixing.mixture(sized, targets, total), "mixture"), sized, targets)
+
+
+def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split_documents(load(spark, folder, "documents"), _limits(spark, folder, "piece_"))
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_restored": p1_restored,
     "p3_found": p3_found,
     "p3_clean_lines": p3_clean_lines,
     "p4_found": p4_found,
     "p4_scores": p4_scores,
     "p5_found": p5_found,
     "p5_lexicon": p5_lexicon,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p9_shares_corpus_size": p9_shares_corpus_size,
+    "p10_pieces": p10_pieces,
 }
 
 _ENTRIES = """
