@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import encoding, mixing, packing, site_lines, splitting, term_stats, term_weight, tokens
+from inkwell.llm import encoding, mixing, packing, site_lines, spam, splitting, term_stats, term_weight, tokens
 from inkwell.llm.common import lines_of
 from inkwell.sources.tables import entries, load, page_rows
 from inkwell.storage import materialize
@@ -52,6 +52,22 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return term_stats.marked_terms(_valid_entries(spark, folder)).selectExpr("word", "explode(marks) AS mark")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.spam_pages(load(spark, folder, "trec_line"))
+
+
+def p6_measures(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.verdicts(materialize(spam.looked_at(load(spark, folder, "trec_line")).drop("text", "hidden"), "pages"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.furniture(load(spark, folder, "trec_line"))
+
+
+def p7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.main_texts(load(spark, folder, "trec_line"))
+
+
 def _limits(spark: SparkSession, folder: str, prefix: str) -> list[tuple[str, int, int]]:
     """The caller's limits, a few rows: name, tokens, overlap."""
     rows = load(spark, folder, "token_limit").where(F.col("limit_name").startswith(prefix)).orderBy("limit_name").collect()
@@ -101,6 +117,10 @@ QUERIES = {
     "p4_scores": p4_scores,
     "p5_found": p5_found,
     "p5_lexicon": p5_lexicon,
+    "p6_found": p6_found,
+    "p6_measures": p6_measures,
+    "p7_found": p7_found,
+    "p7_main_text": p7_main_text,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
     "p9_mixture": p9_mixture,
