@@ -24,7 +24,6 @@ HIDDEN = {"nav": "nav", "crumb": "nav", "consent": "form", "byline": "address",
 MENU_SHARE = 0.4  # entries of a bar that must be menu words
 MOST_ITEMS = 12  # unnumbered titles that a box may have
 
-_SPACE = re.compile(r"\s+")
 _COUNT = re.compile(r" \(\d+\)$")
 _BAR = re.compile(r" ?[·•|/»›>] ?| [-–] |\s{2,}|\t")
 _END = re.compile(r"[.!?…。！？][\"'”“’»)\]]*$")
@@ -47,7 +46,7 @@ def _cues():
 
 def flat(text: str | None) -> str:
     """One line with single spaces; text that was UTF-8 read in another encoding throughout is taken back."""
-    text = _SPACE.sub(" ", text or "").strip()
+    text = " ".join((text or "").split())
     if _ODD.search(text):
         for t in hypotheses().values():
             if t.wide and (before := t.undo(text)):
@@ -91,8 +90,8 @@ def _role(raw: str, line: str) -> str | None:
     for part, kind in holds:
         if part in low:
             return kind
-    if len(line) > 160:  # neither bar nor title
-        return "nav" if _menu_bar(raw, line, entries, words) else None
+    if len(line) > 160:  # neither prompt nor title
+        return "nav" if not _END.search(line) and _menu_bar(raw, line, entries, words) else None
     bare = _COUNT.sub("", low)
     if bare in entries:
         return "nav"

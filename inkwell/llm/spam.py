@@ -30,7 +30,6 @@ FUNCTION_PART = 0.4  # of the ordinary share of function words in the page's lan
 ORDINARY_SENTENCES = 3  # sentences of a page that the ordinary share is measured on
 
 _WORD = re.compile(r"\w+")
-_SENTENCE = re.compile(r"[^.!?…]+[.!?…]+")
 _LINK = re.compile(r"https?://\S+|www\.\S+|\]\(")
 _TAG = re.compile(r"^SKU \d|\d+[.,]\d\d$|\(\d+\)$|(#\w+ ?){2,}|^tags? ", re.IGNORECASE)
 _SIGN = re.compile(r"[|,;#/·•-]")
@@ -40,9 +39,13 @@ _END = re.compile(r"[.!?…]+(?=[\s\"'”“’»)\]]|$)")
 
 
 @lru_cache(1)
-def _function() -> tuple[frozenset[str], dict[str, frozenset[str]]]:
-    by_lang = lexicon.function_words()
-    return frozenset().union(*by_lang.values()), by_lang
+def _function() -> tuple[frozenset[str], dict[str, list[str]]]:
+    """All function words, and the languages of each."""
+    langs: dict[str, list[str]] = {}
+    for lang, words in lexicon.function_words().items():
+        for w in words:
+            langs.setdefault(w, []).append(lang)
+    return frozenset(langs), langs
 
 
 MEASURES = ["words", "sentences", "function", "top", "pairs", "links", "tags", "separators", "lines", "n_lines"]
@@ -65,12 +68,12 @@ def measure(texts: list[str]) -> dict[str, int | str]:
         out["words"] += len(own)
         if len(own) > 4 and 10 * len(mine) >= len(own):
             ends = len(_END.findall(text))
-            if 1 < ends < 4:
-                ends = sum(_ordinary(_WORD.findall(x.lower()), any_function) for x in _SENTENCE.findall(text))
-            elif ends == 1:
-                ends = int(_ordinary(own, any_function))
-            out["sentences"] += ends
-    by_lang = {lang: sum(used[w] for w in known) for lang, known in function.items()}
+            if ends and 3 * len(set(own)) >= (2 if ends == 1 else 1) * len(own):  # the same words again and again are no sentences
+                out["sentences"] += ends
+    by_lang = dict.fromkeys(lexicon.FUNCTION, 0)
+    for w, n in used.items():
+        for lang in function[w]:
+            by_lang[lang] += n
     lang = max(by_lang, key=lambda x: (by_lang[x], x))
     out["function"], out["n_lines"] = by_lang[lang], len(texts)
     lang = lang if by_lang[lang] else ""
@@ -92,10 +95,6 @@ def measure(texts: list[str]) -> dict[str, int | str]:
     return {"lang": lang, **out}
 
 
-def _ordinary(own: list[str], function: frozenset[str]) -> bool:
-    return len(own) > 4 and 10 * sum(w in function for w in own) >= len(own) and 3 * len(set(own)) >= 2 * len(own)
-
-
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(m, pa.int64()) for m in MEASURES],
                      ("hidden", pa.list_(pa.int32())), ("text", pa.string())])
 _DDL = "doc_id bigint, lang string, " + ", ".join(f"{m} bigint" for m in MEASURES) + ", hidden array<int>, text string"
