@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,12 +42,13 @@ TWIN_ROWS = 3  # rows that a twin must have, and times those of the garbled form
 #: Least gain in log-likelihood: of a multi-byte and a single-byte transformation, learned and not, and on a garbled page.
 GAIN = {"wide": 1.0, "wide_unlearned": 8.0, "single": 7.0, "single_unlearned": 16.0, "wide_page": 0.3, "single_page": 1.5, "marked": 1.0}
 CHANCE = 4.0  # added per word that a multi-byte transformation takes back: other words hardly ever decode
-MARKER = 0.6  # a character of which so large a part stands in surely garbled lines marks others
+UNLEARNED_CHARACTERS = 3  # different characters of a word that show a single-byte transformation without learned pairs
+RARER = 0.05  # a character isn't taken back to one that occurs so many times less often
+MARKER = 0.93  # a character of which so large a part stands in surely garbled lines marks others
 
 REPLACED = "�"
 _OUTSIDE = re.compile("[^\x00-\x7f]")
 _OUTSIDE_RUN = re.compile("[^\x00-\x7f]+")
-_TWO = re.compile("[^\x00-\x7f]{2}")
 _LETTERS = re.compile("[A-Za-z]")
 
 UNI, BI, TRI = 1 << 16, 1 << 18, 1 << 20  # slots of the model's count tables; their size doesn't depend on the data
@@ -123,10 +126,16 @@ def _slots(a, b, c):
     return UNI + pair, UNI + BI + (((a << 42 | b << 21 | c) * mix & low) >> 44)
 
 
-def _count_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_STATISTICS = "slot int, skeleton string, form string, n bigint"
+
+
+def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of characters, pairs and triples by slot, and of forms: words with two ASCII letters, lines mostly of other letters."""
     total = np.zeros(UNI + BI + TRI, dtype=np.int64)
+    forms: Counter[str] = Counter()
     for batch in batches:
-        text = "  ".join(["", *batch.column(0).to_pylist(), ""])
+        lines = batch.column(0).to_pylist()
+        text = "  ".join(["", *lines, ""])
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         a, b, c = codes[:-2], codes[1:-1], codes[2:]
         total[:UNI] += np.bincount((b & np.uint64(UNI - 1)).astype(np.int64), minlength=UNI)
@@ -134,13 +143,36 @@ def _count_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         near = (a > 127) | (b > 127) | (c > 127)
         total += np.bincount(pair, minlength=total.size)
         total += np.bincount(triple[near], minlength=total.size)
+        for line in lines:
+            forms.update([w for w in line.split(" ") if not w.isascii() and len(w) < 64])
+            other = len(line.encode()) - len(line)
+            if 2 * other > len(line) - line.count(" "):
+                forms[line] += 1
+        if len(forms) > 200_000:
+            yield _forms(forms)
+            forms.clear()
+    yield _forms(forms)
     used = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
+    none = pa.nulls(len(used), pa.string())
+    yield pa.record_batch([pa.array(used.astype(np.int32)), none, none, pa.array(total[used])], names=["slot", "skeleton", "form", "n"])
+
+
+def _forms(forms: Counter[str]) -> pa.RecordBatch:
+    kept = [(k, f, n) for f, n in forms.items() if len(_LETTERS.findall(k := skeleton(f))) > 1]
+    columns = list(zip(*kept)) or [[], [], []]
+    return pa.record_batch([pa.nulls(len(kept), pa.int32()), *(pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int64())))],
+                           names=["slot", "skeleton", "form", "n"])
 
 
-def character_counts(text: DataFrame) -> np.ndarray:
+def statistics(text: DataFrame) -> DataFrame:
+    """``slot, skeleton, form, n``: both kinds of counts from one pass over the lines (``slot`` or ``form`` is null)."""
+    counted = text.mapInArrow(_statistics, _STATISTICS).groupBy("slot", "skeleton", "form").agg(F.sum("n").alias("n"))
+    return materialize(counted, "statistics")
+
+
+def character_counts(counted: DataFrame) -> np.ndarray:
     """Counts of single characters, pairs and triples over all lines, in tables of fixed size (5 MB)."""
-    rows = text.mapInArrow(_count_characters, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    rows = counted.where("slot IS NOT NULL").select("slot", "n").toArrow()
     counts = np.zeros(UNI + BI + TRI, dtype=np.float32)
     counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return counts
@@ -155,61 +187,38 @@ class CharacterModel:
         self._n, self._total, self._known = counts, float(counts[:UNI].sum()) + 1, {}
 
     def _step(self, a: int, b: int, c: int) -> float:
+        """log p(c | a, b), where a of 0 is unknown."""
         n, k = self._n, self.STRENGTH
         pair, triple = _slots(a, b, c)
         p = (n[c & (UNI - 1)] + 0.02) / self._total
         p = (n[pair] + k * p) / (n[b & (UNI - 1)] + k)
-        if a >= 0:
+        if a:
             p = (n[triple] + k * p) / (n[_slots(0, a, b)[0]] + k)
         return math.log(p)
 
     def score(self, word: str) -> float:
-        codes = [-1, 32, *map(ord, word), 32]
+        text = "\0 " + word + " "
         total, known = 0.0, self._known
-        for i in range(2, len(codes)):
-            a, b, c = key = tuple(codes[i - 2 : i + 1])
-            if a > 127 or b > 127 or c > 127:
+        for i in range(3, len(text) + 1):
+            key = text[i - 3 : i]
+            if not key.isascii():
                 step = known.get(key)
                 if step is None:
-                    step = known[key] = self._step(a, b, c) if a >= 0 else self._first(b, c)
+                    step = known[key] = self._step(*map(ord, key))
                 total += step
         return total
 
-    def _first(self, b: int, c: int) -> float:
-        n, k = self._n, self.STRENGTH
-        p = (n[c & (UNI - 1)] + 0.02) / self._total
-        return math.log((n[_slots(0, b, c)[0]] + k * p) / (n[b & (UNI - 1)] + k))
-
 
 # -- learning from near-twins ----------------------------------------------------------------------------------
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of two ASCII letters or more, and lines mostly of other letters, with their skeletons and rows."""
-    for batch in batches:
-        seen: Counter[str] = Counter()
-        for line in batch.column(0).to_pylist():
-            other = len(_OUTSIDE.findall(line))
-            if 2 * other > len(line) - line.count(" ") and len(_LETTERS.findall(line)) > 1:
-                seen[line] += 1
-            for word in line.split(" "):
-                if not word.isascii() and len(word) < 64 and len(_LETTERS.findall(word)) > 1:
-                    seen[word] += 1
-        forms = list(seen)
-        yield pa.record_batch(
-            [pa.array([skeleton(f) for f in forms]), pa.array(forms), pa.array([seen[f] for f in forms], pa.int64())],
-            names=["skeleton", "form", "n"],
-        )
-
-
-def twins(text: DataFrame) -> DataFrame:
+def twins(counted: DataFrame) -> DataFrame:
     """``skeleton, form, n, twin, n_twin``: every form with the most frequent form of its skeleton.
 
     Forms are counted before they meet, so a skeleton costs one row per form,
     however many lines have it; ties go to the larger text.
     """
-    forms = text.mapInArrow(_units, "skeleton string, form string, n bigint").groupBy("skeleton", "form").agg(F.sum("n").alias("n"))
-    forms = materialize(forms, "forms")
+    forms = counted.where("form IS NOT NULL").select("skeleton", "form", "n")
     top = forms.groupBy("skeleton").agg(F.max(F.struct("n", "form")).alias("t"))
     top = top.select("skeleton", F.col("t.form").alias("twin"), F.col("t.n").alias("n_twin"))
     return forms.join(top, "skeleton")
@@ -231,27 +240,55 @@ def explain(form: str, twin: str) -> list[str]:
     ]
 
 
+_MAPPINGS = pa.schema([("names", pa.string()), ("garbled", pa.string()), ("clean", pa.string()), ("pairs", pa.int64())])
+
+
 def _support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found: Counter[tuple[str, str, str]] = Counter()
+        found: Counter[tuple[str, str | None, str | None]] = Counter()
         for form, twin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for name in explain(form, twin):
+            if names := explain(form, twin):
+                key = " ".join(names)
+                found[key, None, None] += 1
                 for g, c in zip(_gaps(form), _gaps(twin), strict=True):
-                    width = len(g) // len(c)  # gaps of one kind of character split evenly; others stay whole
-                    even = width * len(c) == len(g) and all(hypotheses()[name].undo(g[i * width : (i + 1) * width]) == x for i, x in enumerate(c))
-                    for i, x in enumerate(c) if even else [(0, c)]:
-                        found[name, g[i * width : (i + 1) * width] if even else g, x] += 1
-        yield pa.RecordBatch.from_pylist(
-            [{"name": k[0], "garbled": k[1], "clean": k[2], "pairs": v} for k, v in found.items()],
-            schema=pa.schema([("name", pa.string()), ("garbled", pa.string()), ("clean", pa.string()), ("pairs", pa.int64())]),
-        )
+                    width = len(g) // len(c)  # a gap whose characters all became equally long splits into them
+                    even = [g[i * width : (i + 1) * width] for i in range(len(c))]
+                    whole = "".join(even) == g and all(hypotheses()[names[0]].undo(e) == x for e, x in zip(even, c))
+                    for e, x in zip(even, c) if whole else [(g, c)]:
+                        found[key, e, x] += 1
+        yield pa.RecordBatch.from_pylist([dict(zip(_MAPPINGS.names, (*k, v))) for k, v in found.items()], schema=_MAPPINGS)
 
 
 def learned_mappings(pairs: DataFrame, twin_rows: int = TWIN_ROWS) -> DataFrame:
-    """``name, garbled, clean, pairs``: character mappings of each transformation and the twin pairs that show them."""
+    """``names, garbled, clean, pairs``: character mappings, the transformations that make them, and the twin pairs that show them.
+
+    Rows with null characters count whole pairs.
+    """
     unlike = pairs.where((F.col("form") != F.col("twin")) & (F.col("n_twin") >= twin_rows) & (F.col("n_twin") >= twin_rows * F.col("n")))
-    shown = unlike.select("form", "twin").mapInArrow(_support, "name string, garbled string, clean string, pairs bigint")
-    return shown.groupBy("name", "garbled", "clean").agg(F.sum("pairs").alias("pairs"))
+    shown = unlike.select("form", "twin").mapInArrow(_support, "names string, garbled string, clean string, pairs bigint")
+    return shown.groupBy("names", "garbled", "clean").agg(F.sum("pairs").alias("pairs"))
+
+
+def fewest(explained: dict[str, int], min_support: int = MIN_SUPPORT) -> dict[str, int]:
+    """Few transformations that explain the pairs, each with the pairs that only it of those explains (greedy cover).
+
+    ``explained`` counts pairs by the names, separated by spaces, that explain
+    them: encodings that differ in rare characters explain mostly the same.
+    """
+    left = {frozenset(k.split(" ")): n for k, n in explained.items()}
+    order = {name: i for i, name in enumerate(hypotheses())}
+    chosen: dict[str, int] = {}
+    while left:
+        gains: Counter[str] = Counter()
+        for names, n in left.items():
+            for name in names:
+                gains[name] += n
+        best = min(gains, key=lambda x: (-gains[x], order[x]))
+        if gains[best] < min_support:
+            break
+        chosen[best] = gains[best]
+        left = {k: n for k, n in left.items() if best not in k}
+    return chosen
 
 
 # -- applying --------------------------------------------------------------------------------------------------
@@ -260,17 +297,36 @@ def learned_mappings(pairs: DataFrame, twin_rows: int = TWIN_ROWS) -> DataFrame:
 class Restorer:
     """Finds the transformation under which a line becomes most usual, and undoes it."""
 
-    def __init__(self, counts: np.ndarray, support: dict[str, int], min_support: int = MIN_SUPPORT):
-        self.model, self.support, self.min_support = CharacterModel(counts), support, min_support
-        alphabet_floor = max(2.0, 2e-6 * float(counts[:UNI].sum()))
-        self._usual = frozenset(chr(c) for c in np.flatnonzero(counts[:UNI] >= alphabet_floor) if c > 127) - {REPLACED}
-        order = sorted(hypotheses().values(), key=lambda t: -support.get(t.name, 0))
-        self._wide = [t for t in order if t.wide]
-        self._single = [(t, t.domain & frozenset(g for g in t.domain if t.undo(g) in self._usual)) for t in order if not t.wide]
-        self._known: dict[str, list[tuple[str, float, str]]] = {}
-
-    def word(self, word: str) -> list[tuple[str, float, str]]:
-        """(transformation, gain, text before) of each way in which a word can have been garbled."""
+    LEAST = 0.3  # gain of a run of words below which a line is not looked at further
+
+    def __init__(self, counts: np.ndarray, support: dict[str, int]):
+        self.model, self.support = CharacterModel(counts), support
+        floor = max(2.0, 2e-6 * float(counts[:UNI].sum()))
+        seen = [chr(c) for c in np.flatnonzero(counts[:UNI]) if c > 127 and not 0xD800 <= c < 0xE000]
+        usual = {c for c in seen if counts[ord(c)] >= floor and unicodedata.category(c) not in ("Cc", "Co", "Cn")} - {REPLACED}
+        self._usual = frozenset(usual)
+        # what a single-byte mix-up hides are letters and signs of running text, not frames and blocks
+        plain = {c for c in usual if unicodedata.category(c)[0] in "LP" or "\u00a0" <= c <= "\u00ff" or c in "€™№−"}
+        self._order = sorted(hypotheses().values(), key=lambda t: (-support.get(t.name, 0), t.name))
+        self._rank = {t.name: i for i, t in enumerate(self._order)}
+        self._wide = [(t, t._byte) for t in self._order if t.wide]
+        self._single = [t for t in self._order if not t.wide]
+        self._tables = [{ord(c): x for c in t.domain if (x := t.undo(c)) is not None} for t in self._single]
+        # per character, as bits: mix-ups that it can stem from, and those that change it
+        self._able, self._moves = dict.fromkeys(seen, 0), dict.fromkeys(seen, 0)
+        for i, (t, table) in enumerate(zip(self._single, self._tables, strict=True)):
+            for c in seen:
+                x = table.get(ord(c))
+                if x is not None and x in plain and counts[ord(x)] >= RARER * counts[ord(c)]:
+                    self._able[c] |= 1 << i
+                    self._moves[c] |= 1 << i
+                elif x is None and c in t._byte:
+                    self._able[c] |= 1 << i
+        self._learned = sum(1 << i for i, t in enumerate(self._single) if support.get(t.name, 0) >= MIN_SUPPORT)
+        self._known: dict[str, list[tuple[int, float, str]]] = {}
+
+    def word(self, word: str) -> list[tuple[int, float, str]]:
+        """(number of the transformation, gain, text before) of each way in which a word can have been garbled."""
         ways = self._known.get(word)
         if ways is None:
             ways = self._ways(word)
@@ -278,47 +334,65 @@ class Restorer:
                 self._known[word] = ways
         return ways
 
-    def _ways(self, word: str) -> list[tuple[str, float, str]]:
+    def _ways(self, word: str) -> list[tuple[int, float, str]]:
         own = set(_OUTSIDE.findall(word))
-        possible = [t for t, domain in self._single if own & domain and own <= t._byte.keys()]
-        if _TWO.search(word):
-            possible += [t for t in self._wide if own <= t.domain]
-        ways, base = [], None
-        for t in possible:
-            before = t.undo(word)
-            if before is None or before == word or not all(c in self._usual for c in _OUTSIDE.findall(before)):
-                continue
-            if base is None:
-                base = self.model.score(word)
-            ways.append((t.name, self.model.score(before) - base + (CHANCE if t.wide else 0.0), before))
-        return ways
+        mask, moves = -1, 0
+        for c in own:
+            mask &= self._able.get(c, 0)
+            moves |= self._moves.get(c, 0)
+        mask &= moves if len(own) >= UNLEARNED_CHARACTERS else moves & self._learned
+        befores: dict[str, list[int]] = {}
+        while mask:
+            low = mask & -mask
+            mask ^= low
+            i = low.bit_length() - 1
+            befores.setdefault(word.translate(self._tables[i]), []).append(self._rank[self._single[i].name])
+        ways = []
+        run = _OUTSIDE_RUN.search(word)[0]
+        if len(run) > 1:
+            for t, byte in self._wide:
+                # the first run must begin like a sequence of bytes
+                if 0xC1 < byte.get(run[0], 0) < 0xF5 and 0x7F < byte.get(run[1], 0) < 0xC0 and own <= t.domain:
+                    before = t.undo(word)
+                    if before and self._usual.issuperset(_OUTSIDE.findall(before)):
+                        ways.append((self._rank[t.name], before))
+        if not befores and not ways:
+            return []
+        base, score = self.model.score(word), self.model.score
+        out = [(i, score(before) - base + CHANCE, before) for i, before in ways]
+        for before, which in befores.items():
+            gain = score(before) - base
+            out += [(i, gain, before) for i in which]
+        return out
 
     def line(self, line: str) -> tuple[str | None, float, str | None]:
-        """Best transformation (None if none gains), its gain, and the line with it undone in its best run of words."""
+        """Best transformation (None if none gains), its gain, and the line with it undone in its best run of words.
+
+        A word that a transformation can't have made ends its run.
+        """
         words = line.split(" ")
         ways = [(i, self.word(w)) for i, w in enumerate(words) if not w.isascii()]
-        best = (None, 0.0, None)
-        names = {n for _, x in ways for n, gain, _ in x if gain > 0}
-        if not names:
-            return best
-        for name in sorted(names, key=lambda n: (-self.support.get(n, 0), n)):
-            total = start = 0
-            run = None
-            sum_ = 0.0
-            for k, (_, x) in enumerate(ways):
-                gain = next((g for n, g, _ in x if n == name), None)
-                # a word that this way can't have made ends the run, unless it is of no weight
-                sum_ += gain if gain is not None else -4.0
+        most: dict[int, float] = {}
+        for _, x in ways:
+            for k, gain, _ in x:
+                if gain > 0:
+                    most[k] = most.get(k, 0.0) + gain
+        best, total, run = None, self.LEAST, None
+        for k in sorted(most):
+            if most[k] <= total:
+                continue
+            sum_, start = 0.0, 0
+            for j, (_, x) in enumerate(ways):
+                sum_ += next((g for n, g, _ in x if n == k), -4.0)
                 if sum_ <= 0:
-                    sum_, start = 0.0, k + 1
-                elif sum_ > total:
-                    total, run = sum_, (start, k)
-            if run and total > best[1] + 1e-9:
-                fixed = list(words)
-                for i, x in ways[run[0] : run[1] + 1]:
-                    fixed[i] = next((b for n, _, b in x if n == name), fixed[i])
-                best = (name, total, " ".join(fixed))
-        return best
+                    sum_, start = 0.0, j + 1
+                elif sum_ > total + 1e-9:
+                    best, total, run = k, sum_, (start, j)
+        if best is None:
+            return None, 0.0, None
+        for i, x in ways[run[0] : run[1] + 1]:
+            words[i] = next((b for n, _, b in x if n == best), words[i])
+        return self._order[best].name, total, " ".join(words)
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("line", pa.string()), ("name", pa.string()),
@@ -331,10 +405,17 @@ def _changed(line: str, restored: str | None) -> str | None:
     return None if restored is None else "".join(sorted(set(_OUTSIDE.findall(line)) - set(_OUTSIDE.findall(restored))))
 
 
+_in_worker: dict[str, tuple[Restorer, dict[str, tuple[str | None, float, str | None]]]] = {}
+
+
 def _apply(counts, support: dict[str, int]):
+    run_id = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(counts.value, support)
-        known: dict[str, tuple[str | None, float, str | None]] = {}
+        if run_id not in _in_worker:  # a Python worker does many tasks of a run and remembers words and lines
+            _in_worker.clear()
+            _in_worker[run_id] = (Restorer(counts.value, support), {})
+        restorer, known = _in_worker[run_id]
         for batch in batches:
             rows = []
             for doc_id, line_no, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -362,16 +443,14 @@ def garbled_lines(trec_line: DataFrame, min_support: int = MIN_SUPPORT) -> DataF
     looked at as a whole.
     """
     spark = trec_line.sparkSession
-    # NOT rlike on a negated class: true for null-free lines that hold a character outside ASCII
     rows = trec_line.where("doc_id IS NOT NULL AND line_no IS NOT NULL").select("doc_id", "line_no", "line")
-    rows = rows.where(F.col("line").rlike("[^\\x00-\\x7F]"))
-    text = rows.select("line")
-    counts = spark.sparkContext.broadcast(character_counts(text))  # tables of fixed size
-    pairs = twins(text)
-    mappings = learned_mappings(pairs)
-    # one row per hypothesis, of which there are under 200
-    support = {r["name"]: r["pairs"] for r in mappings.groupBy("name").agg(F.sum("pairs").alias("pairs")).collect()}
-    # repeats of a delivery are dropped afterwards, when few texts are left
+    rows = rows.where("octet_length(line) > length(line)")  # holds a character outside ASCII
+    counted = statistics(rows.select("line"))
+    counts = spark.sparkContext.broadcast(character_counts(counted))  # tables of fixed size
+    pairs = twins(counted)
+    # sets of hypotheses, of which there are under 200
+    sets = learned_mappings(pairs).where("garbled IS NULL").collect()
+    support = fewest({r["names"]: r["pairs"] for r in sets}, min_support)
     found = materialize(rows.mapInArrow(_apply(counts, support), _RESULT_DDL), "candidates")
     return _with_twins(_decided(found, counts.value, support, min_support), pairs)
 
@@ -395,7 +474,9 @@ def _decided(found: DataFrame, counts: np.ndarray, support: dict[str, int], min_
     )
     on_page = F.when(is_wide, GAIN["wide_page"]).otherwise(GAIN["single_page"])
     reading = F.concat(is_wide.cast("string"), F.element_at(F.split("name", ">"), -1))
-    once = found.groupBy("doc_id", "line_no").agg(
+    # a row delivered twice is one line
+    pages = found.select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+    once = found.where("name IS NOT NULL OR lost").groupBy("doc_id", "line_no").agg(
         F.max(F.struct("gain", "name", "line", "restored", "lost", "changed")).alias("x")
     ).select("doc_id", "line_no", "x.*")
     sure = F.coalesce(F.col("gain") >= need, F.lit(False))
@@ -403,10 +484,9 @@ def _decided(found: DataFrame, counts: np.ndarray, support: dict[str, int], min_
     marked = is_learned & (F.col("gain") >= GAIN["marked"]) & (F.col("changed") != "") & (F.translate("changed", marks, "") == "")
     once = once.withColumn("reading", reading).withColumn("strong", sure | F.coalesce(marked, F.lit(False)))
     # lines with other characters per page, and how many of them were surely read in each wrong way
-    pages = once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
     strong = once.where("strong").groupBy("doc_id", "reading").agg(F.count(F.lit(1)).alias("garbled"))
     usual = strong.join(pages, "doc_id").where("garbled >= 2 AND 2 * garbled >= lines").select("doc_id", "reading", F.lit(True).alias("page"))
-    kept = once.where("name IS NOT NULL OR lost").join(usual, ["doc_id", "reading"], "left")
+    kept = once.join(usual, ["doc_id", "reading"], "left")
     weak = F.col("page") & (F.col("gain") >= on_page)
     sure = F.col("strong") | F.coalesce(weak, F.lit(False))
     return kept.where(sure | F.col("lost")).select(
