@@ -196,7 +196,7 @@ def trec_parse(spark, folder):
         F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]+", "\n").alias("body"))
     path = f"{shared_dir(spark)}/inkwell/corpus-{uuid.uuid4().hex}"
     trec.write_corpus(docs, path)
-    return trec.read_corpus(spark, path).select("doc_id", "doc_no", "url", F.length("body").alias("n_chars"), F.xxhash64("body").alias("hash"))
+    return trec.read_corpus(spark, path).select("doc_id", "doc_no", "url", F.length("body").alias("n_chars"), F.md5("body").alias("md5"))
 
 
 QUERIES = {
@@ -362,4 +362,8 @@ SELECT word AS term, doc_id // 65536 AS run, word || ' ' || string_agg(doc_id ||
     "url_dictionary": "SELECT url, max(doc_id) AS doc_id FROM documents WHERE url IS NOT NULL GROUP BY url",
     "link_edges": f"WITH {_LINKS} SELECT src, dst FROM e",
     "pagerank_undivided": f"{_RANK} SELECT doc_id, rank FROM final",
+    "rank_lines": f"{_RANK} SELECT doc_id, regexp_replace(regexp_replace(printf('%.4f', rank), '0+$', ''), '[.]$', '') AS line FROM final",
+    "trec_parse": r"""WITH d AS (SELECT doc_id, 'D' || doc_id AS doc_no, coalesce(url, '') AS url,
+  regexp_replace(coalesce(text, ''), '[\r\n]+', chr(10), 'g') AS body FROM documents)
+SELECT doc_id, doc_no, url, length(body)::INT AS n_chars, md5(body) AS md5 FROM d""",
 }

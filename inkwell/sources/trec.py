@@ -49,7 +49,7 @@ def sections(numbered: DataFrame) -> DataFrame:
     # an empty section has neither url nor body
     texts = ids.select("doc_id", "open").join(texts.drop("open"), "doc_id", "left")
     docs = after_end.where("line = '<DOC>'").join(ids.select("n", "open"), "n", "left").where("open IS NULL OR at < open")
-    number = marked.select((F.col("at") - 1).alias("at"), F.regexp_extract("line", "^[^<>]*[<>]+([^<>]+)", 1).alias("doc_no"))
+    number = marked.select((F.col("at") - 1).alias("at"), F.regexp_extract("line", "^[<>]*[^<>]+[<>]+([^<>]+)", 1).alias("doc_no"))
     numbers = docs.select("at").join(number, "at")
     return _last_before(texts, numbers).select("doc_id", "doc_no", "url", F.coalesce("body", F.lit("")).alias("body"))
 
