@@ -163,20 +163,29 @@ def _pack_combinations(made: Plan, left: dict[int, int], put, gaps) -> None:
             a[k, p] += 1
     have = np.array([sum(left[n] for n in x) for x in classes], dtype=float)
     repeats = non_negative_least_squares(a, have)
+    order = sorted(left)
     for p in np.argsort(-repeats, kind="stable"):
         times = int(repeats[p] + 1e-9)
         if times < 1:
             break
-        pattern = patterns[p]
+        pattern = sorted(patterns[p], reverse=True)
         while times > 0:
-            # the longest items of each class that are left; a slot after another
+            # the longest items left of each class but the last, whose place takes the longest item of any class that fits
             taken: dict[int, int] = defaultdict(int)
-            for k in pattern:
-                length = next((n for n in reversed(classes[k]) if left.get(n, 0) > taken.get(n, 0)), None)
+            gap = capacity
+            for nth, k in enumerate(pattern):
+                if nth and nth == len(pattern) - 1:
+                    at = bisect.bisect_right(order, gap) - 1
+                    while at >= 0 and left.get(order[at], 0) <= taken.get(order[at], 0):
+                        at -= 1
+                    length = order[at] if at >= 0 else None
+                else:
+                    length = next((n for n in reversed(classes[k]) if n <= gap and left.get(n, 0) > taken.get(n, 0)), None)
                 if length is None:
                     taken.clear()
                     break
                 taken[length] += 1
+                gap -= length
             if not taken:
                 break
             n = min([times, *(left[x] // m for x, m in taken.items())])
@@ -185,7 +194,9 @@ def _pack_combinations(made: Plan, left: dict[int, int], put, gaps) -> None:
             times -= n
             for length, per in taken.items():
                 put(length, first, n, per)
-            gaps[capacity - sum(x * m for x, m in taken.items())].append([first, n])
+                if length not in left:
+                    del order[bisect.bisect_left(order, length)]
+            gaps[gap].append([first, n])
 
 
 def items(sized: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
