@@ -48,31 +48,38 @@ class Text:
         last, next_ = b[inner - 1], b[inner]
         strength = np.zeros(self.n + 1, dtype=np.int8)
         inside = strength[1:-1]
-        white_next = (next_ == 32) | ((next_ >= 9) & (next_ <= 13))
-        white_last = (last == 32) | ((last >= 9) & (last <= 13))
-        inside[white_next | white_last] = WORD
+        kind_next, kind_last = _KIND[next_], _KIND[last]
+        white_next, white_last = kind_next == _WHITE, kind_last == _WHITE
+        at_word = white_next | white_last
+        inside[at_word] = WORD
         # the character that ends the words before the boundary: one byte back, or two behind a space
         two = b[np.maximum(inner - 2, 0)]
-        closing = np.where(white_last, two, last)
-        at_word = inside == WORD
-        inside[at_word & np.isin(closing, _CLAUSE)] = CLAUSE
-        before = np.where(np.isin(closing, _QUOTE), b[np.maximum(inner - 2 - white_last, 0)], closing)
-        inside[at_word & np.isin(before, _SENTENCE)] = SENTENCE
+        closing = np.where(white_last, _KIND[two], kind_last)
+        inside[at_word & (closing == _CLAUSE)] = CLAUSE
+        quoted = np.flatnonzero(at_word & (closing == _QUOTE))
+        before = _KIND[b[np.maximum(inner[quoted] - 2 - white_last[quoted], 0)]]
+        inside[at_word & (closing == _SENTENCE)] = SENTENCE
+        inside[quoted[before == _SENTENCE]] = SENTENCE
         if len(data) != len(text):  # closing quotes and wide punctuation take three bytes
             third = b[np.maximum(inner - 3, 0)]
-            code = (third.astype(np.int32) << 16) | (two.astype(np.int32) << 8) | last
-            inside[np.isin(code, _WIDE_CLAUSE) & (inside < CLAUSE)] = CLAUSE
-            inside[np.isin(code, _WIDE_SENTENCE)] = SENTENCE
-            quoted = at_word & np.isin(code, _WIDE_QUOTE) & np.isin(b[np.maximum(inner - 4, 0)], _SENTENCE)
-            inside[quoted] = SENTENCE
+            wide = np.flatnonzero((third == 0xE2) | (third == 0xE3) | (third == 0xEF))
+            code = (third[wide].astype(np.int32) << 16) | (two[wide].astype(np.int32) << 8) | last[wide]
+            strong = _among(code, _WIDE_SENTENCE) | (at_word[wide] & _among(code, _WIDE_QUOTE) & (_KIND[b[np.maximum(inner[wide] - 4, 0)]] == _SENTENCE))
+            inside[wide[_among(code, _WIDE_CLAUSE) & (inside[wide] < CLAUSE)]] = CLAUSE
+            inside[wide[strong]] = SENTENCE
             inside[(next_ & 0xC0) == 0x80] = INSIDE
+            solid = ~white_last
+            solid[wide[_among(code, _WIDE_SPACE)]] = False
+            solid[(two == 0xC2) & ((last == 0xA0) | (last == 0x85))] = False
+        else:
+            solid = ~white_last
         line = (last == 10) & (next_ != 10) & (next_ != 13)
         inside[line] = LINE
         inside[line & ((two == 10) | ((two == 13) & (b[np.maximum(inner - 3, 0)] == 10)))] = PARAGRAPH
         self.strength = strength
         # boundaries that the tokenizer's own splitting can't cross: encoding a part that begins there gives the same tokens
         self.safe = np.ones(self.n + 1, dtype=bool)
-        self.safe[1:-1] = (white_next & ~white_last & (next_ != 11)) & (last < 128) | (last == 10) & (next_ > 32) & (next_ < 128)
+        self.safe[1:-1] = (white_next & solid) | ((last == 10) & (next_ > 32) & (next_ < 128))
         self.safe_end = self.safe.copy()
         self.safe_end[1:-1] &= ~white_last
 
@@ -104,6 +111,11 @@ class Text:
             start -= 1
         return start if self.strength[start] != INSIDE or start == 0 else end
 
+    def _strongest(self, low: int, high: int, target: int) -> int:
+        """The strongest boundary from ``low`` to ``high``, of equal ones the nearest to the target."""
+        away = np.abs(np.arange(low - target, high + 1 - target))
+        return low + int(np.argmax(self.strength[low : high + 1] * np.int64(1 << 32) - away))
+
     def cuts(self, pieces: int, limit: int, overlap: int) -> tuple[list[tuple[int, int]], bool]:
         """Spans of about equal length, and whether every cut is at a natural boundary."""
         n, spans, start, natural = self.n, [], 0, True
@@ -115,11 +127,11 @@ class Text:
             low = max(start + overlap + 1, target - reach, n - (pieces - j) * (limit - overlap))
             if low > high:
                 low = high = max(start + overlap + 1, min(start + limit, n - 1, max(low, 1)))
-            near = self.strength[low : high + 1]
-            away = np.abs(np.arange(low, high + 1) - target)
-            best = int(np.argmax(near * np.int64(1 << 32) - away))
-            cut = low + best
-            if near[best] == INSIDE:  # no whole character ends in reach: go back to one, else on to one
+            low, high = min(low, n - 1), min(high, n - 1)
+            cut = self._strongest(low, high, target)
+            if self.strength[cut] < WORD:  # none nearby: any that leaves the rest within its pieces
+                cut = self._strongest(min(low, max(start + overlap + 1, n - (pieces - j) * (limit - overlap))), max(high, min(start + limit, n - 1)), target)
+            if self.strength[cut] == INSIDE:  # no whole character ends in reach: go back to one, else on to one
                 while cut > start + 1 and self.strength[cut] == INSIDE:
                     cut -= 1
                 while cut < n and self.strength[cut] == INSIDE:
@@ -163,10 +175,25 @@ class Text:
         return [Piece(s, e, c, self.part(s, e)) for (s, e), c in zip(*found, strict=True)]
 
 
-_SENTENCE = np.frombuffer(b".!?", dtype=np.uint8)
-_CLAUSE = np.frombuffer(b",;:", dtype=np.uint8)
-_QUOTE = np.frombuffer(b"\"')]", dtype=np.uint8)
-_codes = lambda s: np.array([int.from_bytes(c.encode(), "big") for c in s])
+_WHITE, _SENTENCE, _CLAUSE, _QUOTE = 1, 2, 3, 4
+_KIND = np.zeros(256, dtype=np.int8)  # what a byte is
+for _kind, _bytes in ((_WHITE, b" \t\n\v\f\r"), (_SENTENCE, b".!?"), (_CLAUSE, b",;:"), (_QUOTE, b"\"')]")):
+    _KIND[list(_bytes)] = _kind
+
+
+def _codes(characters: str) -> list[int]:
+    return [int.from_bytes(c.encode(), "big") for c in characters]
+
+
+def _among(code: np.ndarray, values: list[int]) -> np.ndarray:
+    """Which of the codes are one of a few values."""
+    found = code == values[0]
+    for v in values[1:]:
+        found |= code == v
+    return found
+
+
+_WIDE_SPACE = _codes("\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 _WIDE_SENTENCE = _codes("。！？…｡")
 _WIDE_CLAUSE = _codes("、，；：")
 _WIDE_QUOTE = _codes("”’“」")

@@ -41,13 +41,13 @@ def test_cuts_prefer_strong_boundaries():
     assert max(sizes) <= 2 * min(sizes)
 
 
-@pytest.mark.parametrize("text", ["x" * 3000, "日本語の長い文章。これは文です、はい。" * 60, "🙂🎉♥" * 200, "a\n" * 500, " " * 400 + "end", "\r\n\r\nline" * 90])
+@pytest.mark.parametrize("text", ["x" * 3000, "日本語の長い文章。これは文です、はい。" * 60, "🙂🎉♥" * 200, "a\n" * 500, " " * 400 + "end", "мост был перенесён\u00a0и найден\u3000снова " * 60, "é \u2003 ü\u00a0\n" * 90, "\r\n\r\nline" * 90])
 def test_texts_without_usual_boundaries(text):
     for limit, overlap in ((20, 0), (32, 8), (100, 0)):
         check(text, limit, overlap)
 
 
-@given(st.text(st.sampled_from("ab c.!\n,é日。🙂\t"), min_size=1, max_size=400), st.integers(8, 40), st.integers(0, 3))
+@given(st.text(st.sampled_from("ab c.!\n,é日。🙂\tж\u00a0\u3000\u2009”"), min_size=1, max_size=400), st.integers(8, 40), st.integers(0, 3))
 @settings(deadline=None, max_examples=150)
 def test_any_text(text, limit, overlap):
     if splitting.Text(text).n > limit:
