@@ -26,13 +26,16 @@ MOST_ITEMS = 12  # unnumbered titles that a box may have
 
 _COUNT = re.compile(r" \(\d+\)$")
 _BAR = re.compile(r" ?[·•|/»›>] ?| [-–] |\s{2,}|\t")
-_END = re.compile(r"[.!?…。！？][\"'”“’»)\]]*$")
+_LAST = re.compile(r"[.!?…。！？][\"'”“’»)\]]*$")
 _NUMBERED = re.compile(r"^\d{1,2}\. ")
 _TEASER = re.compile(r"^(>>|»|→|►|▶) ")
 _ROW = re.compile(r"\S ?\| ?\S|\t")
 _LIST = re.compile(r"^([-*•‣–—] |\d+[.)] |\d+ ?(g|kg|ml|l|cl|dl)\b)")
 _TREE = re.compile(r"^[│├└─┌ ]{2,}")
 _URL = re.compile(r"https?://|www\.")
+#: Single-byte mix-ups that furniture is looked for under, and characters that such lines show.
+_SINGLE = ["cp1252>cp437", "cp1252>mac_roman", "cp1252>cp850", "cp1251>cp1252", "koi8_r>cp1251", "cp1250>cp1252", "iso8859_2>cp1252"]
+_STRANGE = re.compile("[Α-ω⌠⌡ⁿ∩≈≤≥²│┤╡-╬╧-╫╪█▄▌▐▀¸‚‰˙ÈÌÛÙ¿³¶±¹][a-zé]|[a-z][Α-ω⌠⌡ⁿ∩╡-╫¸‚‰˙ÈÌÛÙ¿³¶±¹]|[À-ÿ]{3}|[а-я][А-Я]|^[╘⌐└©╔]")
 _ODD = re.compile("[\u0080-\u009f¡-ª¬-¶¸-º¼-¿ÂÃÄÅÐÑâĂĹ├┬╬╨╤ÔÇ√‚][^\x00-\x7f\\s]|[РС][^\x00-\x7fА-яЁё\\s]")
 
 
@@ -40,20 +43,32 @@ _ODD = re.compile("[\u0080-\u009f¡-ª¬-¶¸-º¼-¿ÂÃÄÅÐÑâĂĹ├┬╬
 def _cues():
     shapes = "|".join(f"(?P<{kind}>{'|'.join(p)})" for kind, p in lexicon.SHAPES.items())
     entries = lexicon.menu_entries()
-    return (lexicon.whole_lines(), lexicon.beginnings(), lexicon.parts(), re.compile(shapes), re.compile(lexicon.NOTES),
+    return (lexicon.whole_lines(), lexicon.beginnings(), lexicon.parts(), re.compile(shapes), re.compile("|".join([f"(?P<byline>{lexicon.NOTES})", *(f"(?P<{k}>{'|'.join(p)})" for k, p in lexicon.RUNS_ON.items())])),
             entries, frozenset(w for x in entries for w in x.split()))
 
 
-def flat(text: str | None) -> str:
-    """One line with single spaces; text that was UTF-8 read in another encoding throughout is taken back."""
-    text = " ".join((text or "").split())
-    if _ODD.search(text):
-        for t in hypotheses().values():
-            if t.wide and (before := t.undo(text)):
-                return before
+def _ends(line: str) -> bool:
+    """Whether a line ends as a sentence does."""
+    return _LAST.search(line[-4:]) is not None
+
+
+def _taken_back(text: str) -> str:
+    """Text that was UTF-8 and read in another encoding throughout, maybe twice, as it was."""
+    for _ in range(2):
+        if text.isascii() or not _ODD.search(text):
+            break
+        before = next((b for t in hypotheses().values() if t.wide and t.times == 1 and (b := t.undo(text))), None)
+        if before is None:
+            break
+        text = before
     return text
 
 
+def flat(text: str | None) -> str:
+    """A line with single spaces, wrong encodings taken back."""
+    return " ".join(_taken_back(text or "").split())
+
+
 def _menu_bar(raw: str, line: str, entries: frozenset[str], words: frozenset[str]) -> bool:
     parts = [p.strip() for p in _BAR.split(raw.strip()) if p.strip()]
     if len(parts) > 2 and max(map(len, parts)) < 30:
@@ -61,7 +76,7 @@ def _menu_bar(raw: str, line: str, entries: frozenset[str], words: frozenset[str
         if known >= MENU_SHARE * len(parts) and known > 1:
             return True
     split = line.lower().split(" ")
-    return len(split) > 3 and not _END.search(line) and sum(w in words for w in split) >= 0.7 * len(split)
+    return len(split) > 3 and not _ends(line) and sum(w in words for w in split) >= 0.7 * len(split)
 
 
 _known: dict[str, tuple[str | None, str]] = {}
@@ -72,13 +87,26 @@ def role(raw: str | None) -> tuple[str | None, str]:
     raw = raw or ""
     got = _known.get(raw)
     if got is None:
-        line = flat(raw)
-        got = (_role(raw, line), line)
+        text = _taken_back(raw)
+        line = " ".join(text.split())
+        kind = _role(text, line)
+        if kind is None and len(line) < 160 and not line.isascii() and _STRANGE.search(line):
+            kind = _strange_role(line)
+        got = (kind, line)
         if len(raw) < 80 and len(_known) < 200_000:
             _known[raw] = got
     return got
 
 
+def _strange_role(line: str) -> str | None:
+    """The role of a line of furniture that was read in a wrong single-byte encoding."""
+    for name in _SINGLE:
+        before = hypotheses()[name].undo(line)
+        if before and before != line and (kind := _role(before, before)) not in (None, "teaser"):
+            return kind
+    return None
+
+
 def _role(raw: str, line: str) -> str | None:
     if not line:
         return "blank"
@@ -90,16 +118,17 @@ def _role(raw: str, line: str) -> str | None:
     for part, kind in holds:
         if part in low:
             return kind
+    m = notes.match(low)
+    if m:
+        return next(k for k, v in m.groupdict().items() if v is not None)
     if len(line) > 160:  # neither prompt nor title
-        return "nav" if not _END.search(line) and _menu_bar(raw, line, entries, words) else None
+        return "nav" if not _ends(line) and _menu_bar(raw, line, entries, words) else None
     bare = _COUNT.sub("", low)
     if bare in entries:
         return "nav"
     if kind := whole.get(bare):
         return kind
-    if notes.match(low):
-        return "byline"
-    if _END.search(line):
+    if _ends(line):
         return None
     if m := shapes.fullmatch(bare):
         return next(k for k, v in m.groupdict().items() if v is not None)
@@ -115,25 +144,29 @@ def _role(raw: str, line: str) -> str | None:
 
 def is_title(line: str) -> bool:
     """A line that could be a headline: some words, no end of a sentence, no row, item or address."""
-    words = line.split(" ")
-    return (2 < len(words) < 20 and len(line) < 140 and not _END.search(line) and not _ROW.search(line)
+    return (len(line) < 140 and 1 < line.count(" ") < 19 and not _ends(line) and not _ROW.search(line)
             and not _LIST.match(line) and not _TREE.match(line) and not _URL.search(line))
 
 
 def roles(lines: list[str | None]) -> list[str | None]:
     """The role of every line of a page, in order, with its neighbours taken into account."""
+    return _roles(lines)[0]
+
+
+def _roles(lines: list[str | None]) -> tuple[list[str | None], list[str]]:
+    """Roles and flat lines."""
     known = [role(x) for x in lines]
     found, texts = [r for r, _ in known], [t for _, t in known]
     real = [i for i, r in enumerate(found) if r != "blank"]
     _menu_runs(found, texts, real)
     _boxes(found, texts, real)
-    return found
+    return found, texts
 
 
 def _menu_runs(found, texts, real) -> None:
     """A site's own word between or beside menu entries that stand one per line is an entry too."""
     for k, i in enumerate(real):
-        if found[i] is None and len(texts[i].split(" ")) < 3 and len(texts[i]) < 25 and not _END.search(texts[i]):
+        if found[i] is None and len(texts[i].split(" ")) < 3 and len(texts[i]) < 25 and not _ends(texts[i]):
             near = [found[real[j]] == "nav" for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < len(real)]
             beside = [found[real[j]] == "nav" for j in (k - 1, k + 1) if 0 <= j < len(real)]
             if any(beside) and sum(near) > 1:
@@ -165,13 +198,14 @@ def _boxes(found, texts, real) -> None:
         for i in run:
             found[i] = "item"
         if run and not numbered and j < len(real):
-            last_runs.append((run, real[j]))
+            last_runs.append(run)
         k = max(j, k + 1)
-    if any(r is None and is_title(texts[i]) for i, r in enumerate(found)):
+    # a page begins with its headline: where no other title stands before its first text, that of the last box before is it
+    text = next((i for i in real if found[i] is None and not is_title(texts[i])), len(found))
+    if any(found[i] is None and is_title(texts[i]) for i in real if i < text):
         return
-    # no headline is left: a box's last title that text follows at once is the page's own
-    for run, after in last_runs:
-        if found[after] is None and len(run) > 1:
+    for run in reversed(last_runs):
+        if run[-1] < text and len(run) > 1 and all(found[i] != "item" for i in range(run[-1] + 1, text)):
             found[run[-1]] = None
             return
 
@@ -198,14 +232,13 @@ _PARENT = {"li": "ul", "tr": "table", "td": "tr"}
 def build(lines: list[tuple[int, str | None]]) -> Element:
     """The tree of a page's lines; blank lines end open lists and tables."""
     body = Element("body")
-    kinds = roles([x for _, x in lines])
+    kinds, texts = _roles([x for _, x in lines])
     seen_text = False
-    for (line_no, raw), kind in zip(lines, kinds, strict=True):
+    for (line_no, raw), kind, text in zip(lines, kinds, texts, strict=True):
         last = body.children[-1] if body.children else None
         if kind == "blank":
             body.children.append(Element("br", line_no=line_no))
             continue
-        text = role(raw)[1]
         if kind in HIDDEN:
             tag = HIDDEN[kind]
             parent = last if last is not None and last.tag == tag and kind not in ("box", "teaser") else None
