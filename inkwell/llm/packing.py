@@ -31,7 +31,8 @@ from inkwell.storage import materialize
 
 CLASSES = 32  # length classes of the combinations
 WINDOW = 16  # a combination leaves at most 1/WINDOW of the capacity
-SALTS = 64  # parts that the items of one length are ranked in
+SALTS = 64  # least number of parts that the items of one length are ranked in
+SALT_ROWS = 1_000_000  # items per part, should all have one length
 
 
 def non_negative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -234,7 +235,7 @@ def _assign(plans: dict[str, dict[int, tuple[np.ndarray, ...]]], totals: dict[st
     return run
 
 
-def pack(sized: DataFrame, limits: list[tuple[str, int]], salts: int = SALTS) -> DataFrame:
+def pack(sized: DataFrame, limits: list[tuple[str, int]], salts: int | None = None) -> DataFrame:
     """Every item's container: ``limit_name, doc_id, piece_no, start_token, n_tokens, container_id``.
 
     ``sized`` has ``doc_id, n_tokens``; repeated rows are items of their own.
@@ -247,6 +248,7 @@ def pack(sized: DataFrame, limits: list[tuple[str, int]], salts: int = SALTS) ->
     empty = "limit_name string, doc_id bigint, piece_no int, start_token bigint, n_tokens bigint, container_id bigint"
     if not limits:
         return spark.createDataFrame([], empty)
+    salts = salts or max(SALTS, sized.count() // SALT_ROWS)
     clean = sized.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
     all_items = items(clean, limits).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(salts)).cast("int"))
     key = ["limit_name", "n_tokens", "salt"]
@@ -266,7 +268,8 @@ def pack(sized: DataFrame, limits: list[tuple[str, int]], salts: int = SALTS) ->
     before = Window.partitionBy("limit_name", "n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy(*key).orderBy("doc_id", "piece_no")
-    ranked = all_items.withColumn("nth", F.row_number().over(inside) - 1).join(offsets, key)
+    # the items are partitioned by the key already; the offsets, a row per length and salt, come to them
+    ranked = all_items.withColumn("nth", F.row_number().over(inside) - 1).join(offsets.hint("merge"), key)
     ranked = ranked.select("limit_name", "doc_id", "piece_no", "start_token", "n_tokens", (F.col("before") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(_assign(rules, totals), empty)
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import layout, lexicon
 from inkwell.storage import materialize
 
+STRETCH = 40  # words among which repeats tell stuffed text
 CHUNK = 4096  # lines of a page that are looked at together; longer pages are cut
 #: Least shares of a spam page's words, in one of these ways.
 LIMITS = {"top": 0.2, "pairs": 0.35, "links": 0.4, "tags": 0.4, "separators": 0.3, "lines": 0.5}
@@ -68,7 +69,7 @@ def measure(texts: list[str]) -> dict[str, int | str]:
         out["words"] += len(own)
         if len(own) > 4 and 10 * len(mine) >= len(own):
             ends = len(_END.findall(text))
-            if ends and 3 * len(set(own)) >= (2 if ends == 1 else 1) * len(own):  # the same words again and again are no sentences
+            if ends and _varied(own, ends):
                 out["sentences"] += ends
     by_lang = dict.fromkeys(lexicon.FUNCTION, 0)
     for w, n in used.items():
@@ -95,6 +96,13 @@ def measure(texts: list[str]) -> dict[str, int | str]:
     return {"lang": lang, **out}
 
 
+def _varied(own: list[str], ends: int) -> bool:
+    """Whether words don't come again and again, as they do in stuffed text; long texts are looked at in stretches."""
+    if ends == 1:
+        return 3 * len(set(own)) >= 2 * len(own)
+    return 2 * sum(len(set(own[i : i + STRETCH])) for i in range(0, len(own), STRETCH)) >= len(own)
+
+
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(m, pa.int64()) for m in MEASURES],
                      ("hidden", pa.list_(pa.int32())), ("text", pa.string())])
 _DDL = "doc_id bigint, lang string, " + ", ".join(f"{m} bigint" for m in MEASURES) + ", hidden array<int>, text string"
