@@ -75,7 +75,10 @@ def repeated_lines(trec_line: DataFrame, pages: DataFrame, min_pages: int = MIN_
     The pages come in two partitions, those fetched up to the median time and
     the later ones, so that each call goes the whole way of a merge: earlier
     pages are looked at again only for keys that the second partition made
-    cross.  The result is the same for any partitioning.
+    cross.  The result is the same for any partitioning.  Null and blank
+    lines, rows without a page and pages without a site or page row are in no
+    result; rows delivered twice are one line; pages without a fetch time come
+    with the later ones; empty tables give no rows.
     """
     keyed = materialize(keyed_lines(trec_line, pages), "keyed-lines")
     middle = pages.agg(F.percentile_approx("fetched_at", 0.5)).first()[0]

@@ -103,16 +103,16 @@ def _varied(own: list[str], ends: int) -> bool:
     return 2 * sum(len(set(own[i : i + STRETCH])) for i in range(0, len(own), STRETCH)) >= len(own)
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(m, pa.int64()) for m in MEASURES],
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("lang", pa.string()), *[(m, pa.int64()) for m in MEASURES],
                      ("hidden", pa.list_(pa.int32())), ("text", pa.string())])
-_DDL = "doc_id bigint, lang string, " + ", ".join(f"{m} bigint" for m in MEASURES) + ", hidden array<int>, text string"
+_DDL = "doc_id bigint, part bigint, lang string, " + ", ".join(f"{m} bigint" for m in MEASURES) + ", hidden array<int>, text string"
 
 
 def _look(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, numbers, lines in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, part, numbers, lines in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 once: dict[int, str | None] = {}  # of a line delivered twice, the larger text
                 for n, line in zip(numbers, lines, strict=True):
                     if n not in once or (line or "") > (once[n] or ""):
@@ -126,7 +126,7 @@ def _look(with_text: bool):
                     elif e.tag != "br":
                         shown += [c.text for c in e.children] if e.tag in ("ul", "table") else [e.text]
                 # boxes and prompts are furniture of ordinary pages; what is left decides
-                rows.append({"doc_id": doc_id, **measure(shown), "hidden": hidden, "text": layout.render(body) if with_text else None})
+                rows.append({"doc_id": doc_id, "part": part, **measure(shown), "hidden": hidden, "text": layout.render(body) if with_text else None})
             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     return run
@@ -137,7 +137,7 @@ def looked_at(trec_line: DataFrame, with_text: bool = False) -> DataFrame:
     rows = trec_line.where("doc_id IS NOT NULL AND line_no IS NOT NULL")
     part = F.floor((F.col("line_no") - 1) / CHUNK).alias("part")
     pages = rows.select("doc_id", part, F.struct("line_no", "line").alias("x")).groupBy("doc_id", "part").agg(F.collect_list("x").alias("lines"))
-    return pages.select("doc_id", F.col("lines.line_no"), F.col("lines.line")).mapInArrow(_look(with_text), _DDL)
+    return pages.select("doc_id", "part", F.col("lines.line_no"), F.col("lines.line")).mapInArrow(_look(with_text), _DDL)
 
 
 def verdicts(pages: DataFrame) -> DataFrame:
@@ -166,14 +166,20 @@ def verdicts(pages: DataFrame) -> DataFrame:
 
 
 def spam_pages(trec_line: DataFrame) -> DataFrame:
-    """``doc_id`` of pages without an article."""
+    """``doc_id`` of pages without an article.
+
+    Rows without page or line number are left out, a line delivered twice is
+    one line, of two that differ the larger text counts; a page of null and
+    blank lines is no spam, and an empty table gives no rows.
+    """
     return verdicts(materialize(looked_at(trec_line).drop("text", "hidden"), "pages")).where("spam").select("doc_id")
 
 
 def furniture(trec_line: DataFrame) -> DataFrame:
-    """``doc_id, line_no`` of lines that are not the article, on pages that have one.
+    """``doc_id, line_no`` of lines that are not the article, on pages that have one, each once.
 
-    Null and blank lines are in no row.
+    Null and blank lines are in no row, nor are rows without page or line
+    number.  An empty table gives no rows; lines of any length are looked at whole.
     """
     pages = materialize(looked_at(trec_line).drop("text"), "pages")
     spam = verdicts(pages).where("spam").select("doc_id")
@@ -181,7 +187,11 @@ def furniture(trec_line: DataFrame) -> DataFrame:
 
 
 def main_texts(trec_line: DataFrame) -> DataFrame:
-    """``doc_id, text``: the rendered article of every page that has one; parts of very long pages are joined in order."""
+    """``doc_id, text``: the rendered article of every page that has one; parts of very long pages are joined in order.
+
+    A page whose article is empty has an empty text.
+    """
     pages = materialize(looked_at(trec_line, with_text=True).drop("hidden"), "pages")
     spam = verdicts(pages).where("spam").select("doc_id")
-    return pages.join(spam, "doc_id", "left_anti").select("doc_id", "text")
+    kept = pages.join(spam, "doc_id", "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("x"))
+    return kept.select("doc_id", F.array_join("x.text", "\n\n").alias("text"))
