@@ -111,8 +111,8 @@ def vbyte_roundtrip(spark, folder):
 
 def run_lines(spark, folder):
     """The text form of run lines, written and parsed again."""
-    lines = load(spark, folder, "heap_line").where("word IS NOT NULL").select(F.concat(F.col("word"), F.lit(" "), F.col("doc_id").cast("string"), F.lit(","), "positions").alias("value"))
-    parsed = trec.parse_run_lines(lines)
+    heap = load(spark, folder, "heap_line").select(F.col("word").alias("term"), "doc_id", F.split("positions", ",").alias("positions"))
+    parsed = trec.parse_run_lines(trec.run_lines(heap))
     return parsed.select("word", "doc_id", F.size("positions").alias("tf"), F.get("positions", F.lit(0)).alias("first"))
 
 
@@ -189,6 +189,15 @@ def rank_lines(spark, folder):
     return pagerank_undivided(spark, folder).select("doc_id", text.plain_decimal("rank").alias("line"))
 
 
+def section_offsets(spark, folder):
+    """Where each section of the corpus ends in its text form."""
+    docs = load(spark, folder, "documents").select(
+        "doc_id", F.lit("D").alias("doc_no"), F.lit("u").alias("url"), F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]+", " ").alias("body"))
+    path = f"{shared_dir(spark)}/inkwell/corpus-{uuid.uuid4().hex}"
+    trec.write_corpus(docs, path)
+    return trec.section_offsets(trec.lines(spark, path)).select(F.col("end_byte").cast("bigint").alias("end_byte"))
+
+
 def trec_parse(spark, folder):
     """The corpus written as marked-up text and parsed again."""
     docs = load(spark, folder, "documents").select(
@@ -232,6 +241,7 @@ QUERIES = {
     "pagerank_undivided": pagerank_undivided,
     "rank_lines": rank_lines,
     "trec_parse": trec_parse,
+    "section_offsets": section_offsets,
 }
 
 # -- SQL ---------------------------------------------------------------------------------------------------------
@@ -363,6 +373,9 @@ SELECT word AS term, doc_id // 65536 AS run, word || ' ' || string_agg(doc_id ||
     "link_edges": f"WITH {_LINKS} SELECT src, dst FROM e",
     "pagerank_undivided": f"{_RANK} SELECT doc_id, rank FROM final",
     "rank_lines": f"{_RANK} SELECT doc_id, regexp_replace(regexp_replace(printf('%.4f', rank), '0+$', ''), '[.]$', '') AS line FROM final",
+    "section_offsets": r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g') AS b FROM documents),
+  z AS (SELECT doc_id, strlen(b) + CASE WHEN b = '' THEN 0 ELSE 1 END AS n FROM d)
+SELECT (sum(6 + 17 + 7 + 2 + n + 8 + 7) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - 7 - 1)::BIGINT AS end_byte FROM z""",
     "trec_parse": r"""WITH d AS (SELECT doc_id, 'D' || doc_id AS doc_no, coalesce(url, '') AS url,
   regexp_replace(coalesce(text, ''), '[\r\n]+', chr(10), 'g') AS body FROM documents)
 SELECT doc_id, doc_no, url, length(body)::INT AS n_chars, md5(body) AS md5 FROM d""",

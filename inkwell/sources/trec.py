@@ -95,9 +95,38 @@ def write_corpus(docs: DataFrame, path: str) -> None:
 
 
 def write_page_table(page_table: DataFrame, path: str) -> None:
-    """A line ``url doc_no doc_len`` per document in order of doc ids."""
+    """A line ``url doc_no doc_len`` per document in order of doc ids; then a blank line, the total length and the number of documents."""
+    totals = page_table.agg(F.coalesce(F.sum("doc_len"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n"))
+    trailer = totals.select(F.explode(F.array(F.lit(""), F.col("t").cast("string"), F.col("n").cast("string"))).alias("value"))
     line = F.concat_ws(" ", F.coalesce("url", F.lit("")), F.coalesce("doc_no", F.lit("")), F.col("doc_len").cast("string"))
-    page_table.sort("doc_id").select(line.alias("value")).write.mode("overwrite").text(path)
+    page_table.sort("doc_id").select(line.alias("value")).write.mode("overwrite").text(f"{path}/pages")
+    trailer.coalesce(1).write.mode("overwrite").text(f"{path}/totals")
+
+
+def run_lines(postings: DataFrame) -> DataFrame:
+    """``value``: the text form of single postings, ``word doc,pos,pos…``; null words have no line."""
+    positions = F.array_join(F.col("positions").cast("array<string>"), ",")
+    return postings.where("term IS NOT NULL").select(
+        F.concat(F.col("term"), F.lit(" "), F.concat_ws(",", F.col("doc_id").cast("string"), F.when(positions != "", positions))).alias("value"))
+
+
+def write_run_lines(postings: DataFrame, path: str) -> None:
+    """Sorted by word and doc id, a file per range of words."""
+    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").transform(run_lines).write.mode("overwrite").text(path)
+
+
+def section_offsets(numbered: DataFrame) -> DataFrame:
+    """``at, end_byte``: where the line end of each ``</TEXT>`` line lies, for UTF-8 text with one byte per line end.
+
+    Bytes are summed per piece of lines and carried over the few piece totals.
+    """
+    sized = numbered.select("at", "line", (F.octet_length("line") + 1).alias("bytes"), F.floor(F.col("at") / PIECE).alias("piece"))
+    totals = sized.groupBy("piece").agg(F.sum("bytes").alias("b"))
+    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("piece", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("c"))
+    inside = Window.partitionBy("piece").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sized.withColumn("w", F.sum("bytes").over(inside)).where("line = '</TEXT>'").join(carry, "piece")
+    return ends.select("at", (F.col("c") + F.col("w") - 1).alias("end_byte"))
 
 
 def merged_lines(postings: DataFrame) -> DataFrame:

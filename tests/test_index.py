@@ -196,13 +196,28 @@ def test_saved_index_gives_the_same_results(spark, tmp_path):
     got = search.search(index.load(spark, str(tmp_path / "i")), "the cat", "d").collect()
     assert got == search.search(index.build(d), "the cat", "d").collect()
     trec.write_page_table(index.page_table(d), str(tmp_path / "pages"))
-    assert spark.read.text(str(tmp_path / "pages")).count() == len(BODIES)
+    assert spark.read.text(str(tmp_path / "pages/pages")).count() == len(BODIES)
+    assert [r.value for r in spark.read.text(str(tmp_path / "pages/totals")).collect()] == ["", "17", "5"]
     trec.write_corpus(d, str(tmp_path / "corpus"))
     back = trec.read_corpus(spark, str(tmp_path / "corpus")).orderBy("doc_id").collect()
     assert [r.body for r in back] == BODIES
 
 
-def test_run_lines_round_trip(spark, rows):
+def test_section_offsets(spark, tmp_path, monkeypatch):
+    (tmp_path / "c.txt").write_text(TREC)
+    want, at = [], 0
+    for line in TREC.splitlines():
+        at += len(line) + 1
+        want += [at - 1] if line == "</TEXT>" else []
+    for piece in (4, 100_000):
+        monkeypatch.setattr(trec, "PIECE", piece)
+        assert sorted(r.end_byte for r in trec.section_offsets(trec.lines(spark, str(tmp_path / "c.txt"))).collect()) == want
+
+
+def test_run_lines_round_trip(spark, rows, tmp_path):
+    d = corpus(spark, "b a b", "a")
+    trec.write_run_lines(index.postings(d), str(tmp_path / "runs"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "runs")).collect()] == ["a 0,1", "a 1,0", "b 0,0,2"]
     v = spark.createDataFrame([("cat 3,1,5",), ("dog 4",), ("bad",), (None,), ("x y,1",)], "value string")
     assert rows(trec.parse_run_lines(v)) == [("cat", 3, [1, 5]), ("dog", 4, [])]
     p = spark.createDataFrame([("w", 10, [1, 2]), ("w", 9, [0])], "term string, doc_id bigint, positions array<int>")
