@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.shipping import ship
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Table ``name`` of ``folder``; a file or a folder of part files."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return ship(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def site_of(url: Column) -> Column:
