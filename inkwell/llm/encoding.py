@@ -41,9 +41,10 @@ MIN_SUPPORT = 2  # different pairs that a transformation must explain to count a
 TWIN_ROWS = 3  # rows that a twin must have, and times those of the garbled form
 #: Least gain in log-likelihood: of a multi-byte and a single-byte transformation, learned and not, and on a garbled page.
 GAIN = {"wide": 1.0, "wide_unlearned": 8.0, "single": 7.0, "single_unlearned": 16.0, "wide_page": 0.3, "single_page": 1.5, "marked": 1.0}
-CHANCE = 4.0  # added per word that a multi-byte transformation takes back: other words hardly ever decode
+CHANCE = 7.0  # added per word that a multi-byte transformation takes back: other words hardly ever decode
 UNLEARNED_CHARACTERS = 3  # different characters of a word that show a single-byte transformation without learned pairs
 RARER = 0.05  # a character isn't taken back to one that occurs so many times less often
+BESIDE = 6.0  # loss of a word beside a garbled run up to which it is taken to belong to it
 MARKER = 0.93  # a character of which so large a part stands in surely garbled lines marks others
 
 REPLACED = "�"
@@ -390,7 +391,14 @@ class Restorer:
                     best, total, run = k, sum_, (start, j)
         if best is None:
             return None, 0.0, None
-        for i, x in ways[run[0] : run[1] + 1]:
+        first, last = run
+        # names beside the run are as rare one way as the other: they are taken back with it
+        left = total
+        while last + 1 < len(ways) and (g := next((g for n, g, _ in ways[last + 1][1] if n == best), -99.0)) > -BESIDE and left + g > GAIN["single"]:
+            left, last = left + min(g, 0.0), last + 1
+        while first > 0 and (g := next((g for n, g, _ in ways[first - 1][1] if n == best), -99.0)) > -BESIDE and left + g > GAIN["single"]:
+            left, first = left + min(g, 0.0), first - 1
+        for i, x in ways[first : last + 1]:
             words[i] = next((b for n, _, b in x if n == best), words[i])
         return self._order[best].name, total, " ".join(words)
 
