@@ -49,8 +49,11 @@ def decode(data: bytes) -> np.ndarray:
 
 def size(n: Column) -> Column:
     """Bytes that a non-negative integer takes; an error for negative ones."""
-    bits = F.greatest(F.length(F.bin(n)), F.lit(1))
-    return F.when(n < 0, F.raise_error(F.lit("negative numbers can't be encoded")).cast("int")).otherwise(F.ceil(bits / 7).cast("int"))
+    wrong = F.raise_error(F.lit("negative numbers can't be encoded")).cast("int")
+    steps = F.when(n < 0, wrong)
+    for k in range(1, 9):
+        steps = steps.when(n < F.lit(1 << (7 * k)), F.lit(k))
+    return F.when(n.isNotNull(), steps.otherwise(F.lit(9)))
 
 
 def gaps(values: Column, before: Column | None = None) -> Column:

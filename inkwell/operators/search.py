@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +71,10 @@ def search(index: Index, query: str, mode: str = "d", k: int = TOP) -> DataFrame
     words = check(query, mode)
     spark = index.postings.sparkSession
     queries = spark.createDataFrame([(0, " ".join(words), mode.strip().lower())], "query_id int, query string, mode string")
-    best = top(scores(index, queries), k)
+    # a filter on the words reaches the scan of a saved index (row groups sorted by term) or the tokens of a lazy one
+    only = F.col("term").isin(words) if words else F.lit(False)
+    narrow = replace(index, postings=index.postings.where(only), lexicon=index.lexicon.where(only))
+    best = top(scores(narrow, queries), k)
     return best.join(index.page_table.select("doc_id", "url"), "doc_id", "left").select("rank", "doc_id", "url", "score").orderBy("rank")
 
 

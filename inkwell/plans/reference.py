@@ -17,7 +17,7 @@ from inkwell.functions import text, varbyte
 from inkwell.functions.text import SEPARATORS
 from inkwell.operators import index, links, rank, search, snippets
 from inkwell.sources import trec
-from inkwell.sources.tables import load
+from inkwell.sources.tables import load, spread
 from inkwell.storage import materialize, shared_dir
 
 #: Words of the example queries.
@@ -29,7 +29,8 @@ TWICE = "the the harbour"
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "documents").select("doc_id", F.lit(None).cast("string").alias("doc_no"), "url", F.col("text").alias("body"))
+    docs = load(spark, folder, "documents").select("doc_id", F.lit(None).cast("string").alias("doc_no"), "url", F.col("text").alias("body"))
+    return spread(docs)
 
 
 def _index(spark: SparkSession, folder: str) -> index.Index:
@@ -102,7 +103,7 @@ def posting_sizes(spark, folder):
 
 def vbyte_roundtrip(spark, folder):
     """Gap-coded positions of the run lines, encoded and decoded again."""
-    lines = load(spark, folder, "heap_line").where("word IS NOT NULL AND positions IS NOT NULL").select("word", "doc_id", "positions").distinct()
+    lines = spread(load(spark, folder, "heap_line").where("word IS NOT NULL AND positions IS NOT NULL").select("word", "doc_id", "positions")).distinct()
     a = F.transform(F.split("positions", ","), lambda x: x.cast("bigint"))
     coded = lines.select("word", "doc_id", varbyte.encode_array(varbyte.gaps(a)).alias("b"))
     back = varbyte.restore(varbyte.decode_array("b"))

@@ -13,6 +13,17 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer than half as many tasks.
+
+    A small table in one row group would be worked on by one core, whatever
+    the work per row.  Tables of more files than that stay as they are, so
+    nothing large is exchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def site_of(url: Column) -> Column:
     """Host of a url: outer spaces, scheme, port and a leading ``www.`` dropped, lower case; null if none is left."""
     host = F.lower(F.trim(url))
