@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import encoding, mixing, packing, site_lines, spam, splitting, term_stats, term_weight, tokens
 from inkwell.llm.common import lines_of
-from inkwell.sources.tables import entries, load, page_rows
+from inkwell.sources.tables import entries, load, page_rows, spread
 from inkwell.storage import materialize
 
 
@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
-    return encoding.garbled_lines(load(spark, folder, "trec_line"))
+    return encoding.garbled_lines(spread(load(spark, folder, "trec_line")))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,7 +75,7 @@ def _limits(spark: SparkSession, folder: str, prefix: str) -> list[tuple[str, in
 
 
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return materialize(tokens.sizes(load(spark, folder, "documents"), keep=("source",)), "sizes")
+    return materialize(tokens.sizes(spread(load(spark, folder, "documents").select("doc_id", "source", "text")), keep=("source",)), "sizes")
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,7 +105,7 @@ def p9_shares_corpus_size(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return splitting.split_documents(load(spark, folder, "documents"), _limits(spark, folder, "piece_"))
+    return splitting.split_documents(spread(load(spark, folder, "documents").select("doc_id", "text")), _limits(spark, folder, "piece_"))
 
 
 QUERIES = {
