@@ -179,11 +179,21 @@ def link_edges(spark, folder):
     return links.edges(_mentions(spark, folder), corpus(spark, folder))
 
 
-def pagerank_undivided(spark, folder):
+def full_ranks(spark, folder):
+    """The ranks as they are: one is of the order 1 / N, so that four decimals of it are zeros where N is large."""
     docs = corpus(spark, folder)
     n = docs.where("url IS NOT NULL").select("url").distinct().count()
-    found = rank.fixpoint(docs.select("doc_id"), links.edges(_mentions(spark, folder), docs), max(1, n))
-    return found.ranks.select("doc_id", F.round("rank", 4).alias("rank"))
+    return rank.fixpoint(docs.select("doc_id"), links.edges(_mentions(spark, folder), docs), max(1, n)).ranks
+
+
+def full_rank_lines(spark, folder):
+    """What a rank file holds, with every digit of a double."""
+    return full_ranks(spark, folder).select("doc_id", text.plain_decimal("rank").alias("line"))
+
+
+def pagerank_undivided(spark, folder):
+    """The ranks to four decimals, as the SQL has them."""
+    return full_ranks(spark, folder).select("doc_id", F.round("rank", 4).alias("rank"))
 
 
 def rank_lines(spark, folder):
@@ -241,6 +251,8 @@ QUERIES = {
     "link_edges": link_edges,
     "pagerank_undivided": pagerank_undivided,
     "rank_lines": rank_lines,
+    "full_ranks": full_ranks,
+    "full_rank_lines": full_rank_lines,
     "trec_parse": trec_parse,
     "section_offsets": section_offsets,
 }

@@ -3,6 +3,7 @@ import math
 import pytest
 
 from inkwell.operators import index, links, rank, search, snippets
+from inkwell.plans import reference
 from inkwell.sources import trec
 
 
@@ -154,6 +155,25 @@ def test_rank_diverges(spark):
     assert sum(r["rank"] for r in flat.ranks.collect()) == pytest.approx(1)
 
 
+def test_full_ranks_are_not_cut(spark, tmp_path):
+    n = 30_000  # 1 / n is below what four decimals hold, as are all of these ranks
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('http://h.example/', id) AS url", "'text' AS text")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    of = {i: [i // 2] + [i // 3] * (i % 5 == 0 and i > 0) for i in range(n)}
+    got = {}
+    for _ in range(2):  # one update is enough for the threshold
+        got, before = dict.fromkeys(range(n), 0.15 / n), got or dict.fromkeys(range(n), 1 / n)
+        for i, targets in of.items():
+            for j in set(targets):
+                got[j] += 0.85 * before[i]
+        if max(abs(got[i] - before[i]) for i in got) <= 1e-4:
+            break
+    found = {r.doc_id: r["rank"] for r in reference.full_ranks(spark, str(tmp_path)).collect()}
+    assert found == pytest.approx(got, rel=1e-12) and min(found.values()) > 0
+    lines = {r.doc_id: float(r.line) for r in reference.full_rank_lines(spark, str(tmp_path)).collect()}
+    assert lines == pytest.approx(got, rel=1e-12)
+
+
 TREC = """junk
 <DOC>
 <DOCNO>D1</DOCNO>
