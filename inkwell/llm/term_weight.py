@@ -63,9 +63,18 @@ def _pairs(placed: DataFrame, reach: int, block: int) -> DataFrame:
     """``doc_id, block, word, other``: words near each other, both ways, repeats within a block left out."""
     # a set, as a line spilled twice puts the same word into the same place again
     slots = placed.groupBy("doc_id", "block").agg(F.array_sort(F.collect_set(F.struct("pos", "word"))).alias("t"))
+    # most words at one position: one, but for spills that disagree; bounds how many entries stand within reach
+    most = F.expr(
+        """CASE WHEN size(array_distinct(transform(t, x -> x.pos))) = size(t) THEN 1
+           ELSE aggregate(t, named_struct('pos', cast(null AS int), 'n', 0, 'most', 0),
+                          (a, x) -> named_struct('pos', x.pos, 'n', if(x.pos <=> a.pos, a.n + 1, 1),
+                                                 'most', greatest(a.most, if(x.pos <=> a.pos, a.n + 1, 1))),
+                          a -> a.most) END"""
+    )
+    slots = slots.withColumn("most", most)
     pairs = F.expr(
         f"""array_distinct(flatten(transform(t, (x, i) ->
-              transform(filter(slice(t, i + 2, {2 * reach}),
+              transform(filter(slice(t, i + 2, most * {reach + 1} - 1),
                                y -> y.pos - x.pos BETWEEN 1 AND {reach} AND floor(y.pos / {block}) = block
                                     AND y.word <> x.word),
                         y -> struct(x.word AS a, y.word AS b)))))"""

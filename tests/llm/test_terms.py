@@ -40,6 +40,14 @@ def test_degrees_for_any_block(spark, block, window):
     assert got == brute_degrees(tokens, window)
 
 
+def test_degrees_where_spills_disagree(spark):
+    tokens = [(1, f"{w}{p}", p) for p in range(9) for w in "abcde"[: 1 + p % 5]] + [(2, f"w{i}", 3) for i in range(20)] + [(2, "end", 6), (2, "far", 7)]
+    df = spark.createDataFrame(tokens, "doc_id bigint, word string, pos int")
+    for block in (4, 1024):
+        got = {(r.doc_id, r.word): r.degree for r in term_weight.degrees(df, 4, block).collect()}
+        assert got == brute_degrees(tokens, 4)
+
+
 def test_run_positions(spark, rows):
     df = spark.createDataFrame([(" A ", 1, "0,3"), ("a", 1, "0,3"), (None, 1, "1"), ("", 1, "1"), ("b", None, "1"), ("c", 2, None), ("d", 2, "x,4,")],
                                "word string, doc_id bigint, positions string")
