@@ -48,6 +48,7 @@ BESIDE = 6.0  # loss of a word beside a garbled run up to which it is taken to b
 MARKER = 0.93  # a character of which so large a part stands in surely garbled lines marks others
 
 REPLACED = "�"
+SPACE = "\u00a0"  # not at which words are split: it can be part of a garbled character
 _OUTSIDE = re.compile("[^\x00-\x7f]")
 _OUTSIDE_RUN = re.compile("[^\x00-\x7f]+")
 _LETTERS = re.compile("[A-Za-z]")
@@ -302,9 +303,8 @@ class Restorer:
 
     def __init__(self, counts: np.ndarray, support: dict[str, int]):
         self.model, self.support = CharacterModel(counts), support
-        floor = max(2.0, 2e-6 * float(counts[:UNI].sum()))
         seen = [chr(c) for c in np.flatnonzero(counts[:UNI]) if c > 127 and not 0xD800 <= c < 0xE000]
-        usual = {c for c in seen if counts[ord(c)] >= floor and unicodedata.category(c) not in ("Cc", "Co", "Cn")} - {REPLACED}
+        usual = {c for c in seen if counts[ord(c)] >= 2 and unicodedata.category(c) not in ("Cc", "Co", "Cn")} - {REPLACED}
         self._usual = frozenset(usual)
         # what a single-byte mix-up hides are letters and signs of running text, not frames and blocks
         plain = {c for c in usual if unicodedata.category(c)[0] in "LP" or "\u00a0" <= c <= "\u00ff" or c in "€™№−"}
@@ -324,6 +324,7 @@ class Restorer:
                 elif x is None and c in t._byte:
                     self._able[c] |= 1 << i
         self._learned = sum(1 << i for i, t in enumerate(self._single) if support.get(t.name, 0) >= MIN_SUPPORT)
+        self._need = [GAIN[("wide" if t.wide else "single") + ("" if support.get(t.name, 0) >= MIN_SUPPORT else "_unlearned")] for t in self._order]
         self._known: dict[str, list[tuple[int, float, str]]] = {}
 
     def word(self, word: str) -> list[tuple[int, float, str]]:
@@ -331,10 +332,34 @@ class Restorer:
         ways = self._known.get(word)
         if ways is None:
             ways = self._ways(word)
+            if SPACE in word:
+                whole = {k for k, _, _ in ways}
+                ways = ways + [x for x in self._apart(word) if x[0] not in whole]
             if len(self._known) < 200_000:
                 self._known[word] = ways
         return ways
 
+    def _apart(self, word: str) -> list[tuple[int, float, str]]:
+        """The ways of a word that holds no-break spaces of its own: those of its parts; a part without a way stays."""
+        parts, rest = [], word.split(SPACE)
+        while rest:
+            part = rest.pop(0)
+            # the space can be the last byte of a character
+            if rest and part and not part[-1].isascii() and (x := self._ways(part + SPACE + rest[0])):
+                parts.append((part + SPACE + rest.pop(0), x))
+            else:
+                parts.append((part, [] if part.isascii() else self._ways(part)))
+        numbers = {k for _, x in parts for k, _, _ in x}
+        out = []
+        for k in sorted(numbers):
+            gain, before = 0.0, []
+            for part, x in parts:
+                g, b = next(((g, b) for n, g, b in x if n == k), (0.0 if part.isascii() else -4.0, part))
+                gain += g
+                before.append(b)
+            out.append((k, gain, SPACE.join(before)))
+        return out
+
     def _ways(self, word: str) -> list[tuple[int, float, str]]:
         own = set(_OUTSIDE.findall(word))
         mask, moves = -1, 0
@@ -355,7 +380,7 @@ class Restorer:
                 # the first run must begin like a sequence of bytes
                 if 0xC1 < byte.get(run[0], 0) < 0xF5 and 0x7F < byte.get(run[1], 0) < 0xC0 and own <= t.domain:
                     before = t.undo(word)
-                    if before and self._usual.issuperset(_OUTSIDE.findall(before)):
+                    if before and all(c in self._usual or c != REPLACED and unicodedata.category(c)[0] in "LMNPS" for c in _OUTSIDE.findall(before)):
                         ways.append((self._rank[t.name], before))
         if not befores and not ways:
             return []
@@ -367,40 +392,67 @@ class Restorer:
         return out
 
     def line(self, line: str) -> tuple[str | None, float, str | None]:
-        """Best transformation (None if none gains), its gain, and the line with it undone in its best run of words.
+        """Best transformation (None if none gains), its gain, and the line with it undone in its runs of words.
 
-        A word that a transformation can't have made ends its run.
+        A word that a transformation can't have made ends its run.  What is
+        left of the line is looked at again; runs of any transformation that
+        suffice by themselves are undone, and the first of those is the best.
         """
         words = line.split(" ")
         ways = [(i, self.word(w)) for i, w in enumerate(words) if not w.isascii()]
+        found: list[tuple[int, float, list[tuple[int, str]]]] = []
+        while got := self._runs(ways):
+            taken = set()
+            for k, total, first, last in got:
+                before = [(i, next((b for n, _, b in x if n == k), words[i])) for i, x in ways[first : last + 1]]
+                found.append((k, total, before))
+                taken.update(range(first, last + 1))
+            ways = [(i, [] if j in taken else x) for j, (i, x) in enumerate(ways)]
+        if not found:
+            return None, 0.0, None
+        best, total, _ = main = next((x for x in found if x[1] >= self._need[x[0]]), found[0])
+        for x in found:
+            if x is main or x[1] >= self._need[x[0]]:
+                for i, before in x[2]:
+                    words[i] = before
+        return self._order[best].name, total, " ".join(words)
+
+    def _runs(self, ways: list[tuple[int, list[tuple[int, float, str]]]]) -> list[tuple[int, float, int, int]]:
+        """The runs (transformation, gain, first, last) of the transformation with the best run, that one first."""
         most: dict[int, float] = {}
         for _, x in ways:
             for k, gain, _ in x:
                 if gain > 0:
                     most[k] = most.get(k, 0.0) + gain
-        best, total, run = None, self.LEAST, None
+        total, best = self.LEAST, []
         for k in sorted(most):
             if most[k] <= total:
                 continue
-            sum_, start = 0.0, 0
+            runs, sum_, start = [], 0.0, 0
             for j, (_, x) in enumerate(ways):
                 sum_ += next((g for n, g, _ in x if n == k), -4.0)
                 if sum_ <= 0:
                     sum_, start = 0.0, j + 1
-                elif sum_ > total + 1e-9:
-                    best, total, run = k, sum_, (start, j)
-        if best is None:
-            return None, 0.0, None
-        first, last = run
-        # names beside the run are as rare one way as the other: they are taken back with it
-        left = total
-        while last + 1 < len(ways) and (g := next((g for n, g, _ in ways[last + 1][1] if n == best), -99.0)) > -BESIDE and left + g > GAIN["single"]:
-            left, last = left + min(g, 0.0), last + 1
-        while first > 0 and (g := next((g for n, g, _ in ways[first - 1][1] if n == best), -99.0)) > -BESIDE and left + g > GAIN["single"]:
-            left, first = left + min(g, 0.0), first - 1
-        for i, x in ways[first : last + 1]:
-            words[i] = next((b for n, _, b in x if n == best), words[i])
-        return self._order[best].name, total, " ".join(words)
+                elif sum_ > self.LEAST:
+                    if not runs or runs[-1][2] != start:
+                        runs.append((k, sum_, start, j))
+                    elif sum_ > runs[-1][1] + 1e-9:
+                        runs[-1] = (k, sum_, start, j)
+            top = max((r[1] for r in runs), default=0.0)
+            if top > total + 1e-9:
+                total, best = top, runs
+        # names beside a run are as rare one way as the other: they are taken back with it
+        out, free = [], 0
+        for n, (k, gain, first, last) in enumerate(best):
+            left, stop = gain, best[n + 1][2] if n + 1 < len(best) else len(ways)
+            beside = lambda j: next((g for m, g, _ in ways[j][1] if m == k), -99.0)  # noqa: B023, E731
+            while last + 1 < stop and (g := beside(last + 1)) > -BESIDE and left + g > GAIN["single"]:
+                left, last = left + min(g, 0.0), last + 1
+            while first > free and (g := beside(first - 1)) > -BESIDE and left + g > GAIN["single"]:
+                left, first = left + min(g, 0.0), first - 1
+            free = last + 1
+            out.append((k, gain, first, last))
+        return sorted(out, key=lambda r: -r[1])
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("line", pa.string()), ("name", pa.string()),

@@ -58,6 +58,19 @@ def test_garbled_lines_are_found_and_restored(spark):
     assert got[104, 1].restored == "Die späte Brücke" and got[104, 1].transformation is None
 
 
+def test_no_break_spaces_second_runs_and_rare_characters(spark):
+    rows, bad = corpus()
+    rare = [(400 + d, 1, "Дом № 5 стоит около реки") for d in range(2)]
+    much = [(d, 10 + n, "The bridge was moved to the river in the night and nobody had seen it. " * 40) for d in range(200) for n in range(2)]
+    two = "Die spÃ¤te BrÃ¼cke über die Straße, für Gäste und später r├®nov├®e pr├®f├®r├®e"
+    lines = {1: "La\u00a0prÃ©fÃ©rÃ©e", 2: "prÃ©fÃ©rÃ©e.\u00a0", 3: two, 4: "Дом № 5 стоит около реки".encode().decode("cp1251", "ignore")}
+    df = spark.createDataFrame([*rows, *bad, *rare, *much, *((500, n, x) for n, x in lines.items())], "doc_id bigint, line_no int, line string")
+    got = {r.line_no: r.restored for r in encoding.garbled_lines(df).where("doc_id = 500").collect()}
+    assert got[1] == "La\u00a0préférée" and got[2] == "préférée.\u00a0"
+    assert got[3] == "Die späte Brücke über die Straße, für Gäste und später rénovée préférée"
+    assert "№" in got[4]
+
+
 def test_long_lines_and_empty_tables(spark):
     long = " ".join(["für"] * 30_000 + ["fÃ¼r"] * 3)
     rows, bad = corpus()
