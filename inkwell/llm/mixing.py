@@ -107,7 +107,10 @@ def mixture(sized: DataFrame, targets: DataFrame, total_tokens: int | None = Non
 
 
 def shares(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """What came out, a row per target: ``source, target_share, max_repeats, available_tokens, tokens, share, most_copies``."""
+    """What came out, a row per target: ``source, target_share, max_repeats, available_tokens, tokens, share, most_copies, size``.
+
+    ``size`` is the whole mixture's tokens, repeats counted, by those of all texts in ``sized``; it is the same in every row.
+    """
     goals = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").where("source <> ''")
     goals = goals.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
@@ -117,6 +120,9 @@ def shares(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:
     joined = goals.join(have, "source", "left").join(got, "source", "left").select(
         "source", "target_share", "max_repeats", F.coalesce("available_tokens", zero).alias("available_tokens"),
         F.coalesce("tokens", zero).alias("tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
+    corpus = sized.agg(F.sum("n_tokens").alias("corpus_tokens"))  # one row
+    size = F.round(F.coalesce(F.try_divide(total, F.col("corpus_tokens")), F.lit(0.0)), 6)
+    joined = joined.crossJoin(corpus).withColumn("size", size).drop("corpus_tokens")
     return joined.withColumn("share", F.round(F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0)), 6))
 
 

@@ -32,6 +32,13 @@ def test_a_given_total_leaves_scarce_sources_short(spark):
     assert got["a"].tokens == 5000 and got["b"].tokens == 120 and got["b"].most_copies == 4
 
 
+def test_the_size_reached_is_told(spark):
+    docs = sized(spark, a=[10] * 100, b=[10], none=[10] * 99)
+    goals = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 4)], T)
+    got = mixing.shares(mixing.mixture(docs, goals), docs, goals).collect()
+    assert {(r.source, r.tokens, r.share, r.size) for r in got} == {("a", 40, 0.5, 0.04), ("b", 40, 0.5, 0.04)}
+
+
 def test_the_same_sample_again_and_other_seeds(spark, rows):
     docs = sized(spark, a=[10 + i % 3 for i in range(500)])
     goals = spark.createDataFrame([("a", 1.0, 1)], T)
