@@ -22,7 +22,6 @@ from inkwell.llm.encoding import hypotheses
 HIDDEN = {"nav": "nav", "crumb": "nav", "consent": "form", "byline": "address", "share": "form", "prompt": "form", "ad": "aside",
           "legal": "footer", "box": "aside", "item": "aside", "teaser": "aside", "aside": "aside"}
 MENU_SHARE = 0.4  # entries of a bar that must be menu words
-MOST_ITEMS = 12  # unnumbered titles that a box may have
 
 _COUNT = re.compile(r" \(\d+\)$")
 _BAR = re.compile(r" ?[·•|/»›>] ?| [-–] |\s{2,}|\t")
@@ -191,7 +190,7 @@ def _boxes(found, texts, real) -> None:
             if numbered:
                 if not _NUMBERED.match(text):
                     break
-            elif not is_title(text) or len(run) >= MOST_ITEMS or _is_headline(text, crumbs):
+            elif not is_title(text) or _is_headline(text, crumbs):
                 break
             run.append(real[j])
             j += 1

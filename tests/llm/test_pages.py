@@ -31,6 +31,12 @@ def test_unnumbered_box_leaves_the_headline():
     assert layout.hidden_lines(list(enumerate(lines, 1))) == [1, 2, 3]
 
 
+def test_a_box_of_many_titles_ends_at_the_first_text():
+    titles = [f"The boat of the lake {w}" for w in "abcdefghijklmnopqrst"]
+    lines = [PAGE[4], PAGE[7], "Related articles", *titles, PAGE[15]]
+    assert layout.hidden_lines(list(enumerate(lines, 1))) == list(range(3, 4 + len(titles)))
+
+
 SPAM = {
     1: ["phone case cheap phone case best phone case cheap"] * 3 + ["phone case buy phone case outlet phone case sale"],
     2: ["http://a.example/1", "Lamp - http://b.example/", "[x](https://c.example/x)", "http://d.example/2"],
