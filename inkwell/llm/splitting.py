@@ -1,9 +1,11 @@
 """Cutting oversized texts into pieces at natural boundaries.
 
 The least number of pieces is computed, equal-length targets are placed, and
-each cut moves to the strongest boundary near its target.  If a piece breaks
-the limit when it is encoded alone, or a cut finds no boundary, a piece is
-added and the targets are placed anew.
+each cut moves to the strongest boundary near its target.  If a cut finds no
+boundary, a piece is added and the targets are placed anew.  If a piece breaks
+the limit when it is encoded alone, or the overlap can't be had, the targets
+are placed anew after every cut, for the rest of the text: pieces are added
+where they are needed, and the pass always ends.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from inkwell.llm import tokens
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, NONE, INSIDE = 5, 4, 3, 2, 1, 0, -1
 NEAR = 0.25  # part of a piece's length that a cut may move
 EXTRA = 3  # pieces added for want of a boundary; a broken limit adds as many as it takes
+LONGER = 8  # tokens by which a part can be above the limit and still within it when encoded alone
 
 
 @dataclass
@@ -29,6 +32,7 @@ class Piece:
     end: int  # token after the last
     n_tokens: int  # of the piece encoded alone
     text: str
+    exact: bool = True  # within the limit, and with the whole overlap to the piece before
 
 
 class Text:
@@ -77,6 +81,12 @@ class Text:
         inside[line] = LINE
         inside[line & ((two == 10) | ((two == 13) & (b[np.maximum(inner - 3, 0)] == 10)))] = PARAGRAPH
         self.strength = strength
+        # the last place at or before each token, and the first at or after it, that isn't inside a character
+        self.back = self.on = None
+        if (inner_character := strength == INSIDE).any():
+            every = np.arange(self.n + 1)
+            self.back = np.maximum.accumulate(np.where(inner_character, 0, every))
+            self.on = np.minimum.accumulate(np.where(inner_character, self.n, every)[::-1])[::-1]
         # boundaries that the tokenizer's own splitting can't cross: encoding a part that begins there gives the same tokens
         self.safe = np.ones(self.n + 1, dtype=bool)
         self.safe[1:-1] = (white_next & solid) | ((last == 10) & (next_ > 32) & (next_ < 128))
@@ -104,51 +114,57 @@ class Text:
         tail = head + int(earlier[-1])
         return more + tail - head + len(self._encode(self.part(tail, end)))
 
-    def _begin(self, end: int, overlap: int, floor: int) -> int:
-        """First token of the piece after a cut at ``end``: ``overlap`` tokens back, earlier where that is inside a character."""
-        start = max(end - overlap, floor)
-        while start > floor and self.strength[start] == INSIDE:
-            start -= 1
-        return start if self.strength[start] != INSIDE or start == 0 else end
+    def _whole_before(self, at: int) -> int:
+        """The last place at or before a token that isn't inside a character."""
+        return at if self.back is None else int(self.back[at])
+
+    def _whole_after(self, at: int) -> int:
+        return at if self.on is None else int(self.on[at])
+
+    def _least_cut(self, start: int, overlap: int) -> int:
+        """The first cut after which the next piece, ``overlap`` tokens back or at the character before, begins later than ``start``."""
+        return self._whole_after(min(self._whole_after(start + 1) + overlap, self.n))
 
     def _strongest(self, low: int, high: int, target: int) -> int:
         """The strongest boundary from ``low`` to ``high``, of equal ones the nearest to the target."""
         away = np.abs(np.arange(low - target, high + 1 - target))
         return low + int(np.argmax(self.strength[low : high + 1] * np.int64(1 << 32) - away))
 
-    def cuts(self, pieces: int, limit: int, overlap: int) -> tuple[list[tuple[int, int]], bool]:
-        """Spans of about equal length, and whether every cut is at a natural boundary."""
+    def cuts(self, pieces: int, limit: int, overlap: int) -> tuple[list[tuple[int, int]] | None, bool]:
+        """Spans of about equal length (None if the overlap can't be had), and whether every cut is at a natural boundary."""
         n, spans, start, natural = self.n, [], 0, True
         step = (n - overlap) / pieces
         reach = max(1, int(step * NEAR))
         for j in range(1, pieces):
             target = round(j * step) + overlap
-            high = min(start + limit, n - 1, target + reach)
-            low = max(start + overlap + 1, target - reach, n - (pieces - j) * (limit - overlap))
-            if low > high:
-                low = high = max(start + overlap + 1, min(start + limit, n - 1, max(low, 1)))
-            low, high = min(low, n - 1), min(high, n - 1)
-            cut = self._strongest(low, high, target)
+            least = self._least_cut(start, overlap)
+            most = min(start + limit, n - 1)
+            if least > most:
+                return None, False
+            rest = max(least, n - (pieces - j) * (limit - overlap))  # leaves what the other pieces can hold
+            low, high = min(max(rest, target - reach), most), max(min(most, target + reach), least)
+            cut = self._strongest(min(low, high), max(low, high), target)
             if self.strength[cut] < WORD:  # none nearby: any that leaves the rest within its pieces
-                cut = self._strongest(min(low, max(start + overlap + 1, n - (pieces - j) * (limit - overlap))), max(high, min(start + limit, n - 1)), target)
-            if self.strength[cut] == INSIDE:  # no whole character ends in reach: go back to one, else on to one
-                while cut > start + 1 and self.strength[cut] == INSIDE:
-                    cut -= 1
-                while cut < n and self.strength[cut] == INSIDE:
-                    cut += 1
+                cut = self._strongest(min(rest, most), most, target)
+            if self.strength[cut] == INSIDE:  # no whole character ends in reach
+                cut = self._whole_before(cut)
+                if cut < least:
+                    return None, False
             natural &= bool(self.strength[cut] >= WORD)
-            if cut <= start or cut >= n:
-                break
             spans.append((start, cut))
-            start = self._begin(cut, overlap, start + 1)
+            start = self._whole_before(cut - overlap)
         spans.append((start, n))
         return spans, natural
 
     def pieces(self, limit: int, overlap: int = 0) -> list[Piece]:
         """Ordered pieces within the limit; one piece where the whole text is.
 
-        Consecutive pieces share ``overlap`` tokens of the text's tokens, up
-        to three more where the overlap would begin inside a character.
+        Consecutive pieces share ``overlap`` tokens of the text's tokens, more
+        only as far as the overlap would begin inside a character (up to three
+        tokens, where no token holds parts of two characters).  Where single
+        characters take so many tokens that a limit has no room for one and
+        the overlap, a piece shares as much as it can, and a character above
+        the limit is a piece alone; these pieces are not ``exact``.
         """
         if limit < 1 or not 0 <= overlap < limit:
             raise ValueError("limit must be above the overlap")
@@ -156,23 +172,62 @@ class Text:
             return [Piece(0, self.n, self.n, self.part(0, self.n))] if self.n else []
         least = -(-(self.n - overlap) // (limit - overlap))
         found = None
-        for k in range(least, self.n + 1):
+        for k in range(least, least + EXTRA + 1):
             spans, natural = self.cuts(k, limit, overlap)
-            if all(e - s <= limit + 8 for s, e in spans):
-                counts = [self.count(s, e) for s, e in spans]
-                if max(counts) <= limit:
-                    found = found or (spans, counts)
-                    if natural:
-                        found = (spans, counts)
-                        break
-            if k - least >= EXTRA and found:
-                break
-            if k - least > 64 and not found:  # a limit of about one character's tokens
+            if spans is None:
                 break
-        if not found:
-            spans = self.cuts(self.n, limit, 0)[0]
-            found = (spans, [self.count(s, e) for s, e in spans])
-        return [Piece(s, e, c, self.part(s, e)) for (s, e), c in zip(*found, strict=True)]
+            if found and not natural:
+                continue
+            if any(e - s > limit + LONGER for s, e in spans):
+                continue
+            counts = [self.count(s, e) for s, e in spans]
+            if max(counts) <= limit:
+                found = spans, counts
+                if natural:
+                    break
+        if found:
+            return [Piece(s, e, c, self.part(s, e)) for (s, e), c in zip(*found, strict=True)]
+        return self._one_by_one(limit, overlap)
+
+    def _one_by_one(self, limit: int, overlap: int) -> list[Piece]:
+        """Pieces whose targets are placed anew after each cut, for what is left of the text."""
+        n, out, start, done, exact = self.n, [], 0, 0, True
+        while True:
+            if n - start <= limit + LONGER and (c := self.count(start, n)) <= limit:
+                out.append(Piece(start, n, c, self.part(start, n), exact))
+                return out
+            left = max(2, -(-(n - start - overlap) // (limit - overlap)))
+            step = (n - start - overlap) / left
+            cut = self._fitting(start, max(self._least_cut(start, overlap), done + 1), limit, start + overlap + round(step), max(1, int(step * NEAR)))
+            if cut is not None:
+                begin, whole = self._whole_before(cut - overlap), True
+            else:  # no room for a character more and the overlap: a shorter one
+                whole = False
+                while (cut := self._fitting(start, done + 1, limit, start + limit, limit)) is None and start < done:
+                    start, exact = self._whole_after(start + 1), False
+                if cut is None:
+                    cut, exact = self._whole_after(done + 1), False
+                begin = min(max(self._whole_before(max(cut - overlap, 0)), self._whole_after(start + 1)), cut)
+            out.append(Piece(start, cut, self.count(start, cut), self.part(start, cut), exact))
+            if cut >= n:
+                return out
+            start, done, exact = begin, cut, whole or cut - begin >= overlap
+
+    def _fitting(self, start: int, least: int, limit: int, target: int, reach: int) -> int | None:
+        """The strongest boundary near the target up to which a piece is within the limit, else the nearest place, if any."""
+        most = min(start + limit, self.n)
+        if least > most:
+            return None
+        low, high = max(least, min(target - reach, most)), min(most, max(target + reach, least))
+        cut = self._strongest(low, high, target)
+        if self.strength[cut] != INSIDE and self.count(start, cut) <= limit:
+            return cut
+        at = np.arange(least, most + 1)
+        at = at[self.strength[least : most + 1] != INSIDE]
+        for cut in at[np.argsort(np.abs(at - target), kind="stable")].tolist():
+            if self.count(start, cut) <= limit:
+                return cut
+        return None
 
 
 _WHITE, _SENTENCE, _CLAUSE, _QUOTE = 1, 2, 3, 4
@@ -198,23 +253,24 @@ _WIDE_SENTENCE = _codes("。！？…｡")
 _WIDE_CLAUSE = _codes("、，；：")
 _WIDE_QUOTE = _codes("”’“」")
 
-_DDL = "limit_name string, doc_id bigint, piece_no int, start_token bigint, end_token bigint, n_tokens int, text string"
+_DDL = "limit_name string, doc_id bigint, piece_no int, start_token bigint, end_token bigint, n_tokens int, exact boolean, text string"
 
 
 def split_documents(documents: DataFrame, limits: list[tuple[str, int, int]], path: str = tokens.RANKS) -> DataFrame:
     """Pieces of every text above a limit, for each of ``limits`` (name, tokens, overlap).
 
     Returns ``limit_name, doc_id, piece_no, start_token, end_token, n_tokens,
-    text`` with pieces numbered from 1.  ``start_token`` and ``end_token``
-    count tokens of the whole text; ``n_tokens`` those of the piece encoded
-    alone.  Texts within a limit, null and empty ones have no rows; a row that
+    exact, text`` with pieces numbered from 1.  ``start_token`` and
+    ``end_token`` count tokens of the whole text; ``n_tokens`` those of the
+    piece encoded alone.  ``exact`` is false for a piece in which one
+    character's tokens leave no room for limit or overlap.  Texts within a limit, null and empty ones have no rows; a row that
     stands twice is split twice.
     """
     for _, limit, overlap in limits:
         if limit < 1 or not 0 <= overlap < limit:
             raise ValueError("limits must be above their overlap")
     names = _DDL.replace(",", "").split()[::2]
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoding(path).encode_ordinary
@@ -231,7 +287,7 @@ def split_documents(documents: DataFrame, limits: list[tuple[str, int, int]], pa
                 for name, limit, overlap in limits:
                     if whole.n > limit:
                         for i, p in enumerate(whole.pieces(limit, overlap), 1):
-                            rows.append((name, doc_id, i, p.start, p.end, p.n_tokens, p.text))
+                            rows.append((name, doc_id, i, p.start, p.end, p.n_tokens, p.exact, p.text))
                             held += len(p.text)
                 if held > 4_000_000:  # batches of bounded size
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)

@@ -1,7 +1,7 @@
 from pathlib import Path
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from inkwell.llm import splitting, tokens
@@ -11,15 +11,16 @@ pytestmark = pytest.mark.skipif(not Path(tokens.RANKS).exists(), reason="no voca
 PROSE = "\n\n".join("The bridge was moved, and nobody saw it. It was found again. " * 4 for _ in range(12))
 
 
-def check(text, limit, overlap):
+def check(text, limit, overlap, exact=True):
     whole = splitting.Text(text)
     pieces = whole.pieces(limit, overlap)
     encode = tokens.encoding().encode_ordinary
     assert pieces[0].start == 0 and pieces[-1].end == whole.n
     for p in pieces:
-        assert p.n_tokens == len(encode(p.text)) <= limit
+        assert p.n_tokens == len(encode(p.text)) and (p.n_tokens <= limit or not p.exact)
+        assert p.exact or not exact
     for a, b in zip(pieces, pieces[1:]):
-        assert overlap <= a.end - b.start <= overlap + 3 and b.end > a.end
+        assert (overlap <= a.end - b.start <= overlap + 3 or not b.exact) and b.end > a.end >= b.start > a.start
     glued, upto = b"", 0
     for p in pieces:
         glued += whole.data[whole.ends[max(upto, p.start)] : whole.ends[p.end]]
@@ -48,10 +49,25 @@ def test_texts_without_usual_boundaries(text):
 
 
 @given(st.text(st.sampled_from("ab c.!\n,é日。🙂\tж\u00a0\u3000\u2009”"), min_size=1, max_size=400), st.integers(8, 40), st.integers(0, 3))
-@settings(deadline=None, max_examples=150)
+@settings(deadline=None, max_examples=300)
+@example(text="\u2009a\na.a\u2009", limit=8, overlap=3)
 def test_any_text(text, limit, overlap):
     if splitting.Text(text).n > limit:
-        check(text, limit, overlap)
+        check(text, limit, overlap, exact=limit >= 12)
+
+
+@pytest.mark.parametrize("text", ["🙂" * 3000, "é日🙂\u2009" * 1500, "🙂🎉♥日é a" * 400])
+@pytest.mark.parametrize("limit,overlap", [(8, 0), (8, 2), (16, 5), (32, 9), (64, 16)])
+def test_characters_of_many_tokens(text, limit, overlap):
+    whole, pieces = check(text, limit, overlap)
+    # each piece but the last gets on by what limit and overlap leave, less what characters cut from both ends and its re-encoding
+    assert len(pieces) <= 2 + whole.n / max(1, limit - overlap - 6)
+
+
+@pytest.mark.parametrize("limit,overlap", [(1, 0), (2, 1), (5, 4), (8, 7)])
+def test_limits_below_a_character_are_told(limit, overlap):
+    whole, pieces = check("a🙂b\u2009🎉c" * 20, limit, overlap, exact=False)
+    assert not all(p.exact for p in pieces)
 
 
 def test_documents(spark, rows):
