@@ -66,14 +66,16 @@ class Text:
         inside[quoted[before == _SENTENCE]] = SENTENCE
         if len(data) != len(text):  # closing quotes and wide punctuation take three bytes
             third = b[np.maximum(inner - 3, 0)]
-            wide = np.flatnonzero((third == 0xE2) | (third == 0xE3) | (third == 0xEF))
-            code = (third[wide].astype(np.int32) << 16) | (two[wide].astype(np.int32) << 8) | last[wide]
-            strong = _among(code, _WIDE_SENTENCE) | (at_word[wide] & _among(code, _WIDE_QUOTE) & (_KIND[b[np.maximum(inner[wide] - 4, 0)]] == _SENTENCE))
-            inside[wide[_among(code, _WIDE_CLAUSE) & (inside[wide] < CLAUSE)]] = CLAUSE
-            inside[wide[strong]] = SENTENCE
             inside[(next_ & 0xC0) == 0x80] = INSIDE
             solid = ~white_last
-            solid[wide[_among(code, _WIDE_SPACE)]] = False
+            wide = np.flatnonzero((third == 0xE2) | (third == 0xE3) | (third == 0xEF) | (third == 0xE1))
+            if len(wide):
+                kind = _WIDE[_place(third[wide], two[wide], last[wide])]
+                inside[wide[(kind == _CLAUSE) & (inside[wide] < CLAUSE)]] = CLAUSE
+                inside[wide[kind == _SENTENCE]] = SENTENCE
+                quoted = wide[(kind == _QUOTE) & at_word[wide]]
+                inside[quoted[_KIND[b[np.maximum(inner[quoted] - 4, 0)]] == _SENTENCE]] = SENTENCE
+                solid[wide[kind == _WHITE]] = False
             solid[(two == 0xC2) & ((last == 0xA0) | (last == 0x85))] = False
         else:
             solid = ~white_last
@@ -92,6 +94,8 @@ class Text:
         self.safe[1:-1] = (white_next & solid) | ((last == 10) & (next_ > 32) & (next_ < 128))
         self.safe_end = self.safe.copy()
         self.safe_end[1:-1] &= ~white_last
+        self._safe = self.safe_end.tobytes()  # searched as bytes, which is far quicker than slices of arrays
+        self._strengths = (strength + 1).tobytes()
 
     def part(self, start: int, end: int) -> str:
         return self.data[self.ends[start] : self.ends[end]].decode("utf-8", "replace")
@@ -101,17 +105,15 @@ class Text:
         if start == 0 or self.safe[start]:
             head, more = start, 0
         else:
-            later = np.flatnonzero(self.safe_end[start + 1 : end] & self.safe[start + 1 : end])
-            if not len(later):
+            head = self._safe.find(1, start + 1, end)
+            if head < 0:
                 return len(self._encode(self.part(start, end)))
-            head = start + 1 + int(later[0])
             more = len(self._encode(self.part(start, head)))
         if end == self.n or self.safe_end[end]:
             return more + end - head
-        earlier = np.flatnonzero(self.safe_end[head:end] & self.safe[head:end])
-        if not len(earlier):
+        tail = self._safe.rfind(1, head, end)
+        if tail < 0:
             return more + len(self._encode(self.part(head, end)))
-        tail = head + int(earlier[-1])
         return more + tail - head + len(self._encode(self.part(tail, end)))
 
     def _whole_before(self, at: int) -> int:
@@ -127,8 +129,12 @@ class Text:
 
     def _strongest(self, low: int, high: int, target: int) -> int:
         """The strongest boundary from ``low`` to ``high``, of equal ones the nearest to the target."""
-        away = np.abs(np.arange(low - target, high + 1 - target))
-        return low + int(np.argmax(self.strength[low : high + 1] * np.int64(1 << 32) - away))
+        target = min(max(target, low), high)
+        for value in range(PARAGRAPH + 1, -1, -1):
+            before, after = self._strengths.rfind(value, low, target + 1), self._strengths.find(value, target + 1, high + 1)
+            if before >= 0 or after >= 0:
+                return before if after < 0 or 0 <= target - before <= after - target and before >= 0 else after
+        return low
 
     def cuts(self, pieces: int, limit: int, overlap: int) -> tuple[list[tuple[int, int]] | None, bool]:
         """Spans of about equal length (None if the overlap can't be had), and whether every cut is at a natural boundary."""
@@ -236,22 +242,16 @@ for _kind, _bytes in ((_WHITE, b" \t\n\v\f\r"), (_SENTENCE, b".!?"), (_CLAUSE, b
     _KIND[list(_bytes)] = _kind
 
 
-def _codes(characters: str) -> list[int]:
-    return [int.from_bytes(c.encode(), "big") for c in characters]
+def _place(first, second, third):
+    """Where a character of three bytes stands in the table of wide ones."""
+    return (np.asarray(first, dtype=np.int32) & 15) << 16 | np.asarray(second, dtype=np.int32) << 8 | third
 
 
-def _among(code: np.ndarray, values: list[int]) -> np.ndarray:
-    """Which of the codes are one of a few values."""
-    found = code == values[0]
-    for v in values[1:]:
-        found |= code == v
-    return found
-
-
-_WIDE_SPACE = _codes("\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
-_WIDE_SENTENCE = _codes("。！？…｡")
-_WIDE_CLAUSE = _codes("、，；：")
-_WIDE_QUOTE = _codes("”’“」")
+_WIDE = np.zeros(1 << 20, dtype=np.int8)  # what a character of three bytes is; first bytes E1, E2, E3 and EF only
+for _kind, _characters in ((_WHITE, "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"),
+                           (_SENTENCE, "。！？…｡"), (_CLAUSE, "、，；："), (_QUOTE, "”’“」")):
+    for _character in _characters:
+        _WIDE[_place(*_character.encode())] = _kind
 
 _DDL = "limit_name string, doc_id bigint, piece_no int, start_token bigint, end_token bigint, n_tokens int, exact boolean, text string"
 
