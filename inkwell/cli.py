@@ -3,17 +3,21 @@
     python -m inkwell.cli build CORPUS INDEX_FOLDER
     python -m inkwell.cli rank CORPUS RANK_FOLDER
     python -m inkwell.cli search INDEX_FOLDER            (queries from standard input)
+
+On a cluster, by ``spark-submit``: master, memory, shuffle partitions and
+``spark.checkpoint.dir`` (the folder that all executors share) are the submit's.
 """
 
 from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from inkwell.operators import index, links, rank, search, snippets
-from inkwell.session import local_session
+from inkwell.session import session
 from inkwell.sources import trec
 from inkwell.storage import materialize
 
@@ -34,7 +38,14 @@ def rank_corpus(spark, corpus: str, folder: str, normalized: bool = False) -> in
 def answer(spark, opened: index.Index, query: str, mode: str) -> str:
     """The printed result of one query."""
     words = search.check(query, mode)
-    best = snippets.with_snippets(materialize(search.search(opened, query, mode), "results"), opened.docs, words).collect()
+    asked = spark.createDataFrame([(0, query, mode)], "query_id int, query string, mode string")
+    narrow = replace(opened, lexicon=opened.lexicon.where(F.col("term").isin(words) if words else F.lit(False)))
+    state = search.states(narrow, asked).first().state
+    if state == search.NOTHING:
+        return "No result"
+    if state == search.INCOMPLETE:
+        return "Not every word is in the index; ask again with d"
+    best = snippets.with_snippets(search.search(opened, query, mode), opened.docs, words).collect()
     if not best:
         return "No result"
     return "\n\n".join(f"URL: {r.url}\nBM25 Score: {r.score}\nSnippet:\n{r.snippet or ''}" for r in best)
@@ -64,7 +75,8 @@ def main(argv: list[str] | None = None) -> None:
         s.add_argument("folder")
     sub.add_parser("search").add_argument("folder")
     given = p.parse_args(argv)
-    spark = local_session(app=f"inkwell {given.what}")
+    spark = session(f"inkwell {given.what}")
+    spark.sparkContext.setLogLevel("ERROR")
     if given.what == "build":
         build(spark, given.corpus, given.folder)
     elif given.what == "rank":

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The characters that separate the tokens of a document.
 SEPARATORS = ' "?.,:()<>“”;!~\'|#{}[]$‘’*-+%&—–_/'
@@ -38,20 +34,18 @@ def query_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
 
 
-@F.pandas_udf(T.StringType())
-def plain_decimal(x: pd.Series) -> pd.Series:
-    """A double in plain notation: shortest form that reads back, no exponent, no trailing zeros."""
-
-    def one(v) -> str | None:
-        if v is None or pd.isna(v) and not isinstance(v, float):
-            return None
-        if v != v:
-            return "NaN"
-        if v in (float("inf"), float("-inf")):
-            return "Infinity" if v > 0 else "-Infinity"
-        if v == 0:
-            return "0"
-        text = format(Decimal(repr(float(v))), "f")
-        return text.rstrip("0").rstrip(".") if "." in text else text
-
-    return x.map(one)
+def plain_decimal(x: Column | str) -> Column:
+    """A double in plain notation: the digits of its text form, no exponent, no trailing zeros; null stays null."""
+    text = (F.col(x) if isinstance(x, str) else x).cast("string")
+    part = lambda i: F.regexp_extract(text, r"^(-?)([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", i)
+    digits = F.concat(part(2), part(3))
+    point = F.length(part(2)) + F.coalesce(part(4).try_cast("int"), F.lit(0))
+    n = F.length(digits)
+    plain = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n)))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+    )
+    short = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    value = F.col(x) if isinstance(x, str) else x
+    return F.when(value == 0, F.lit("0")).when(F.isnan(value) | (F.abs(value) == float("inf")), text).otherwise(F.concat(part(1), short))

@@ -1,8 +1,9 @@
 """Per-key results when a few keys own most rows: aggregation by a tree.
 
 Level 0 folds each scan chunk (a bounded slice of the input files) to one
-state per key inside its task.  Each later level merges the states of
-``fan_in`` neighbouring chunks.  A key that stands in every chunk therefore
+state per key inside its task, before anything is exchanged.  Every exchange
+merges the states of ``fan_in`` neighbours: first those of chunks, then those
+of the merges before.  A key that stands in every chunk therefore
 meets at most ``fan_in`` states per task and level, and no reducer gets all
 partials of a hot key: the depth is the logarithm of the number of chunks.
 """
@@ -15,7 +16,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FAN_IN = 16
+FAN_IN = 8
 
 
 def tree_aggregate(
@@ -44,15 +45,16 @@ def tree_aggregate(
         node += "_"
     # spark_partition_id is not deterministic for the planner, so it stands in a projection of its own
     leaves = df.withColumn(node, F.pmod(F.spark_partition_id(), F.lit(chunks)))
-    states = leaves.groupBy(*keys, node).agg(*[c.alias(n) for n, c in first.items()])
-    width = chunks
-    while width > 1:
-        width = math.ceil(width / fan_in)
-        joined = [getattr(F, how)(n).alias(n) for n, how in merge.items()]
+    width, states = math.ceil(chunks / fan_in), leaves.withColumn(node, (F.col(node) / fan_in).cast("int"))
+    how = [c.alias(n) for n, c in first.items()]
+    while True:
+        # the task's own fold of its rows is Spark's partial aggregate, and the exchange brings the neighbours' folds together
+        states = states.groupBy(*keys, *([node] if width > 1 else [])).agg(*how)
         if width == 1:
-            return states.groupBy(*keys).agg(*joined)
-        states = states.groupBy(*keys, (F.col(node) / fan_in).cast("int").alias(node)).agg(*joined)
-    return states.drop(node)
+            return states
+        width = math.ceil(width / fan_in)
+        states = states.withColumn(node, (F.col(node) / fan_in).cast("int"))
+        how = [getattr(F, f)(n).alias(n) for n, f in merge.items()]
 
 
 def scan_chunks(df: DataFrame) -> int:

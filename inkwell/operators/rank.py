@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.storage import materialize
+from inkwell.storage import discard, materialize
 
 DAMPING = 0.85
 THRESHOLD = 1e-4
@@ -36,8 +36,8 @@ def fixpoint(
     pages without links is not handed round.  The update can diverge, which
     raises ``Diverged``.  Contributions are summed per target before the
     exchange, so a page that everything links to costs one row per task; each
-    iteration is a table in the shared folder, and only the largest change
-    comes to the driver.
+    iteration is a table in the shared folder, of which the two last are kept,
+    and only the largest change comes to the driver.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
@@ -47,18 +47,18 @@ def fixpoint(
     else:
         edges = edges.select("src", "dst", F.lit(1.0).alias("part"))
     edges = materialize(edges, "edges")
-    current = materialize(nodes.select("doc_id").distinct().withColumn("rank", F.lit(start)), "ranks")
+    before = current = materialize(nodes.select("doc_id").distinct().select("doc_id", F.lit(start).alias("rank")), "ranks")
     for i in range(1, iterations + 1):
         given = current.join(edges, F.col("doc_id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
         changed = current.join(given, F.col("doc_id") == F.col("dst"), "left").select(
             "doc_id", (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("was"))
         changed = materialize(changed, "ranks")
+        discard(before)
         most = changed.agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0]
-        current = changed.select("doc_id", "rank")
-        if most is None:
+        before, current = changed, changed.select("doc_id", "rank")
+        if most is None or most <= threshold:
+            discard(edges)
             return Ranks(current, i)
         if not math.isfinite(most):
             raise Diverged(f"ranks are no longer finite after {i} iterations")
-        if most <= threshold:
-            return Ranks(current, i)
     raise Diverged(f"ranks still change after {iterations} iterations")

@@ -83,3 +83,26 @@ def matching_documents(index: Index, words: list[str], mode: str) -> DataFrame:
     wanted = sorted({w.lower() for w in words if w})
     hits = index.postings.where(F.col("term").isin(wanted)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return hits.where(F.col("n") >= (len(wanted) if mode == "c" else 1)).where(F.lit(bool(wanted))).select("doc_id")
+
+
+#: What becomes of a query.
+ANSWERED, TOO_LONG, NO_MODE, NOTHING, INCOMPLETE = "answered", "too many words", "unknown mode", "no word found", "some words missing"
+
+
+def states(index: Index, queries: DataFrame) -> DataFrame:
+    """``query_id, state``: whether a query can be answered, and if not why, before anything is searched.
+
+    In turn: more than ten words, a mode that isn't known, no word that any
+    document has (also a query without words), or, of a conjunctive query,
+    some word that none has.  Only the lexicon is read.
+    """
+    words = text.query_words(F.col("query"))
+    each = queries.select("query_id", F.lower(F.trim("mode")).alias("mode"), F.size(words).alias("n_words"), F.explode_outer(F.array_distinct(words)).alias("term"))
+    known = index.lexicon.select("term", F.lit(1).alias("known"))
+    met = each.join(known, "term", "left").groupBy("query_id").agg(
+        F.first("mode").alias("mode"), F.first("n_words").alias("n_words"), F.count("term").alias("terms"), F.count("known").alias("known"))
+    state = (
+        F.when(F.col("n_words") > MOST_WORDS, TOO_LONG).when(F.coalesce(~F.col("mode").isin(*MODES), F.lit(True)), NO_MODE)
+        .when(F.col("known") == 0, NOTHING).when((F.col("mode") == "c") & (F.col("known") < F.col("terms")), INCOMPLETE).otherwise(ANSWERED)
+    )
+    return met.select("query_id", state.alias("state"))

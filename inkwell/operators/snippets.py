@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.storage import materialize
+
 _SPECIAL = re.compile(r"([\\^$.|?*+()\[\]{}\-&#~])")
 
 
@@ -43,7 +45,11 @@ def snippet(body: Column, words: list[str]) -> Column:
 
 
 def with_snippets(results: DataFrame, docs: DataFrame, words: list[str]) -> DataFrame:
-    """``results`` (``rank, doc_id, url, score``) with the snippet of each document; only their bodies are read."""
+    """``results`` (``rank, doc_id, url, score``) with the snippet of each document; only their bodies are read.
+
+    The results, a few rows, are kept as a table, as they are used twice.
+    """
+    results = materialize(results, "results")
     bodies = docs.select("doc_id", "body").join(results.select("doc_id"), "doc_id", "left_semi")
     texts = bodies.select("doc_id", snippet(F.col("body"), words).alias("snippet"))
     return results.join(texts, "doc_id", "left").select("rank", "doc_id", "url", "score", "snippet").orderBy("rank")

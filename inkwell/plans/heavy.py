@@ -15,8 +15,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_word_statistics(spark: SparkSession, folder: str) -> DataFrame:
     heap = load(spark, folder, "heap_line")
-    chunks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return heavy_keys.word_statistics(heap, entries(load(spark, folder, "list_pointer")), chunks)
+    return heavy_keys.word_statistics(heap, entries(load(spark, folder, "list_pointer")), heavy_keys.scan_chunks(heap))
 
 
 ENTRIES_SQL = """

@@ -4,12 +4,14 @@ The corpus is ``documents``: its text is the body, its doc id the document
 number.  Links between documents don't occur in the texts, so every body gets
 the address of document ``doc_id div 2`` after it, and every fifth also that
 of ``doc_id div 3``; the links are then found in the whole texts.
+
+Searches and all that reads inverted lists go to a stored index, which the
+first of them builds once per session and folder; ``index_build`` builds one
+anew, and ``search_unstored_top10`` searches without.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from inkwell.functions.text import SEPARATORS
 from inkwell.operators import index, links, rank, search, snippets
 from inkwell.sources import trec
 from inkwell.sources.tables import load, spread
-from inkwell.storage import materialize, shared_dir
+from inkwell.storage import materialize, new_path
 
 #: Words of the example queries.
 ONE = "the"
@@ -26,6 +28,9 @@ SOME = "the harbour was"
 HOT = "die que the"
 MISSING = "the qqqnotaword"
 TWICE = "the the harbour"
+NONE = "qqqnotaword qqqnoword"
+#: Queries with their modes, of which some can't be answered.
+ASKED = [(SOME, "d"), (MISSING, "c"), (MISSING, "D"), (NONE, "d"), (NONE, "c"), ("", "d"), ("the", "x"), ("a b c d e f g h i j k", "d"), (TWICE, "c")]
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,8 +38,17 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     return spread(docs)
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
 def _index(spark: SparkSession, folder: str) -> index.Index:
-    return index.build(corpus(spark, folder))
+    """The stored index over a folder's documents, built by the session's first query that needs it."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _stored:
+        path = new_path(spark, "index")
+        index.save(corpus(spark, folder), path)
+        _stored[key] = path
+    return index.load(spark, _stored[key])
 
 
 def tokens_summary(spark, folder):
@@ -71,29 +85,65 @@ def lexicon_df(spark, folder):
 
 
 def index_blocks(spark, folder):
-    return index.block_metadata(materialize(index.postings(corpus(spark, folder)), "postings"))
+    return index.block_metadata(_index(spark, folder).postings)
 
 
 def stored_blocks(spark, folder):
     """Blocks as stored, their bytes decoded again: what a reader of the index gets."""
-    b = index.blocks(materialize(index.postings(corpus(spark, folder)), "postings"))
-    tfs = varbyte.decode_array("freq_bytes")
+    b = _index(spark, folder).blocks
     joined = lambda a: F.array_join(a.cast("array<string>"), ",")
+    gaps = varbyte.decode_array("docid_bytes")
     # gaps of a block count from the block before, so its first one is taken off
-    shift = F.col("first_doc_id") - F.element_at("gaps", 1)
-    return b.withColumn("gaps", varbyte.decode_array("docid_bytes")).select(
-        "term", "block_no", joined(varbyte.restore(F.col("gaps"), shift)).alias("doc_ids"), joined(tfs).alias("tfs"),
-        F.octet_length("docid_bytes").alias("docid_bytes"), F.octet_length("position_bytes").alias("position_bytes"))
+    b = b.withColumn("gaps", gaps).withColumn("ids", varbyte.restore(F.col("gaps"), F.col("first_doc_id") - F.get("gaps", F.lit(0))))
+    return b.select("term", "block_no", joined(F.col("ids")).alias("doc_ids"), joined(varbyte.decode_array("freq_bytes")).alias("tfs"),
+                    F.octet_length("docid_bytes").alias("docid_bytes"), F.octet_length("position_bytes").alias("position_bytes"))
+
+
+def index_build(spark, folder):
+    """An index built and stored anew; its lexicon."""
+    path = new_path(spark, "index")
+    index.save(corpus(spark, folder), path)
+    return index.load(spark, path).lexicon
 
 
 def lexicon_offsets(spark, folder):
-    return index.lexicon_offsets(index.block_metadata(materialize(index.postings(corpus(spark, folder)), "postings")))
+    return _index(spark, folder).lexicon
+
+
+def lexicon_file(spark, folder):
+    """The lexicon as text, written and read again."""
+    path = new_path(spark, "lexicon-file")
+    trec.write_lexicon(_index(spark, folder).lexicon, path)
+    return trec.read_lexicon(spark, path)
+
+
+def page_table_file(spark, folder):
+    """The page table as one text with its totals, written and read again."""
+    path = new_path(spark, "page-table")
+    pages = _index(spark, folder).page_table.select("doc_id", "url", F.concat(F.lit("D"), "doc_id").alias("doc_no"), "doc_len")
+    trec.write_page_table(pages, path)
+    return trec.read_page_table(spark, path).crossJoin(trec.read_page_totals(spark, path))  # one row of totals
+
+
+def binary_index(spark, folder):
+    """The file of inverted lists in its byte layout, opened by its metadata arrays and decoded: every block of every list."""
+    opened = _index(spark, folder)
+    file = materialize(index.list_file(opened.blocks), "list-file")
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return index.read_blocks(file, index.open_lists(file, opened.lexicon)).select("term", "block_no", "at", joined("doc_ids"), joined("tfs"))
+
+
+def binary_lists_from(spark, folder):
+    """Cursors over that file: of the words of a query, the doc ids from 100 on, blocks that end before them skipped and frequencies left coded."""
+    opened = _index(spark, folder)
+    file = materialize(index.list_file(opened.blocks), "list-file")
+    lists = index.open_lists(file, opened.lexicon.where(F.col("term").isin(SOME.split()))).where("last_doc_id >= 100")
+    return index.read_blocks(file, lists, frequencies=False).select("term", F.explode("doc_ids").alias("doc_id")).where("doc_id >= 100")
 
 
 def next_geq(spark, folder):
-    b = index.blocks(materialize(index.postings(corpus(spark, folder)), "postings")).select("term", "last_doc_id", "doc_ids")
     terms = load(spark, folder, "list_pointer").select(F.lower(F.trim("word")).alias("term"), F.col("doc_id").alias("target")).where("term <> ''").distinct()
-    return index.next_geq(b, terms)
+    return index.next_geq(_index(spark, folder).blocks, terms)
 
 
 def posting_sizes(spark, folder):
@@ -118,10 +168,10 @@ def run_lines(spark, folder):
 
 
 def merged_lists(spark, folder):
-    """Run lines merged to one list per word (in runs of doc ids), as lines of text."""
+    """Run lines merged to one list per word, as lines of text."""
     p = load(spark, folder, "heap_line").where("word IS NOT NULL").select("word", "doc_id", "positions").distinct()
     p = p.select(F.col("word").alias("term"), "doc_id", F.split("positions", ",").alias("positions"))
-    return trec.merged_lines(p).select("term", F.col("run").cast("bigint").alias("run"), "value")
+    return trec.merged_lines(p)
 
 
 def _search(query: str, mode: str):
@@ -132,7 +182,7 @@ def _search(query: str, mode: str):
 
 
 def _batch(spark: SparkSession, folder: str) -> DataFrame:
-    """Queries made of the first three words of each tenth page of the crawl, in both modes."""
+    """Queries made of the first three words of each hundredth document, in both modes."""
     pages = load(spark, folder, "documents").select("doc_id", text.document_tokens(F.col("text")).alias("w")).where("doc_id % 100 = 0 AND size(w) > 2")
     q = pages.select(F.col("doc_id").alias("id"), F.array_join(F.slice("w", 1, 3), " ").alias("query"))
     return q.select((F.col("id") * 2).alias("query_id"), "query", F.lit("c").alias("mode")).unionByName(
@@ -144,6 +194,17 @@ def batch_search_top10(spark, folder):
     return search.top(search.scores(_index(spark, folder), _batch(spark, folder)))
 
 
+def search_unstored_top10(spark, folder):
+    """The same search over documents that aren't indexed."""
+    return search.search(index.build(corpus(spark, folder)), SOME, "d")
+
+
+def query_states(spark, folder):
+    """Queries that can't be answered, and why."""
+    asked = spark.createDataFrame([(i, q, m) for i, (q, m) in enumerate(ASKED)], "query_id int, query string, mode string")
+    return search.states(_index(spark, folder), asked)
+
+
 def boolean_and_docs(spark, folder):
     return search.matching_documents(_index(spark, folder), SOME.split(), "c")
 
@@ -153,8 +214,8 @@ def boolean_or_docs(spark, folder):
 
 
 def snippets_top10(spark, folder):
-    found = search.search(_index(spark, folder), SOME, "d")
-    return snippets.with_snippets(found, corpus(spark, folder), SOME.split())
+    opened = _index(spark, folder)
+    return snippets.with_snippets(search.search(opened, SOME, "d"), opened.docs, SOME.split())
 
 
 def snippets_all(spark, folder):
@@ -179,11 +240,20 @@ def link_edges(spark, folder):
     return links.edges(_mentions(spark, folder), corpus(spark, folder))
 
 
-def full_ranks(spark, folder):
-    """The ranks as they are: one is of the order 1 / N, so that four decimals of it are zeros where N is large."""
+def _fixpoint(spark: SparkSession, folder: str) -> rank.Ranks:
     docs = corpus(spark, folder)
     n = docs.where("url IS NOT NULL").select("url").distinct().count()
-    return rank.fixpoint(docs.select("doc_id"), links.edges(_mentions(spark, folder), docs), max(1, n)).ranks
+    return rank.fixpoint(docs.select("doc_id"), links.edges(_mentions(spark, folder), docs), max(1, n))
+
+
+def full_ranks(spark, folder):
+    """The ranks as they are: one is of the order 1 / N, so that four decimals of it are zeros where N is large."""
+    return _fixpoint(spark, folder).ranks
+
+
+def pagerank_iterations(spark, folder):
+    """After how many updates the ranks stand still."""
+    return spark.range(1).select(F.lit(_fixpoint(spark, folder).iterations).alias("iterations"))
 
 
 def full_rank_lines(spark, folder):
@@ -200,23 +270,24 @@ def rank_lines(spark, folder):
     return pagerank_undivided(spark, folder).select("doc_id", text.plain_decimal("rank").alias("line"))
 
 
-def section_offsets(spark, folder):
-    """Where each section of the corpus ends in its text form."""
+def _corpus_text(spark: SparkSession, folder: str) -> str:
+    """The documents as marked-up text in a folder of its own: line ends in a text are kept, empty lines are not."""
     docs = load(spark, folder, "documents").select(
-        "doc_id", F.lit("D").alias("doc_no"), F.lit("u").alias("url"), F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]+", " ").alias("body"))
-    path = f"{shared_dir(spark)}/inkwell/corpus-{uuid.uuid4().hex}"
+        "doc_id", F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("doc_no"), F.coalesce("url", F.lit("")).alias("url"),
+        F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]+", "\n").alias("body"))
+    path = new_path(spark, "corpus")
     trec.write_corpus(docs, path)
-    return trec.section_offsets(trec.lines(spark, path)).select(F.col("end_byte").cast("bigint").alias("end_byte"))
+    return path
+
+
+def section_offsets(spark, folder):
+    """Where each section of the corpus ends in its text form."""
+    return trec.section_offsets(trec.lines(spark, _corpus_text(spark, folder))).select(F.col("end_byte").cast("bigint").alias("end_byte"))
 
 
 def trec_parse(spark, folder):
     """The corpus written as marked-up text and parsed again."""
-    docs = load(spark, folder, "documents").select(
-        "doc_id", F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("doc_no"), F.coalesce("url", F.lit("")).alias("url"),
-        F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]+", "\n").alias("body"))
-    path = f"{shared_dir(spark)}/inkwell/corpus-{uuid.uuid4().hex}"
-    trec.write_corpus(docs, path)
-    return trec.read_corpus(spark, path).select("doc_id", "doc_no", "url", F.length("body").alias("n_chars"), F.md5("body").alias("md5"))
+    return trec.read_corpus(spark, _corpus_text(spark, folder)).select("doc_id", "doc_no", "url", F.length("body").alias("n_chars"), F.md5("body").alias("md5"))
 
 
 QUERIES = {
@@ -227,6 +298,9 @@ QUERIES = {
     "search_missing_or": _search(MISSING, "d"),
     "search_missing_and": _search(MISSING, "c"),
     "search_duplicate_term": _search(TWICE, "d"),
+    "search_all_missing": _search(NONE, "d"),
+    "search_unstored_top10": search_unstored_top10,
+    "query_states": query_states,
     "batch_search_top10": batch_search_top10,
     "boolean_and_docs": boolean_and_docs,
     "boolean_or_docs": boolean_or_docs,
@@ -239,7 +313,12 @@ QUERIES = {
     "lexicon_df": lexicon_df,
     "index_blocks": index_blocks,
     "stored_blocks": stored_blocks,
+    "index_build": index_build,
     "lexicon_offsets": lexicon_offsets,
+    "lexicon_file": lexicon_file,
+    "page_table_file": page_table_file,
+    "binary_index": binary_index,
+    "binary_lists_from": binary_lists_from,
     "next_geq": next_geq,
     "posting_sizes": posting_sizes,
     "vbyte_roundtrip": vbyte_roundtrip,
@@ -250,6 +329,7 @@ QUERIES = {
     "url_dictionary": url_dictionary,
     "link_edges": link_edges,
     "pagerank_undivided": pagerank_undivided,
+    "pagerank_iterations": pagerank_iterations,
     "rank_lines": rank_lines,
     "full_ranks": full_ranks,
     "full_rank_lines": full_rank_lines,
@@ -315,10 +395,18 @@ _SNIPPET = r"""
   snip AS (SELECT doc_id, regexp_extract(body[1:a::BIGINT], '[^\n]*$') || body[a::BIGINT + 1:z::BIGINT] || regexp_extract(body[z::BIGINT + 1:], '^[^\n]*') AS snippet FROM x)"""
 
 _LINKS = r"""
-  men AS (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://[^\s<>"'']+')) AS url FROM documents
-          UNION ALL SELECT d.doc_id, unnest(regexp_extract_all(t.url, 'https?://[^\s<>"'']+')) FROM documents d JOIN documents t ON t.doc_id = d.doc_id // 2
-          UNION ALL SELECT d.doc_id, unnest(regexp_extract_all(t.url, 'https?://[^\s<>"'']+')) FROM documents d JOIN documents t ON t.doc_id = d.doc_id // 3
-          WHERE d.doc_id % 5 = 0 AND d.doc_id > 0),
+  src AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL
+          UNION ALL SELECT d.doc_id, t.url FROM documents d JOIN documents t ON t.doc_id = d.doc_id // 2 WHERE t.url IS NOT NULL
+          UNION ALL SELECT d.doc_id, t.url FROM documents d JOIN documents t ON t.doc_id = d.doc_id // 3
+          WHERE d.doc_id % 5 = 0 AND d.doc_id > 0 AND t.url IS NOT NULL),
+  raw AS (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://[^\s<>"'']+')) AS url FROM src
+          UNION SELECT doc_id, regexp_extract(regexp_replace(x, '[.,;:!?)\]}]+$', ''), '^[(\[{]*((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?::[0-9]+)?(?:[/?#].*)?)$', 1)
+          FROM (SELECT doc_id, unnest(string_split_regex(text, '[\s<>"'']+')) AS x FROM src)),
+  cut AS (SELECT doc_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1) AS sch FROM raw WHERE url <> ''),
+  rst AS (SELECT *, CASE WHEN sch <> '' THEN url[length(sch) + 4:] ELSE url END AS r FROM cut),
+  hst AS (SELECT *, regexp_extract(r, '^[^/?#]*') AS h FROM rst),
+  men AS (SELECT doc_id, url FROM hst UNION
+          SELECT doc_id, CASE WHEN sch <> '' THEN lower(sch) ELSE 'http' END || '://' || lower(h) || CASE WHEN r[length(h) + 1:] LIKE '/%' THEN '' ELSE '/' END || r[length(h) + 1:] FROM hst),
   dict AS (SELECT url, max(doc_id) AS doc_id FROM documents WHERE url IS NOT NULL GROUP BY url),
   e AS (SELECT DISTINCT men.doc_id AS src, dict.doc_id AS dst FROM men JOIN dict ON men.url = dict.url)"""
 
@@ -333,6 +421,23 @@ _RANK = f"""WITH RECURSIVE {_LINKS},
       WHERE it.d > 1e-4::DOUBLE)),
   final AS (SELECT doc_id, round(r, 4) AS rank FROM it WHERE k = (SELECT max(k) FROM it))"""
 
+_OFFSETS = f"""{_BLOCKS},
+  l AS (SELECT term, sum(n)::BIGINT AS df, count(*) AS n_blocks, (12 * count(*) + sum(docid_bytes) + sum(freq_bytes))::BIGINT AS bytes,
+               (4 * count(*) + sum(pos_bytes))::BIGINT AS pb FROM b GROUP BY 1),
+  offs AS (SELECT term, df, n_blocks, (sum(bytes) OVER w - bytes)::BIGINT AS start, (sum(bytes) OVER w)::BIGINT AS end,
+  (sum(pb) OVER w - pb)::BIGINT AS pos_start, (sum(pb) OVER w)::BIGINT AS pos_end FROM l WINDOW w AS (ORDER BY term ROWS UNBOUNDED PRECEDING))"""
+
+
+def _states_sql() -> str:
+    rows = ", ".join(f"({i}, '{q.lower()}', '{m.lower()}')" for i, (q, m) in enumerate(ASKED))
+    return f"""WITH {_TOKENS}, q(query_id, query, mode) AS (VALUES {rows}),
+  w AS (SELECT query_id, mode, list_filter(string_split(query, ' '), lambda x: x <> '') AS w FROM q),
+  k AS (SELECT query_id, count(DISTINCT term) AS known FROM (SELECT query_id, unnest(w) AS term FROM w) JOIN lex USING (term) GROUP BY 1)
+SELECT w.query_id, CASE WHEN len(w) > 10 THEN 'too many words' WHEN mode NOT IN ('c', 'd') THEN 'unknown mode'
+  WHEN coalesce(known, 0) = 0 THEN 'no word found' WHEN mode = 'c' AND known < len(list_distinct(w)) THEN 'some words missing' ELSE 'answered' END AS state
+FROM w LEFT JOIN k USING (query_id)"""
+
+
 _PATTERN = "|".join(f"({w})" for w in SOME.split())
 
 SQL = {
@@ -343,6 +448,9 @@ SQL = {
     "search_missing_or": _search_sql(MISSING, "d"),
     "search_missing_and": _search_sql(MISSING, "c"),
     "search_duplicate_term": _search_sql(TWICE, "d"),
+    "search_all_missing": _search_sql(NONE, "d"),
+    "search_unstored_top10": _search_sql(SOME, "d"),
+    "query_states": _states_sql(),
     "batch_search_top10": f"""WITH {_TOKENS}, {_BATCH},
   s AS (SELECT q.query_id, post.doc_id, round(sum({_SCORE}), 6) AS score FROM q JOIN lex USING (term) JOIN post USING (term)
         JOIN len ON len.doc_id = post.doc_id, st GROUP BY q.query_id, q.m, post.doc_id HAVING q.m = 1 OR count(*) = 3)
@@ -363,11 +471,17 @@ WHERE rank <= 10""",
 SELECT b.term, b.block_no, string_agg(o.doc_id, ',' ORDER BY o.doc_id) AS doc_ids, string_agg(o.tf, ',' ORDER BY o.doc_id) AS tfs,
   any_value(b.docid_bytes)::INT AS docid_bytes, any_value(b.pos_bytes)::INT AS position_bytes
 FROM b JOIN o ON o.term = b.term AND o.nth // 128 = b.block_no GROUP BY 1, 2""",
-    "lexicon_offsets": f"""WITH {_BLOCKS},
-  l AS (SELECT term, sum(n)::BIGINT AS df, count(*) AS n_blocks, (12 * count(*) + sum(docid_bytes) + sum(freq_bytes))::BIGINT AS bytes,
-               (4 * count(*) + sum(pos_bytes))::BIGINT AS pb FROM b GROUP BY 1)
-SELECT term, df, n_blocks, (sum(bytes) OVER w - bytes)::BIGINT AS start, (sum(bytes) OVER w)::BIGINT AS end,
-  (sum(pb) OVER w - pb)::BIGINT AS pos_start, (sum(pb) OVER w)::BIGINT AS pos_end FROM l WINDOW w AS (ORDER BY term ROWS UNBOUNDED PRECEDING)""",
+    "index_build": f"WITH {_OFFSETS} SELECT * FROM offs",
+    "lexicon_offsets": f"WITH {_OFFSETS} SELECT * FROM offs",
+    "lexicon_file": f"WITH {_OFFSETS} SELECT * EXCLUDE (n_blocks) FROM offs",
+    "page_table_file": f"""WITH {_TOKENS} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, coalesce(url, '') AS url, 'D' || doc_id AS doc_no, doc_len,
+  total_len, n_docs FROM len, st""",
+    "binary_index": f"""WITH {_OFFSETS},
+  s AS (SELECT b.term, b.block_no, (offs.start + 12 * n_blocks + sum(docid_bytes + freq_bytes) OVER (PARTITION BY b.term ORDER BY block_no ROWS UNBOUNDED PRECEDING)
+               - docid_bytes - freq_bytes)::BIGINT AS at FROM b JOIN offs ON offs.term = b.term)
+SELECT s.term, s.block_no, any_value(s.at) AS at, string_agg(o.doc_id, ',' ORDER BY o.doc_id) AS doc_ids, string_agg(o.tf, ',' ORDER BY o.doc_id) AS tfs
+FROM s JOIN o ON o.term = s.term AND o.nth // 128 = s.block_no GROUP BY 1, 2""",
+    "binary_lists_from": f"WITH {_TOKENS} SELECT term, doc_id FROM post WHERE doc_id >= 100 AND term IN ({', '.join(f"'{w}'" for w in SOME.split())})",
     "next_geq": f"""WITH {_TOKENS},
   t AS (SELECT DISTINCT lower(trim(word)) AS term, doc_id AS target FROM list_pointer WHERE trim(word) <> '')
 SELECT t.term, t.target, min(post.doc_id) FILTER (post.doc_id >= t.target) AS doc_id FROM t LEFT JOIN post ON post.term = t.term GROUP BY 1, 2""",
@@ -378,17 +492,18 @@ SELECT word, doc_id, list_sum(list_transform(range(len(p)), lambda i: {_VB.forma
     "run_lines": """SELECT word, doc_id, len(string_split(positions, ','))::INT AS tf, string_split(positions, ',')[1]::INT AS first
 FROM heap_line WHERE word IS NOT NULL AND positions IS NOT NULL AND doc_id IS NOT NULL""",
     "merged_lists": """WITH p AS (SELECT DISTINCT word, doc_id, positions FROM heap_line WHERE word IS NOT NULL)
-SELECT word AS term, doc_id // 65536 AS run, word || ' ' || string_agg(doc_id || ',' || positions, ' ' ORDER BY doc_id) AS value FROM p GROUP BY 1, 2""",
+SELECT word AS term, word || ' ' || string_agg(doc_id || ',' || positions, ' ' ORDER BY doc_id) AS value FROM p GROUP BY 1""",
     "snippets_top10": _search_sql(SOME, "d").replace("WITH ", f"WITH {_SNIPPET.format(p=_PATTERN, n=len(SOME.split())).replace('s AS (', 'sn AS (').replace('FROM s)', 'FROM sn)')},", 1)
     .replace("SELECT row_number()", "SELECT r.*, snippet FROM (SELECT row_number()").replace("LIMIT 10", "LIMIT 10) r LEFT JOIN snip ON snip.doc_id = r.doc_id"),
     "snippets_all": f"WITH {_SNIPPET.format(p=_PATTERN, n=len(SOME.split()))} SELECT documents.doc_id, snippet FROM documents LEFT JOIN snip ON snip.doc_id = documents.doc_id",
     "url_dictionary": "SELECT url, max(doc_id) AS doc_id FROM documents WHERE url IS NOT NULL GROUP BY url",
     "link_edges": f"WITH {_LINKS} SELECT src, dst FROM e",
     "pagerank_undivided": f"{_RANK} SELECT doc_id, rank FROM final",
+    "pagerank_iterations": f"{_RANK} SELECT max(k) AS iterations FROM it",
     "rank_lines": f"{_RANK} SELECT doc_id, regexp_replace(regexp_replace(printf('%.4f', rank), '0+$', ''), '[.]$', '') AS line FROM final",
-    "section_offsets": r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g') AS b FROM documents),
-  z AS (SELECT doc_id, strlen(b) + CASE WHEN b = '' THEN 0 ELSE 1 END AS n FROM d)
-SELECT (sum(6 + 17 + 7 + 2 + n + 8 + 7) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - 7 - 1)::BIGINT AS end_byte FROM z""",
+    "section_offsets": r"""WITH d AS (SELECT doc_id, 'D' || doc_id AS no, coalesce(url, '') AS url, regexp_replace(coalesce(text, ''), '[\r\n]+', chr(10), 'g') AS b FROM documents),
+  z AS (SELECT doc_id, 6 + 16 + strlen(no) + 7 + strlen(url) + 1 + strlen(b) + CASE WHEN b = '' THEN 0 ELSE 1 END AS n FROM d)
+SELECT (sum(n + 8 + 7) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - 7 - 1)::BIGINT AS end_byte FROM z""",
     "trec_parse": r"""WITH d AS (SELECT doc_id, 'D' || doc_id AS doc_no, coalesce(url, '') AS url,
   regexp_replace(coalesce(text, ''), '[\r\n]+', chr(10), 'g') AS body FROM documents)
 SELECT doc_id, doc_no, url, length(body)::INT AS n_chars, md5(body) AS md5 FROM d""",

@@ -13,15 +13,22 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
+def session(app: str = "inkwell") -> SparkSession:
+    """A session where the submit says: master, memory, shuffle partitions and shared folder are not set here."""
+    builder = SparkSession.builder.appName(app)
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
+    return ship(builder.getOrCreate())
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", app: str = "inkwell") -> SparkSession:
-    """A single-machine session for tests, benchmarks and the command line."""
+    """A single-machine session for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, "spark.ui.enabled": "false"}.items():
         builder = builder.config(key, value)
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

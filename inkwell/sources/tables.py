@@ -57,9 +57,16 @@ def entries(list_pointer: DataFrame) -> DataFrame:
     Loads of one time are ordered by occurrence.
     """
     word = F.lower(F.trim("word"))
+    # time and occurrence in one number, so that the rows are folded by hash; a struct's maximum would sort them
+    time = F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(-(1 << 63)))
+    packed = time.cast("decimal(19,0)") * F.lit(_STEP).cast("decimal(11,0)") + F.col("occurrence").cast("decimal(10,0)")
     return (
         list_pointer.select(word.alias("word"), "doc_id", "occurrence", "loaded_at")
         .where("word <> '' AND doc_id IS NOT NULL AND occurrence > 0")
         .groupBy("word", "doc_id")
-        .agg(F.max(F.struct("loaded_at", "occurrence"))["occurrence"].alias("occurrence"))
+        .agg(F.max(packed).alias("latest"))
+        .select("word", "doc_id", F.pmod("latest", F.lit(_STEP).cast("decimal(11,0)")).cast("int").alias("occurrence"))
     )
+
+
+_STEP = 10_000_000_000  # above any occurrence

@@ -15,7 +15,7 @@ OPERATORS = {
     "page_table": index.page_table,
     "block_metadata": lambda d: index.block_metadata(index.postings(d)),
     "blocks": lambda d: index.blocks(index.postings(d)).drop("docid_bytes", "freq_bytes", "position_bytes"),
-    "offsets": lambda d: index.lexicon_offsets(index.block_metadata(index.postings(d)), 3),
+    "offsets": lambda d: index.lexicon_offsets(index.block_metadata(index.postings(d))),
     "search": lambda d: search.search(index.build(d), "the cat", "d"),
     "snippets": lambda d: snippets.with_snippets(search.search(index.build(d), "the cat", "d"), d, ["the", "cat"]),
     "edges": lambda d: links.edges(d.select("doc_id", F.col("body").alias("text")), d),

@@ -2,6 +2,7 @@ import math
 
 import pytest
 
+from inkwell.functions import varbyte
 from inkwell.operators import index, links, rank, search, snippets
 from inkwell.plans import reference
 from inkwell.sources import trec
@@ -42,7 +43,7 @@ def test_segments_of_a_hot_term_agree_with_one(spark, rows):
 
 def test_lexicon_offsets_are_contiguous(spark):
     d = corpus(spark, "a b c d", "b c d", "zz b")
-    o = index.lexicon_offsets(index.block_metadata(index.postings(d)), 3).orderBy("term").collect()
+    o = index.lexicon_offsets(index.block_metadata(index.postings(d))).orderBy("term").collect()
     assert o[0].start == 0 and o[0].pos_start == 0
     assert all(x.end == y.start and x.pos_end == y.pos_start for x, y in zip(o, o[1:]))
 
@@ -53,6 +54,46 @@ def test_next_geq(spark, rows):
     assert rows(index.next_geq(index.blocks(index.postings(d)), want)) == [("no", 1, None), ("t", 0, 0), ("t", 255, 256), ("t", 598, 598), ("t", 599, None)]
 
 
+@pytest.mark.parametrize("segment", [4, 100, 1 << 16])
+def test_next_geq_in_segments(spark, segment):
+    ids = [(i * i) % 997 for i in range(400)]
+    d = spark.createDataFrame([(i, "t u" if i % 3 else "t") for i in sorted(set(ids))], "doc_id bigint, body string")
+    b = index.blocks(index.postings(d), 8)
+    want = spark.createDataFrame([(w, t) for w in ("t", "u", "v") for t in range(0, 1010, 7)], "term string, target bigint")
+    have = {"t": set(ids), "u": {i for i in ids if i % 3}, "v": set()}
+    for r in index.next_geq(b, want, segment).collect():
+        assert r.doc_id == min((i for i in have[r.term] if i >= r.target), default=None)
+
+
+def test_byte_layout(spark, monkeypatch):
+    monkeypatch.setattr(index, "STRETCH", 2)
+    d = spark.createDataFrame([(i * 3, "hot " * (1 + i % 3) + ("cold" if i % 50 == 0 else "")) for i in range(700)], "doc_id bigint, body string")
+    stored = index.blocks(index.postings(d))
+    lexicon = index.lexicon_offsets(index.stored_metadata(stored))
+    file = index.list_file(stored)
+    # the bytes in order, by the plain layout
+    want = b""
+    for term, ids in (("cold", [i * 3 for i in range(0, 700, 50)]), ("hot", [i * 3 for i in range(700)])):
+        tf = {i * 3: 1 + i % 3 for i in range(700)} if term == "hot" else dict.fromkeys(ids, 1)
+        parts = [ids[i : i + 128] for i in range(0, len(ids), 128)]
+        gaps = [varbyte.encode([b - a for a, b in zip([([0] + ids)[128 * k], *x], x)]) for k, x in enumerate(parts)]
+        freqs = [varbyte.encode([tf[i] for i in x]) for x in parts]
+        for numbers in ([x[-1] for x in parts], map(len, gaps), map(len, freqs)):
+            want += b"".join(n.to_bytes(4, "big") for n in numbers)
+        want += b"".join(g + f for g, f in zip(gaps, freqs))
+    extents = file.orderBy("at").collect()
+    assert b"".join(bytes(r.bytes) for r in extents) == want
+    assert [r.at for r in extents] == [sum(len(x.bytes) for x in extents[:k]) for k in range(len(extents))]
+    opened = index.open_lists(file, lexicon)
+    back = index.read_blocks(file, opened.where("last_doc_id >= 1000")).orderBy("term", "block_no").collect()
+    assert [i for r in back if r.term == "hot" for i in r.doc_ids][-400:] == [i * 3 for i in range(300, 700)]
+    assert min(r.block_no for r in back if r.term == "hot") == 2
+    assert [t for r in back if r.term == "hot" for t in r.tfs][-3:] == [1 + i % 3 for i in (697, 698, 699)]
+    assert "tfs" not in index.read_blocks(file, opened, frequencies=False).columns
+    positions = b"".join(bytes(r.bytes) for r in index.position_file(stored).orderBy("at").collect())
+    assert len(positions) == lexicon.agg({"pos_end": "max"}).first()[0]
+
+
 def brute(bodies, words, mode):
     docs = [b.lower().split() for b in bodies]
     n, avg = len(docs), sum(map(len, docs)) / len(docs)
@@ -101,6 +142,15 @@ def test_batch_equals_single(spark):
     assert not [r for r in got if r.query_id == 3]
 
 
+def test_states(spark):
+    i = index.build(corpus(spark, *BODIES))
+    asked = [(1, "the cat", "c"), (2, "the nothere", "c"), (3, "the nothere", " D"), (4, "nothere", "d"), (5, "", "c"), (6, None, "d"), (7, "cat", "x"), (8, "cat", None),
+             (9, " ".join("abcdefghijk"), "c"), (10, "cat cat", "c")]
+    got = {r.query_id: r.state for r in search.states(i, spark.createDataFrame(asked, "query_id int, query string, mode string")).collect()}
+    assert got == {1: search.ANSWERED, 2: search.INCOMPLETE, 3: search.ANSWERED, 4: search.NOTHING, 5: search.NOTHING, 6: search.NOTHING, 7: search.NO_MODE, 8: search.NO_MODE,
+                   9: search.TOO_LONG, 10: search.ANSWERED}
+
+
 def snip(spark, body, *words):
     d = spark.createDataFrame([(0, body)], "doc_id bigint, body string")
     return d.select(snippets.snippet(d.body, list(words)).alias("s")).first().s
@@ -129,6 +179,13 @@ def test_links(spark, rows):
     assert rows(links.edges(plain, d)) == [(0, 0), (0, 1)]
 
 
+def test_addresses_without_scheme(spark, rows):
+    d = spark.createDataFrame([(0, "http://h.example/"), (1, "http://h.example/a?b"), (2, "https://Other.example"), (3, "http://h.example/c")], "doc_id bigint, url string")
+    texts = ["see (H.example), h.example/a?b.", "HTTPS://x https://Other.example and version 1.2.3 of a.b", "h.example:80/c", "x" * 200_000 + ". " + "a-" * 100_000, "http://H.EXAMPLE/c"]
+    m = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert rows(links.edges(m, d)) == [(0, 0), (0, 1), (1, 2), (4, 3)]
+
+
 def iterate(n, edges):
     r, k = {i: 1 / n for i in range(n)}, 0
     while True:
@@ -216,8 +273,10 @@ def test_saved_index_gives_the_same_results(spark, tmp_path):
     got = search.search(index.load(spark, str(tmp_path / "i")), "the cat", "d").collect()
     assert got == search.search(index.build(d), "the cat", "d").collect()
     trec.write_page_table(index.page_table(d), str(tmp_path / "pages"))
-    assert spark.read.text(str(tmp_path / "pages/pages")).count() == len(BODIES)
-    assert [r.value for r in spark.read.text(str(tmp_path / "pages/totals")).collect()] == ["", "17", "5"]
+    assert [r.value for r in spark.read.text(str(tmp_path / "pages")).collect()][-4:] == ["http://h.example/4 N4 3", "", "17", "5"]
+    pages = trec.read_page_table(spark, str(tmp_path / "pages")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in pages] == [(i, f"http://h.example/{i}", f"N{i}", len(b.split())) for i, b in enumerate(BODIES)]
+    assert [tuple(r) for r in trec.read_page_totals(spark, str(tmp_path / "pages")).collect()] == [(17, 5)]
     trec.write_corpus(d, str(tmp_path / "corpus"))
     back = trec.read_corpus(spark, str(tmp_path / "corpus")).orderBy("doc_id").collect()
     assert [r.body for r in back] == BODIES

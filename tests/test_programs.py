@@ -13,10 +13,10 @@ def test_programs(spark, tmp_path):
     (tmp_path / "c.txt").write_text(CORPUS)
     cli.build(spark, str(tmp_path / "c.txt"), str(tmp_path / "i"))
     said = []
-    cli.loop(spark, str(tmp_path / "i"), ["red dog\n", "x\n", "C\n", "nothere\n", "d\n", "a b c d e f g h i j k\n", "d\n"], said.append)
+    cli.loop(spark, str(tmp_path / "i"), ["red dog\n", "x\n", "C\n", "nothere\n", "d\n", "red nothere", "c", "a b c d e f g h i j k\n", "d\n"], said.append)
     assert "c (all words)" in said[0]
     assert said[1].startswith("URL: http://h.example/2\nBM25 Score: ") and said[1].endswith("Snippet:\na red dog")
-    assert said[2] == "No result" and "at most 10" in said[3]
+    assert said[2] == "No result" and said[3].startswith("Not every word") and "at most 10" in said[4]
     cli.rank_corpus(spark, str(tmp_path / "c.txt"), str(tmp_path / "r"))
     ranks = [float(x.value) for x in spark.read.text(str(tmp_path / "r")).collect()]
     assert len(ranks) == 3 and ranks[1] == max(ranks)
