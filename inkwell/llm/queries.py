@@ -97,11 +97,19 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(materialize(mixing.mixture(sized, targets), "mixture"), sized, targets)
 
 
+def _corpus_size(sized: DataFrame) -> int:
+    return sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+
+
+def p9_mixture_corpus_size(spark: SparkSession, folder: str) -> DataFrame:
+    """A mixture of as many tokens as the corpus, where scarce sources stay short."""
+    sized = _sizes(spark, folder)
+    return mixing.mixture(sized, load(spark, folder, "mix_target"), _corpus_size(sized))
+
+
 def p9_shares_corpus_size(spark: SparkSession, folder: str) -> DataFrame:
-    """The same for a mixture of as many tokens as the corpus, where scarce sources stay short."""
     sized, targets = _sizes(spark, folder), load(spark, folder, "mix_target")
-    total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    return mixing.shares(materialize(mixing.mixture(sized, targets, total), "mixture"), sized, targets)
+    return mixing.shares(materialize(mixing.mixture(sized, targets, _corpus_size(sized)), "mixture"), sized, targets)
 
 
 def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,6 +132,7 @@ QUERIES = {
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
     "p9_mixture": p9_mixture,
+    "p9_mixture_corpus_size": p9_mixture_corpus_size,
     "p9_shares": p9_shares,
     "p9_shares_corpus_size": p9_shares_corpus_size,
     "p10_pieces": p10_pieces,

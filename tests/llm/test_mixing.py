@@ -56,14 +56,50 @@ def test_buckets_make_no_gap(spark, monkeypatch):
         assert total == pytest.approx(9000, abs=13)
 
 
-def test_inclusion_is_even(spark):
+def seen(spark, docs, goals, total, seeds, **how):
+    """How often each document was in samples of several seeds, and the sizes of these."""
+    n, sizes = {}, set()
+    for seed in range(seeds):
+        got = mixing.mixture(docs, goals, total, seed=seed, **how).collect()
+        sizes.add(len(got))
+        for r in got:
+            n[r.doc_id] = n.get(r.doc_id, 0) + 1
+    return n, sizes
+
+
+def test_even_inclusion(spark):
     docs = sized(spark, a=[10] * 400)
     goals = spark.createDataFrame([("a", 1.0, 1)], T)
-    seen = {}
-    for seed in range(12):
-        for r in mixing.mixture(docs, goals, 2000, seed=seed).collect():
-            seen[r.doc_id] = seen.get(r.doc_id, 0) + 1
-    assert sum(seen.values()) == 12 * 200 and max(seen.values()) < 12 and len(seen) > 390
+    n, sizes = seen(spark, docs, goals, 2000, 12, power=0)
+    assert sizes == {200} and max(n.values()) < 12 and len(n) > 390
+
+
+def test_inclusion_follows_the_tokens(spark):
+    lengths = [20] * 300 + [40] * 300 + [80] * 300
+    docs = sized(spark, a=lengths)
+    goals = spark.createDataFrame([("a", 1.0, 1)], T)
+    n, sizes = seen(spark, docs, goals, 8400, 16)
+    c, size = mixing.inclusion([(300, 6000, 6000, 120_000), (300, 12_000, 12_000, 480_000), (300, 24_000, 24_000, 1_920_000)], 8400)
+    assert sizes == {size} and size == round(c * 42_000)
+    for k, t in enumerate((20, 40, 80)):
+        often = sum(n.get(i, 0) for i in range(300 * k, 300 * k + 300)) / (300 * 16)
+        assert often == pytest.approx(c * t, abs=0.04)
+
+
+def test_certain_documents_come_first(spark):
+    docs = sized(spark, a=[1000] * 3 + [10] * 500)
+    goals = spark.createDataFrame([("a", 1.0, 1)], T)
+    n, sizes = seen(spark, docs, goals, 5000, 4)
+    assert all(n[i] == 4 for i in range(3)) and sizes == {203}
+    c, size = mixing.inclusion([(3, 3000, 3000, 3_000_000), (500, 5000, 5000, 50_000)], 5000)
+    assert (c, size) == (pytest.approx(0.04), 203)
+
+
+def test_rests_below_a_document(spark):
+    docs = sized(spark, a=[900 + i for i in range(60)] + [35], b=[10] * 2000)
+    goals = spark.createDataFrame([("a", 0.002, 1), ("b", 0.998, 1)], T)
+    got = {r.source: r.tokens for r in mixing.shares(mixing.mixture(docs, goals, 18_000), docs, goals).collect()}
+    assert got["a"] == 35 and got["b"] == pytest.approx(17_964, abs=10)
 
 
 def test_edges(spark, rows):
