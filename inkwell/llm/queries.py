@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import encoding, mixing, packing, site_lines, spam, splitting, term_stats, term_weight, tokens
-from inkwell.llm.common import lines_of
 from inkwell.sources.tables import entries, load, page_rows, spread
 from inkwell.storage import materialize
 
@@ -24,7 +23,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_clean_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return site_lines.without_repeated(lines_of(load(spark, folder, "trec_line")), p3_found(spark, folder))
+    return site_lines.clean_lines(load(spark, folder, "trec_line"), page_rows(load(spark, folder, "page_table")))
 
 
 def _valid_entries(spark: SparkSession, folder: str) -> DataFrame:
