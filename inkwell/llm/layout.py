@@ -1,7 +1,8 @@
 """The main text of a page: its lines laid out as a tree, furniture hidden, the rest rendered.
 
-A page comes as text lines, its tags gone.  The tree builder gives every line
-the element it implies — ``nav``, ``aside``, ``footer``, ``form``, ``address``
+Where lines have their tags, ``markup`` builds the tree from these.  Where the
+tags are gone, as in this crawl, the tree builder gives every line the element
+it implies — ``nav``, ``aside``, ``footer``, ``form``, ``address``
 or, for the article, ``h1``, ``h2``, ``p``, ``li``, ``tr``, ``pre`` — and opens
 and closes the parents that such an element needs (``li`` a ``ul``, ``tr`` a
 ``table``, an item after a box's heading that box's ``aside``).  Visibility
@@ -15,7 +16,7 @@ import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-from inkwell.llm import lexicon
+from inkwell.llm import lexicon, markup
 from inkwell.llm.encoding import hypotheses
 
 #: Roles of a line that are not the article, and the element each implies.
@@ -30,6 +31,9 @@ _NUMBERED = re.compile(r"^\d{1,2}\. ")
 _TEASER = re.compile(r"^(>>|»|→|►|▶) ")
 _ROW = re.compile(r"\S ?\| ?\S|\t")
 _LIST = re.compile(r"^([-*•‣–—] |\d+[.)] |\d+ ?(g|kg|ml|l|cl|dl)\b)")
+#: What tells that lines have their tags.
+MARKUP = r"(?i)</?(html|head|body|title|div|span|p|br|ul|ol|li|dl|dt|dd|table|thead|tbody|tfoot|tr|td|th|caption|h[1-6]|nav|aside|header|footer|main|section|article|form|button|select|option|script|style|noscript|template|pre|blockquote|figure|figcaption|address|a|b|i|em|strong|img)(\s[^<>]*)?/?>"
+_MARKUP = re.compile(MARKUP)
 _TREE = re.compile(r"^[│├└─┌ ]{2,}")
 _URL = re.compile(r"https?://|www\.")
 #: Single-byte mix-ups that furniture is looked for under, and characters that such lines show.
@@ -89,7 +93,7 @@ def role(raw: str | None) -> tuple[str | None, str]:
         text = _taken_back(raw)
         line = " ".join(text.split())
         kind = _role(text, line)
-        if kind is None and len(line) < 160 and not line.isascii() and _STRANGE.search(line):
+        if kind is None and not line.isascii() and _STRANGE.search(line):
             kind = _strange_role(line)
         got = (kind, line)
         if len(raw) < 80 and len(_known) < 200_000:
@@ -120,8 +124,6 @@ def _role(raw: str, line: str) -> str | None:
     m = notes.match(low)
     if m:
         return next(k for k, v in m.groupdict().items() if v is not None)
-    if len(line) > 160:  # neither prompt nor title
-        return "nav" if not _ends(line) and _menu_bar(raw, line, entries, words) else None
     bare = _COUNT.sub("", low)
     if bare in entries:
         return "nav"
@@ -147,71 +149,89 @@ def is_title(line: str) -> bool:
             and not _LIST.match(line) and not _TREE.match(line) and not _URL.search(line))
 
 
-def roles(lines: list[str | None]) -> list[str | None]:
-    """The role of every line of a page, in order, with its neighbours taken into account."""
-    return _roles(lines)[0]
-
-
 def _roles(lines: list[str | None]) -> tuple[list[str | None], list[str]]:
-    """Roles and flat lines."""
+    """The role of every line of a page, in order, with its neighbours taken into account, and the flat lines."""
     known = [role(x) for x in lines]
     found, texts = [r for r, _ in known], [t for _, t in known]
     real = [i for i, r in enumerate(found) if r != "blank"]
-    _menu_runs(found, texts, real)
-    _boxes(found, texts, real)
+    kinds, own = [found[i] for i in real], [texts[i] for i in real]
+    walked, end = walk(kinds, own, real, START, (False, False), breadcrumb(kinds, own))
+    for i, kind in zip(real, walked, strict=True):
+        found[i] = kind
+    shown = last_shown(end)
+    if shown is not None:
+        found[shown] = None
     return found, texts
 
 
-def _menu_runs(found, texts, real) -> None:
-    """A site's own word between or beside menu entries that stand one per line is an entry too."""
-    for k, i in enumerate(real):
-        if found[i] is None and len(texts[i].split(" ")) < 3 and len(texts[i]) < 25 and not _ends(texts[i]):
-            near = [found[real[j]] == "nav" for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < len(real)]
-            beside = [found[real[j]] == "nav" for j in (k - 1, k + 1) if 0 <= j < len(real)]
-            if any(beside) and sum(near) > 1:
-                found[i] = "nav"
-
-
-def _boxes(found, texts, real) -> None:
-    """Titles after a box's heading are its items; the page's own headline is not one of them."""
-    if "box" not in found:
-        return
-    crumbs = [texts[i].rsplit("›", 1)[-1].strip().lower() for i in real if found[i] == "crumb" and "›" in texts[i]]
-    last_runs = []
-    k = 0
-    while k < len(real):
-        if found[real[k]] != "box":
-            k += 1
-            continue
-        run, j = [], k + 1
-        numbered = j < len(real) and found[real[j]] is None and _NUMBERED.match(texts[real[j]])
-        while j < len(real) and found[real[j]] is None:
-            text = texts[real[j]]
-            if numbered:
-                if not _NUMBERED.match(text):
-                    break
-            elif not is_title(text) or _is_headline(text, crumbs):
-                break
-            run.append(real[j])
-            j += 1
-        for i in run:
-            found[i] = "item"
-        if run and not numbered and j < len(real):
-            last_runs.append(run)
-        k = max(j, k + 1)
-    # a page begins with its headline: where no other title stands before its first text, that of the last box before is it
-    text = next((i for i in real if found[i] is None and not is_title(texts[i])), len(found))
-    if any(found[i] is None and is_title(texts[i]) for i in real if i < text):
-        return
-    for run in reversed(last_runs):
-        if run[-1] < text and len(run) > 1 and all(found[i] != "item" for i in range(run[-1] + 1, text)):
-            found[run[-1]] = None
-            return
-
-
-def _is_headline(text: str, crumbs: list[str]) -> bool:
-    """The title that a breadcrumb names (cut short there)."""
-    return any(len(c) > 12 and c[: min(len(c), len(text)) * 2 // 3] == text.lower()[: min(len(c), len(text)) * 2 // 3] for c in crumbs)
+def breadcrumb(kinds: list[str | None], texts: list[str]) -> str:
+    """What the page's first breadcrumb names last, in lower case; it can be cut short."""
+    return next((t.rsplit("›", 1)[-1].strip().lower() for k, t in zip(kinds, texts, strict=True) if k == "crumb" and "›" in t), "")
+
+
+#: What a walk along a page's lines has to remember: whether the two lines before were menu entries; whether a box is closed, just headed,
+#: holds numbered items or holds titles; whether the headline is settled; what the last box was (0 none or numbered, 1 of one title, 2 of
+#: more), its last title's line, and the line that turned out to be the headline.
+START = (False, False, 0, False, 0, None, None)
+CLOSED, HEADED, NUMBERED, TITLES = range(4)
+
+
+def walk(kinds: list[str | None], texts: list[str], keys: list, state: tuple, ahead: tuple[bool, bool], crumb: str) -> tuple[list[str | None], tuple]:
+    """Roles of lines that aren't blank with their neighbours taken into account, and what to remember after them.
+
+    From left to right: a site's own short word between or beside menu entries
+    that stand one per line is an entry too; titles after a box's heading are
+    its items, up to the page's own headline (named by the breadcrumb) or the
+    first text.  ``ahead`` tells whether the next two lines after these are
+    menu entries, and ``keys`` names the lines, so that a page can be walked
+    in parts with the same result.
+    """
+    a2, a1, box, settled, run, last, shown = state
+    out, n = list(kinds), len(kinds)
+    for i, kind in enumerate(kinds):
+        if kind is None:
+            text = texts[i]
+            if (a1 or a2 or i + 1 >= n or kinds[i + 1] == "nav") and len(text) < 25 and text.count(" ") < 2 and not _ends(text):
+                b1 = kinds[i + 1] == "nav" if i + 1 < n else ahead[i + 1 - n]
+                b2 = kinds[i + 2] == "nav" if i + 2 < n else ahead[i + 2 - n]
+                if (a1 or b1) and a2 + a1 + b1 + b2 > 1:
+                    kind = out[i] = "nav"
+        if kind is None:
+            item = False
+            if box:
+                first = box == HEADED
+                if first:
+                    box = NUMBERED if _NUMBERED.match(text) else TITLES
+                if box == NUMBERED:
+                    item = _NUMBERED.match(text) is not None
+                else:
+                    item = is_title(text) and not _is_headline(text, crumb)
+                if item:
+                    out[i] = "item"
+                    run, last = (0, None) if box == NUMBERED else (1 if first else 2, keys[i])
+                else:
+                    box = CLOSED
+            if not item and not settled:
+                # a page begins with its headline: where no other title stands before its first text, that of the last box before is it
+                if run == 2 and not is_title(text):
+                    shown = last
+                settled = True
+        else:
+            box = HEADED if kind == "box" else CLOSED
+        a2, a1 = a1, kind == "nav"
+    return out, (a2, a1, box, settled, run, last, shown)
+
+
+def last_shown(state: tuple):
+    """The line, if any, that is the headline and not an item after all, as far as the end of a page tells."""
+    _, _, box, settled, run, last, shown = state
+    return last if not settled and run == 2 and box != TITLES else shown
+
+
+def _is_headline(text: str, crumb: str) -> bool:
+    """Whether a title is the one that a breadcrumb names."""
+    n = min(len(crumb), len(text)) * 2 // 3
+    return len(crumb) > 12 and crumb[:n] == text.lower()[:n]
 
 
 # -- tree and rendering ----------------------------------------------------------------------------------------
@@ -229,7 +249,9 @@ _PARENT = {"li": "ul", "tr": "table", "td": "tr"}
 
 
 def build(lines: list[tuple[int, str | None]]) -> Element:
-    """The tree of a page's lines; blank lines end open lists and tables."""
+    """The tree of a page's lines; blank lines end open lists and tables.  Lines that have their tags get it from these."""
+    if any(x and "<" in x and _MARKUP.search(x) for _, x in lines):
+        return _from_markup(lines)
     body = Element("body")
     kinds, texts = _roles([x for _, x in lines])
     seen_text = False
@@ -258,6 +280,41 @@ def build(lines: list[tuple[int, str | None]]) -> Element:
     return body
 
 
+def _from_markup(lines: list[tuple[int, str | None]]) -> Element:
+    """The tree of lines with tags: hidden elements first by their tags, then by what the text in them is.
+
+    A line is hidden if all text on it is, and if it has nothing but tags.
+    """
+    body, blocks = Element("body"), markup.blocks(lines)
+    visible_ = [b for b in blocks if not b.hidden]
+    kinds, _ = _roles([b.text for b in visible_])
+    for b, kind in zip(visible_, kinds, strict=True):
+        # headings are not items of a box, and rows and preformatted text no prompts
+        b.hidden = HIDDEN.get(kind, "") if not (b.tag in ("tr", "pre") or b.tag == "h" and kind == "item") else ""
+    shown = {n for b in blocks if not b.hidden for n in b.lines}
+    seen_text = False
+    for b in blocks:
+        if b.hidden:
+            continue
+        last = body.children[-1] if body.children else None
+        if b.tag in ("li", "tr"):
+            tag = _PARENT[b.tag]
+            if last is None or last.tag != tag:
+                last = Element(tag)
+                body.children.append(last)
+            last.children.append(Element(b.tag, [Element("td", text=c) for c in b.cells], b.mark + b.text, b.lines[0] if b.lines else 0))
+        else:
+            tag = ("h2" if seen_text else "h1") if b.tag == "h" else "pre" if b.tag == "pre" else "p"
+            seen_text |= tag == "p"
+            body.children.append(Element(tag, text=b.text, line_no=b.lines[0] if b.lines else 0))
+    why = {n: b.hidden for b in reversed(blocks) if b.hidden for n in b.lines}
+    for n, x in lines:
+        if x and x.strip() and n not in shown:
+            tag = why.get(n, "aside")
+            body.children.append(Element(tag if tag in _HIDDEN_TAGS else "aside", [Element("span", text=x, line_no=n)]))
+    return body
+
+
 def _article_tag(raw: str, text: str, seen_text: bool) -> str:
     if _TREE.match(raw):
         return "pre"

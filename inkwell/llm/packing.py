@@ -214,20 +214,36 @@ def items(sized: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
                        F.least("capacity", F.col("size") - start).alias("n_tokens"))
 
 
-def _assign(plans: dict[str, dict[int, tuple[np.ndarray, ...]]], totals: dict[str, int]):
+RANKS = 1 << 40  # above the items of one length
+
+
+def _looked_up(plan: Plan) -> tuple[np.ndarray, ...]:
+    """A plan's rules in the order of (length, first rank): these as one key, first rank, first container, items per container."""
+    rows = sorted((n, r[0], r[2], r[3]) for n, rules in plan.rules.items() for r in rules)
+    table = np.array(rows, dtype=np.int64).reshape(-1, 4)
+    return table[:, 0] * RANKS + table[:, 1], table[:, 1], table[:, 2], table[:, 3]
+
+
+def _assign(plans: dict[str, tuple[np.ndarray, ...]], totals: dict[str, int]):
+    """Containers of whole batches: each item's rule is the last that begins at or before its (length, rank).
+
+    The rules come with the function; they are bounded by the capacities, whatever the number of items.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column("limit_name").to_pylist()
-            sizes = batch.column("n_tokens").to_pylist()
-            ranks = batch.column("rank").to_pylist()
-            out = []
-            for name, n, rank in zip(names, sizes, ranks, strict=True):
-                if n == 0:  # takes no space: spread over all containers
-                    out.append(rank % totals[name])
-                    continue
-                ranks_, firsts, pers = plans[name][n]
-                i = bisect.bisect_right(ranks_, rank) - 1
-                out.append(firsts[i] + (rank - ranks_[i]) // pers[i])
+            sizes, ranks = batch.column("n_tokens").to_numpy(zero_copy_only=False), batch.column("rank").to_numpy(zero_copy_only=False)
+            out = np.zeros(len(sizes), dtype=np.int64)
+            names = batch.column("limit_name").dictionary_encode()
+            which = names.indices.to_numpy(zero_copy_only=False)
+            for i, name in enumerate(names.dictionary.to_pylist()):
+                empty = (which == i) & (sizes == 0)  # takes no space: spread over all containers
+                out[empty] = ranks[empty] % totals[name]
+                mine = np.flatnonzero((which == i) & (sizes > 0))
+                if len(mine):
+                    keys, begin, first, per = plans[name]
+                    at = np.searchsorted(keys, sizes[mine] * RANKS + ranks[mine], side="right") - 1
+                    out[mine] = first[at] + (ranks[mine] - begin[at]) // per[at]
             kept = [batch.column(c) for c in ("limit_name", "doc_id", "piece_no", "start_token", "n_tokens")]
             yield pa.record_batch([*kept, pa.array(out, pa.int64())],
                                   names=["limit_name", "doc_id", "piece_no", "start_token", "n_tokens", "container_id"])
@@ -259,10 +275,7 @@ def pack(sized: DataFrame, limits: list[tuple[str, int]], salts: int | None = No
     for r in rows:
         by[r["limit_name"]][r["n_tokens"]] = r["n"]
     plans = {name: plan(by[name], capacity) for name, capacity in limits}
-    rules = {
-        name: {n: tuple(list(x) for x in zip(*[(r[0], r[2], r[3]) for r in sorted(rs)])) for n, rs in p.rules.items()}
-        for name, p in plans.items()
-    }
+    rules = {name: _looked_up(p) for name, p in plans.items()}
     totals = {name: max(1, p.containers) for name, p in plans.items()}
     # rank of an item among those of its length: inside its salt, after the salts before
     before = Window.partitionBy("limit_name", "n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

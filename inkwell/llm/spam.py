@@ -2,10 +2,15 @@
 
 Page measures: shares of the most frequent words and of repeated word pairs,
 of duplicate lines, of text in links and in product tags, density of
-separators, and function words.  Menus don't count.  How many function words
-an ordinary page has is measured per language over all pages; a page is spam
-if it has hardly any of them, at most one ordinary sentence, and one of the
-other measures is high.
+separators, and function words.  Menus don't count.  All limits are measured
+per language over the ordinary pages, those of some sentences: a share is high
+that lies clearly above what 99 of 100 of them have, and function words are
+missing that lie far below what nine of ten have.  A page is spam if it has
+hardly any function words, at most one ordinary sentence, and one of the other
+shares is high.
+
+A page is looked at as a whole.  Pages of more than ``PART`` lines are looked
+at in parts (``long_pages``), with the same result.
 """
 
 from __future__ import annotations
@@ -19,21 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm import layout, lexicon
+from inkwell.llm import layout, lexicon, long_pages
 from inkwell.storage import materialize
 
 STRETCH = 40  # words among which repeats tell stuffed text
-CHUNK = 4096  # lines of a page that are looked at together; longer pages are cut
-#: Least shares of a spam page's words, in one of these ways.
-LIMITS = {"top": 0.2, "pairs": 0.35, "links": 0.4, "tags": 0.4, "separators": 0.3, "lines": 0.5}
-STUFFED = 0.4  # share of the most frequent words or of repeated pairs that needs no lack of function words
+PART = 4096  # lines of a long page that are looked at in one row
+#: Of each share: the ordinary page that 99 of 100 stay below, where a collection has no ordinary pages to measure it on.
+ORDINARY = {"top": 0.12, "pairs": 0.24, "links": 0.38, "tags": 0.0, "separators": 0.19, "lines": 0.2}
+ABOVE, FAR = 0.1, 0.3  # how far from there to 1 a share is high, and so high that it needs no lack of function words
 FUNCTION_PART = 0.4  # of the ordinary share of function words in the page's language
-ORDINARY_SENTENCES = 3  # sentences of a page that the ordinary share is measured on
+ORDINARY_SENTENCES = 3  # sentences of a page that ordinary shares are measured on
 
 _WORD = re.compile(r"\w+")
 _LINK = re.compile(r"https?://\S+|www\.\S+|\]\(")
 _TAG = re.compile(r"^SKU \d|\d+[.,]\d\d$|\(\d+\)$|(#\w+ ?){2,}|^tags? ", re.IGNORECASE)
-_SIGN = re.compile(r"[|,;#/·•-]")
+_SIGNS = "|,;#/·•-"
 
 
 _END = re.compile(r"[.!?…]+(?=[\s\"'”“’»)\]]|$)")
@@ -52,48 +57,55 @@ def _function() -> tuple[frozenset[str], dict[str, list[str]]]:
 MEASURES = ["words", "sentences", "function", "top", "pairs", "links", "tags", "separators", "lines", "n_lines"]
 
 
-def measure(texts: list[str]) -> dict[str, int | str]:
-    """Counts over a page's lines without its furniture; shares are these by ``words`` (``lines`` by ``n_lines``).
+def count(texts: list[str]) -> tuple[dict[str, int], Counter, Counter, Counter, Counter]:
+    """What of a page's lines (or a part of them) can be added up: sums, and counts by language, content word, pair and line.
 
-    A page of two ordinary sentences or more is no spam, so its repetitions stay uncounted.
+    Function words are counted for each language they belong to; a pair of
+    two of them is no repetition.
     """
-    out = dict.fromkeys(MEASURES, 0)
     any_function, function = _function()
     used: Counter[str] = Counter()
-    split = []
+    words: Counter[str] = Counter()
+    pairs: Counter[tuple[str, str]] = Counter()
+    sums = dict.fromkeys(SUMS, 0)
     for text in texts:
-        own = _WORD.findall(text.lower())
-        split.append(own)
+        low = text.lower()
+        own = _WORD.findall(low)
         mine = [w for w in own if w in any_function]
         used.update(mine)
-        out["words"] += len(own)
-        if len(own) > 4 and 10 * len(mine) >= len(own):
+        words.update(own)
+        pairs.update(zip(own, own[1:]))
+        n = len(own)
+        sums["words"] += n
+        if n > 4 and 10 * len(mine) >= n:
             ends = len(_END.findall(text))
             if ends and _varied(own, ends):
-                out["sentences"] += ends
-    by_lang = dict.fromkeys(lexicon.FUNCTION, 0)
+                sums["sentences"] += ends
+        if ("://" in text or "www." in low or "](" in text) and _LINK.search(text):
+            sums["links"] += n
+        elif (text[-1:] == ")" or text[-1:].isdigit() or "#" in text or low.startswith(("sku ", "tag"))) and _TAG.search(text):
+            sums["tags"] += n
+        sums["separators"] += sum(map(text.count, _SIGNS))
+    sums["n_lines"] = len(texts)
+    by_lang: Counter[str] = Counter()
     for w, n in used.items():
         for lang in function[w]:
             by_lang[lang] += n
-    lang = max(by_lang, key=lambda x: (by_lang[x], x))
-    out["function"], out["n_lines"] = by_lang[lang], len(texts)
-    lang = lang if by_lang[lang] else ""
-    if out["sentences"] < 2:
-        words: Counter[str] = Counter()
-        pairs: Counter[tuple[str, str]] = Counter()
-        for text, own in zip(texts, split, strict=True):
-            words.update(own)
-            pairs.update(zip(own, own[1:]))
-            if _LINK.search(text):
-                out["links"] += len(own)
-            elif _TAG.search(text):
-                out["tags"] += len(own)
-            out["separators"] += len(_SIGN.findall(text))
-        content = [n for w, n in words.items() if n > 2 and len(w) > 2 and not w.isdigit() and w not in any_function]
-        out["top"] = sum(sorted(content)[-3:])
-        out["pairs"] = sum(n - 1 for (a, b), n in pairs.items() if n > 1 and not (a in any_function and b in any_function))
-        out["lines"] = len(texts) - len(set(texts))
-    return {"lang": lang, **out}
+    content = Counter({w: n for w, n in words.items() if len(w) > 2 and not w.isdigit() and w not in any_function})
+    told = Counter({p: n for p, n in pairs.items() if not (p[0] in any_function and p[1] in any_function)})
+    return sums, by_lang, content, told, Counter(texts)
+
+
+SUMS = ["words", "sentences", "links", "tags", "separators", "n_lines"]
+MEASURES = ["words", "sentences", "function", "top", "pairs", "links", "tags", "separators", "lines", "n_lines"]
+
+
+def measure(texts: list[str]) -> dict[str, int | str]:
+    """Counts over a page's lines without its furniture; shares are these by ``words`` (``lines`` by ``n_lines``)."""
+    sums, by_lang, content, pairs, lines = count(texts)
+    lang = max(by_lang, key=lambda x: (by_lang[x], x)) if by_lang else ""
+    return {"lang": lang, **sums, "function": by_lang[lang], "top": sum(sorted(n for n in content.values() if n > 2)[-3:]),
+            "pairs": sum(n - 1 for n in pairs.values() if n > 1), "lines": sum(n - 1 for n in lines.values())}
 
 
 def _varied(own: list[str], ends: int) -> bool:
@@ -103,41 +115,63 @@ def _varied(own: list[str], ends: int) -> bool:
     return 2 * sum(len(set(own[i : i + STRETCH])) for i in range(0, len(own), STRETCH)) >= len(own)
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("lang", pa.string()), *[(m, pa.int64()) for m in MEASURES],
-                     ("hidden", pa.list_(pa.int32())), ("text", pa.string())])
-_DDL = "doc_id bigint, part bigint, lang string, " + ", ".join(f"{m} bigint" for m in MEASURES) + ", hidden array<int>, text string"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(m, pa.int64()) for m in MEASURES], ("hidden", pa.list_(pa.int32())), ("text", pa.string())])
+_DDL = "doc_id bigint, lang string, " + ", ".join(f"{m} bigint" for m in MEASURES) + ", hidden array<int>, text string"
+
+
+def shown_and_hidden(body: layout.Element) -> tuple[list[str], list[int]]:
+    """Texts of the visible lines of a page's tree, and the numbers of its hidden lines."""
+    hidden, shown = [], []
+    for e in body.children:
+        if not layout.visible(e):
+            hidden += [c.line_no for c in e.children]
+        elif e.tag != "br":
+            shown += [c.text for c in e.children] if e.tag in ("ul", "table") else [e.text]
+    return shown, hidden
+
+
+def once(numbers: list[int], lines: list[str | None]) -> list[tuple[int, str | None]]:
+    """Lines in order; of a line delivered twice, the larger text."""
+    own: dict[int, str | None] = {}
+    for n, line in zip(numbers, lines, strict=True):
+        if n not in own or (line or "") > (own[n] or ""):
+            own[n] = line
+    return sorted(own.items())
 
 
 def _look(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, part, numbers, lines in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                once: dict[int, str | None] = {}  # of a line delivered twice, the larger text
-                for n, line in zip(numbers, lines, strict=True):
-                    if n not in once or (line or "") > (once[n] or ""):
-                        once[n] = line
-                page = sorted(once.items())
-                body = layout.build(page)
-                hidden, shown = [], []
-                for e in body.children:
-                    if not layout.visible(e):
-                        hidden += [c.line_no for c in e.children]
-                    elif e.tag != "br":
-                        shown += [c.text for c in e.children] if e.tag in ("ul", "table") else [e.text]
+            for doc_id, numbers, lines in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                body = layout.build(once(numbers, lines))
+                shown, hidden = shown_and_hidden(body)
                 # boxes and prompts are furniture of ordinary pages; what is left decides
-                rows.append({"doc_id": doc_id, "part": part, **measure(shown), "hidden": hidden, "text": layout.render(body) if with_text else None})
+                rows.append({"doc_id": doc_id, **measure(shown), "hidden": hidden, "text": layout.render(body) if with_text else None})
             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     return run
 
 
-def looked_at(trec_line: DataFrame, with_text: bool = False) -> DataFrame:
-    """A row per page (per ``CHUNK`` lines of longer ones): its measures and the numbers of its hidden lines."""
-    rows = trec_line.where("doc_id IS NOT NULL AND line_no IS NOT NULL")
-    part = F.floor((F.col("line_no") - 1) / CHUNK).alias("part")
-    pages = rows.select("doc_id", part, F.struct("line_no", "line").alias("x")).groupBy("doc_id", "part").agg(F.collect_list("x").alias("lines"))
-    return pages.select("doc_id", "part", F.col("lines.line_no"), F.col("lines.line")).mapInArrow(_look(with_text), _DDL)
+def looked_at(trec_line: DataFrame, with_text: bool = False, part: int = PART) -> DataFrame:
+    """A row per page: its measures and the numbers of its hidden lines.
+
+    Pages with line numbers outside of 1 … ``part`` and without markup are
+    looked at in parts, each a row without measures, and have a row of
+    measures without hidden lines.  With ``with_text`` each page is a row, as
+    is its text.
+    """
+    rows = trec_line.where("doc_id IS NOT NULL AND line_no IS NOT NULL").select("doc_id", "line_no", "line")
+    outside = rows.where((F.col("line_no") > part) | (F.col("line_no") < 1)).select("doc_id").distinct()
+    in_parts = None
+    if not with_text and not (outside := materialize(outside, "long-pages")).isEmpty():
+        marked = rows.join(outside, "doc_id", "left_semi").where(F.col("line").rlike(layout.MARKUP)).select("doc_id").distinct()
+        long = materialize(outside.join(marked, "doc_id", "left_anti"), "long-pages")
+        in_parts = long_pages.looked_at(rows.join(long, "doc_id", "left_semi"), part)
+        rows = rows.join(long, "doc_id", "left_anti")
+    pages = rows.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line")).alias("lines"))
+    whole = pages.select("doc_id", F.col("lines.line_no"), F.col("lines.line")).mapInArrow(_look(with_text), _DDL)
+    return whole if in_parts is None else whole.drop("text").unionByName(in_parts).withColumn("text", F.lit(None).cast("string"))
 
 
 def verdicts(pages: DataFrame) -> DataFrame:
@@ -145,24 +179,28 @@ def verdicts(pages: DataFrame) -> DataFrame:
 
     A page without words, or of nothing but furniture, is no spam.
     """
-    sums = [F.sum(m).alias(m) for m in MEASURES]
-    page = pages.groupBy("doc_id").agg(F.max_by("lang", "words").alias("lang"), *sums)
-    share = lambda m, of="words": F.coalesce(F.try_divide(F.col(m), F.col(of)), F.lit(0.0))
-    page = page.withColumn("function", share("function"))
-    usual = page.where(F.col("sentences") >= ORDINARY_SENTENCES).groupBy("lang").agg(F.percentile_approx("function", 0.1).alias("usual"))
-    page = page.join(usual, "lang", "left")
-    few = F.col("function") < FUNCTION_PART * F.coalesce("usual", F.lit(0.25))
-    high = [share(m, "n_lines" if m == "lines" else "words") >= limit for m, limit in LIMITS.items()]
+    share = lambda m: F.coalesce(F.try_divide(F.col(m), F.col("n_lines" if m == "lines" else "words")), F.lit(0.0)).alias(m)
+    page = pages.where("lang IS NOT NULL").select("doc_id", "lang", "words", "sentences", share("function"), *[share(m) for m in ORDINARY])
+    ordinary = page.where(F.col("sentences") >= ORDINARY_SENTENCES)
+    quantiles = [F.percentile_approx("function", 0.1).alias("usual"), *[F.percentile_approx(m, 0.99).alias(f"{m}_most") for m in ORDINARY]]
+    names = ["usual", *[f"{m}_most" for m in ORDINARY]]
+    all_ = ordinary.agg(*[q.alias(f"{n}_all") for q, n in zip(quantiles, names, strict=True)])  # one row
+    page = page.join(ordinary.groupBy("lang").agg(*quantiles), "lang", "left").crossJoin(F.broadcast(all_))
+    fixed = {"usual": 0.25, **{f"{m}_most": x for m, x in ORDINARY.items()}}
+    page = page.withColumns({n: F.coalesce(n, f"{n}_all", F.lit(fixed[n])) for n in names})
+    few = F.col("function") < FUNCTION_PART * F.col("usual")
+    limit = lambda m, x: F.col(f"{m}_most") + x * (1 - F.col(f"{m}_most"))
+    high = {m: F.col(m) >= limit(m, ABOVE) for m in ORDINARY}
     # separators alone are also what is left of a page whose characters were lost
-    high[list(LIMITS).index("separators")] &= share("top") >= LIMITS["top"] / 2
-    any_high = high[0]
-    for h in high[1:]:
+    high["separators"] &= F.col("top") >= limit("top", ABOVE) / 2
+    any_high = F.lit(False)
+    for h in high.values():
         any_high = any_high | h
     # a product's name can hold function words; what repeats this much without a sentence is no article either
-    stuffed = (F.col("sentences") == 0) & ((share("top") >= STUFFED) | (share("pairs") >= STUFFED))
+    stuffed = (F.col("sentences") == 0) & ((F.col("top") >= limit("top", FAR)) | (F.col("pairs") >= limit("pairs", FAR)))
     spam = ((few & any_high) | stuffed) & (F.col("sentences") <= 1) & (F.col("words") > 0)
-    shares = [F.round(share(m, "n_lines" if m == "lines" else "words"), 4).alias(m) for m in LIMITS]
-    return page.select("doc_id", "lang", "words", "sentences", F.round("function", 4).alias("function"), "usual", *shares, spam.alias("spam"))
+    return page.select("doc_id", "lang", "words", "sentences", F.round("function", 4).alias("function"), "usual",
+                       *[F.round(m, 4).alias(m) for m in ORDINARY], *[F.round(limit(m, ABOVE), 4).alias(f"{m}_limit") for m in ORDINARY], spam.alias("spam"))
 
 
 def spam_pages(trec_line: DataFrame) -> DataFrame:
@@ -183,15 +221,14 @@ def furniture(trec_line: DataFrame) -> DataFrame:
     """
     pages = materialize(looked_at(trec_line).drop("text"), "pages")
     spam = verdicts(pages).where("spam").select("doc_id")
-    return pages.join(spam, "doc_id", "left_anti").select("doc_id", F.explode("hidden").alias("line_no"))
+    return pages.where("hidden IS NOT NULL").join(spam, "doc_id", "left_anti").select("doc_id", F.explode("hidden").alias("line_no"))
 
 
 def main_texts(trec_line: DataFrame) -> DataFrame:
-    """``doc_id, text``: the rendered article of every page that has one; parts of very long pages are joined in order.
+    """``doc_id, text``: the rendered article of every page that has one, a row per page.
 
     A page whose article is empty has an empty text.
     """
     pages = materialize(looked_at(trec_line, with_text=True).drop("hidden"), "pages")
     spam = verdicts(pages).where("spam").select("doc_id")
-    kept = pages.join(spam, "doc_id", "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("x"))
-    return kept.select("doc_id", F.array_join("x.text", "\n\n").alias("text"))
+    return pages.join(spam, "doc_id", "left_anti").select("doc_id", "text")

@@ -113,9 +113,10 @@ def term_scores(entries: DataFrame, positions: DataFrame, pages: DataFrame, wind
 def characteristic(scores: DataFrame, least_pages: int = 2, most_pages: int = 6, per: int = 10) -> DataFrame:
     """Entries of words on few pages that are at least one in ``per`` tokens of their page: ``doc_id, word``.
 
-    Compared in integers; a null ``word_number`` gives no row.  Every entry
-    must have a score, be it 0: a missing one means that the graph is incomplete.
+    Compared in integers; a null ``word_number`` gives no row.  Of the scored
+    entries these are the ones that counts alone define; the degree, which
+    orders a page's terms, decides none of them.
     """
     few = F.col("n_pages").between(least_pages, most_pages)
     enough = F.col("occurrence").cast("bigint") * per >= F.col("word_number")
-    return scores.where(few & enough & (F.col("score") >= 0)).select("doc_id", "word")
+    return scores.where(few & enough).select("doc_id", "word")

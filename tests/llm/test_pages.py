@@ -1,3 +1,5 @@
+import pytest
+
 from inkwell.llm import layout, spam
 
 PAGE = ["Home | News | Sport | Fekuzu | Contact", "We use cookies to remember your choices.", "Accept all", "You are here: Home › Town › How the bri Somebody",
@@ -68,8 +70,33 @@ def test_furniture_leaves_out_spam_pages(spark, rows):
     assert rows(spam.furniture(df)) == sorted([(50, n) for n, x in enumerate(PAGE, 1) if x and n not in OWN], key=repr)
 
 
-def test_long_page_is_looked_at_whole(spark):
-    n = 2 * spam.CHUNK + 10
-    lines = {7: ["The bridge was moved to the river in the night, and nobody had seen it."] * (n - 1) + ["All rights reserved."]}
-    got = spam.furniture(table(spark, lines)).collect()
-    assert [(r.doc_id, r.line_no) for r in got] == [(7, n)]
+def long_page(n):
+    """Lines whose roles and counts reach over any cut: menus one per line, boxes, titles, repeated words and lines."""
+    kinds = ["Home", "Fekuzu", "News", "", "Related articles", "The mill of the town", "The boat of the lake", "Most read", "1. Why the mill was closed", "2. The ferry of Baro",
+             "The bridge was moved to the river in the night, and nobody had seen it.", "phone case cheap phone case best", "You are here: Home › Town › The mill of the", "Sport", None]
+    pick, out = 7, []
+    for _ in range(n):
+        pick = (pick * 1103515245 + 12345) % (1 << 31)
+        out.append(kinds[(pick >> 16) % len(kinds)])
+    return out
+
+
+@pytest.mark.parametrize("lines", [long_page(400), ["Related articles"] + ["The boat of the lake"] * 130 + [PAGE[7]], ["Home"] + ["Fekuzu"] * 90 + ["News", "Sport"],
+                                   [PAGE[7]] + ["phone case cheap phone case buy"] * 100, ["Related articles"] + ["The boat of the lake"] * 99, [None] * 70 + [""] * 70])
+def test_parts_give_the_result_of_the_whole(spark, rows, lines):
+    df = table(spark, {7: lines, 8: GOOD[11]})
+    columns = ["doc_id", "lang", *spam.MEASURES]
+    want = spam.looked_at(df, part=10**6)
+    for part in (1, 3, 64):
+        got = spam.looked_at(df, part=part)
+        assert rows(got.where("lang IS NOT NULL"), *columns) == rows(want, *columns)
+        hidden = lambda x: sorted((r.doc_id, n) for r in x.where("hidden IS NOT NULL").collect() for n in r.hidden)
+        assert hidden(got) == hidden(want)
+
+
+def test_a_page_of_ten_thousand_lines(spark):
+    lines = long_page(10_000)
+    got = [r.line_no for r in spam.furniture(table(spark, {7: lines, **{100 + i: GOOD[11] for i in range(10)}})).collect()]
+    assert sorted(got) == sorted(layout.hidden_lines(list(enumerate(lines, 1)))) and len(got) > 3000
+    stuffed = [PAGE[7], PAGE[15], GOOD[11][0]] + ["phone case cheap phone case best phone case cheap"] * 10_000
+    assert [r.doc_id for r in spam.spam_pages(table(spark, {7: stuffed[3:], 8: stuffed, **{100 + i: GOOD[11] for i in range(10)}})).collect()] == [7]
