@@ -122,7 +122,8 @@ def _entered(batches):
     return _each(batches, _ENTERED, one)
 
 
-_COUNTED = pa.schema([("doc_id", pa.int64()), ("hidden", pa.list_(pa.int32())),
+_COUNTED = pa.schema([("doc_id", pa.int64()), ("hidden", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())),
+                      ("open", pa.list_(pa.struct([("line_no", pa.int32()), ("key", pa.int64())]))),
                       ("counts", pa.list_(pa.struct([("kind", pa.string()), ("key", pa.string()), ("n", pa.int64())])))])
 
 
@@ -139,7 +140,7 @@ def _counted(batches):
         counts = [("sum", k, n) for k, n in sums.items()]
         for kind, of in zip(("lang", "word", "pair", "line"), counted, strict=True):
             counts += [(kind, " ".join(k) if kind == "pair" else k, n) for k, n in of.items()]
-        yield doc_id, hidden, [dict(zip(("kind", "key", "n"), c)) for c in counts]
+        yield doc_id, hidden, *spam.keys_and_open(list(zip(numbers, lines, strict=True)), hidden), [dict(zip(("kind", "key", "n"), c)) for c in counts]
 
     return _each(batches, _COUNTED, one)
 
@@ -159,7 +160,7 @@ def looked_at(rows: DataFrame, part: int) -> DataFrame:
     left = parts.join(around, key).mapInArrow(_through, "doc_id bigint, part bigint, state array<int>, last array<bigint>, shown array<bigint>")
     entered = of_page(left, "state", "last", "shown").mapInArrow(_entered, "doc_id bigint, part bigint, entry int, shown bigint")
     counted = parts.join(around, key).join(entered, key).mapInArrow(
-        _counted, "doc_id bigint, hidden array<int>, counts array<struct<kind:string,key:string,n:bigint>>")
+        _counted, f"doc_id bigint, {spam.LINES_DDL}, counts array<struct<kind:string,key:string,n:bigint>>")
     counted = materialize(counted, "counted")
     each = counted.select("doc_id", F.explode("counts").alias("c")).groupBy("doc_id", F.col("c.kind").alias("kind"), F.col("c.key").alias("key")).agg(F.sum("c.n").alias("n"))
     each = materialize(each, "counts")
@@ -173,5 +174,6 @@ def looked_at(rows: DataFrame, part: int) -> DataFrame:
     measured = sums.join(top, "doc_id", "left").select(
         "doc_id", F.col("best.key").alias("lang"), *spam.SUMS, F.col("best.n").alias("function"), F.coalesce("top", F.lit(0)).cast("bigint").alias("top"), "pairs", "lines")
     none = F.lit(None)
-    hidden = counted.select("doc_id", none.cast("string").alias("lang"), *[none.cast("bigint").alias(m) for m in spam.MEASURES], "hidden")
-    return measured.select("doc_id", "lang", *spam.MEASURES, none.cast("array<int>").alias("hidden")).unionByName(hidden)
+    hidden = counted.select("doc_id", none.cast("string").alias("lang"), *[none.cast("bigint").alias(m) for m in spam.MEASURES], "hidden", "keys", "open")
+    without = [none.cast(hidden.schema[c].dataType).alias(c) for c in ("hidden", "keys", "open")]
+    return measured.select("doc_id", "lang", *spam.MEASURES, *without).unionByName(hidden)

@@ -56,15 +56,19 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_measures(spark: SparkSession, folder: str) -> DataFrame:
-    return spam.verdicts(materialize(spam.looked_at(load(spark, folder, "trec_line")).drop("text", "hidden"), "pages"))
+    return spam.verdicts(materialize(spam.looked_at(load(spark, folder, "trec_line")).drop("hidden", "keys", "open"), "pages"))
+
+
+def _sites(spark: SparkSession, folder: str) -> DataFrame:
+    return page_rows(load(spark, folder, "page_table")).select("doc_id", "site")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return spam.furniture(load(spark, folder, "trec_line"))
+    return spam.furniture(load(spark, folder, "trec_line"), _sites(spark, folder))
 
 
 def p7_main_text(spark: SparkSession, folder: str) -> DataFrame:
-    return spam.main_texts(load(spark, folder, "trec_line"))
+    return spam.main_texts(load(spark, folder, "trec_line"), _sites(spark, folder))
 
 
 def _limits(spark: SparkSession, folder: str, prefix: str) -> list[tuple[str, int, int]]:

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from inkwell.llm import layout, lexicon, long_pages
 from inkwell.storage import materialize
 
 STRETCH = 40  # words among which repeats tell stuffed text
+REPEATED = 5  # pages of a site on which a line is the site's and not a page's
 PART = 4096  # lines of a long page that are looked at in one row
 #: Of each share: the ordinary page that 99 of 100 stay below, where a collection has no ordinary pages to measure it on.
 ORDINARY = {"top": 0.12, "pairs": 0.24, "links": 0.38, "tags": 0.0, "separators": 0.19, "lines": 0.2}
@@ -115,8 +117,11 @@ def _varied(own: list[str], ends: int) -> bool:
     return 2 * sum(len(set(own[i : i + STRETCH])) for i in range(0, len(own), STRETCH)) >= len(own)
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(m, pa.int64()) for m in MEASURES], ("hidden", pa.list_(pa.int32())), ("text", pa.string())])
-_DDL = "doc_id bigint, lang string, " + ", ".join(f"{m} bigint" for m in MEASURES) + ", hidden array<int>, text string"
+_OPEN = pa.list_(pa.struct([("line_no", pa.int32()), ("key", pa.int64())]))
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(m, pa.int64()) for m in MEASURES], ("hidden", pa.list_(pa.int32())),
+                     ("keys", pa.list_(pa.int64())), ("open", _OPEN)])
+LINES_DDL = "hidden array<int>, keys array<bigint>, open array<struct<line_no:int,key:bigint>>"
+_DDL = "doc_id bigint, lang string, " + ", ".join(f"{m} bigint" for m in MEASURES) + ", " + LINES_DDL
 
 
 def shown_and_hidden(body: layout.Element) -> tuple[list[str], list[int]]:
@@ -139,39 +144,68 @@ def once(numbers: list[int], lines: list[str | None]) -> list[tuple[int, str | N
     return sorted(own.items())
 
 
-def _look(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, numbers, lines in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                body = layout.build(once(numbers, lines))
-                shown, hidden = shown_and_hidden(body)
-                # boxes and prompts are furniture of ordinary pages; what is left decides
-                rows.append({"doc_id": doc_id, **measure(shown), "hidden": hidden, "text": layout.render(body) if with_text else None})
-            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+_DIGITS = re.compile("[0-9]+")
 
-    return run
 
+def line_key(line: str) -> int:
+    """64 bits of a line without regard to case, white space and numbers: lines of one key count as the same."""
+    return xxhash.xxh64_intdigest(_DIGITS.sub("0", " ".join(line.split())).lower()) - (1 << 63)
 
-def looked_at(trec_line: DataFrame, with_text: bool = False, part: int = PART) -> DataFrame:
-    """A row per page: its measures and the numbers of its hidden lines.
+
+def keys_and_open(lines: list[tuple[int, str | None]], hidden: list[int]) -> tuple[list[int], list[dict]]:
+    """The different keys of some lines, and number and key of those that aren't hidden."""
+    gone = set(hidden)
+    keyed = [(n, line_key(x)) for n, x in lines if x and not x.isspace()]
+    return list({k for _, k in keyed}), [{"line_no": n, "key": k} for n, k in keyed if n not in gone]
+
+
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc_id, numbers, lines in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            page = once(numbers, lines)
+            # boxes and prompts are furniture of ordinary pages; what is left decides
+            shown, hidden = shown_and_hidden(layout.build(page))
+            keys, open_ = keys_and_open(page, hidden)
+            rows.append({"doc_id": doc_id, **measure(shown), "hidden": hidden, "keys": keys, "open": open_})
+        yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+
+
+_TEXT = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+
+def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc_id, numbers, lines, gone in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            gone = set(gone or ())
+            page = [(n, None if n in gone else x) for n, x in once(numbers, lines)]
+            rows.append({"doc_id": doc_id, "text": layout.render(layout.build(page))})
+        yield pa.RecordBatch.from_pylist(rows, schema=_TEXT)
+
+
+def _rows(trec_line: DataFrame) -> DataFrame:
+    return trec_line.where("doc_id IS NOT NULL AND line_no IS NOT NULL").select("doc_id", "line_no", "line")
+
+
+def looked_at(trec_line: DataFrame, part: int = PART) -> DataFrame:
+    """A row per page: its measures, the numbers of its hidden lines, the keys of all lines, and number and key of the others.
 
     Pages with line numbers outside of 1 … ``part`` and without markup are
     looked at in parts, each a row without measures, and have a row of
-    measures without hidden lines.  With ``with_text`` each page is a row, as
-    is its text.
+    measures without lines.
     """
-    rows = trec_line.where("doc_id IS NOT NULL AND line_no IS NOT NULL").select("doc_id", "line_no", "line")
-    outside = rows.where((F.col("line_no") > part) | (F.col("line_no") < 1)).select("doc_id").distinct()
+    rows = _rows(trec_line)
+    outside = materialize(rows.where((F.col("line_no") > part) | (F.col("line_no") < 1)).select("doc_id").distinct(), "long-pages")
     in_parts = None
-    if not with_text and not (outside := materialize(outside, "long-pages")).isEmpty():
+    if not outside.isEmpty():
         marked = rows.join(outside, "doc_id", "left_semi").where(F.col("line").rlike(layout.MARKUP)).select("doc_id").distinct()
         long = materialize(outside.join(marked, "doc_id", "left_anti"), "long-pages")
         in_parts = long_pages.looked_at(rows.join(long, "doc_id", "left_semi"), part)
         rows = rows.join(long, "doc_id", "left_anti")
     pages = rows.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line")).alias("lines"))
-    whole = pages.select("doc_id", F.col("lines.line_no"), F.col("lines.line")).mapInArrow(_look(with_text), _DDL)
-    return whole if in_parts is None else whole.drop("text").unionByName(in_parts).withColumn("text", F.lit(None).cast("string"))
+    whole = pages.select("doc_id", F.col("lines.line_no"), F.col("lines.line")).mapInArrow(_look, _DDL)
+    return whole if in_parts is None else whole.unionByName(in_parts)
 
 
 def verdicts(pages: DataFrame) -> DataFrame:
@@ -210,25 +244,48 @@ def spam_pages(trec_line: DataFrame) -> DataFrame:
     one line, of two that differ the larger text counts; a page of null and
     blank lines is no spam, and an empty table gives no rows.
     """
-    return verdicts(materialize(looked_at(trec_line).drop("text", "hidden"), "pages")).where("spam").select("doc_id")
+    return verdicts(materialize(looked_at(trec_line).drop("hidden", "keys", "open"), "pages")).where("spam").select("doc_id")
+
+
+def repeated(pages: DataFrame, sites: DataFrame, least: int = REPEATED) -> DataFrame:
+    """``doc_id, line_no`` of lines that aren't hidden, but stand on at least ``least`` pages of their site.
+
+    ``pages`` are rows of ``looked_at``, ``sites`` has ``doc_id, site``; pages
+    without a site have none.  Keys are counted once per page (once per part
+    of a long one) and folded in the task before the exchange.
+    """
+    placed = pages.where("keys IS NOT NULL").select("doc_id", "keys", "open").join(sites.where("site IS NOT NULL").select("doc_id", F.xxhash64("site").alias("site")), "doc_id")
+    counted = placed.select("site", F.explode("keys").alias("key")).groupBy("site", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    lines = placed.select("doc_id", "site", F.explode("open").alias("x")).select("doc_id", "site", "x.line_no", "x.key")
+    return lines.join(counted.select("site", "key"), ["site", "key"], "left_semi").select("doc_id", "line_no")
 
 
-def furniture(trec_line: DataFrame) -> DataFrame:
+def furniture(trec_line: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     """``doc_id, line_no`` of lines that are not the article, on pages that have one, each once.
 
-    Null and blank lines are in no row, nor are rows without page or line
-    number.  An empty table gives no rows; lines of any length are looked at whole.
+    With ``sites`` (``doc_id, site``), lines that a site repeats from page to
+    page are furniture whatever they say.  Null and blank lines are in no row,
+    nor are rows without page or line number.  An empty table gives no rows;
+    lines of any length are looked at whole.
     """
-    pages = materialize(looked_at(trec_line).drop("text"), "pages")
+    pages = materialize(looked_at(trec_line), "pages")
     spam = verdicts(pages).where("spam").select("doc_id")
-    return pages.where("hidden IS NOT NULL").join(spam, "doc_id", "left_anti").select("doc_id", F.explode("hidden").alias("line_no"))
+    found = pages.where("hidden IS NOT NULL").select("doc_id", F.explode("hidden").alias("line_no"))
+    if sites is not None:
+        found = found.unionByName(repeated(pages, sites))
+    return found.join(spam, "doc_id", "left_anti")
 
 
-def main_texts(trec_line: DataFrame) -> DataFrame:
-    """``doc_id, text``: the rendered article of every page that has one, a row per page.
+def main_texts(trec_line: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """``doc_id, text``: the rendered article of every page that has one, a row per page, which therefore holds all of its lines.
 
     A page whose article is empty has an empty text.
     """
-    pages = materialize(looked_at(trec_line, with_text=True).drop("hidden"), "pages")
+    pages = materialize(looked_at(trec_line), "pages")
     spam = verdicts(pages).where("spam").select("doc_id")
-    return pages.join(spam, "doc_id", "left_anti").select("doc_id", "text")
+    lines = _rows(trec_line).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line")).alias("lines")).join(spam, "doc_id", "left_anti")
+    gone = F.lit(None).cast("array<int>").alias("gone")
+    if sites is not None:
+        lines = lines.join(repeated(pages, sites).groupBy("doc_id").agg(F.collect_list("line_no").alias("gone")), "doc_id", "left")
+        gone = F.col("gone")
+    return lines.select("doc_id", F.col("lines.line_no"), F.col("lines.line"), gone).mapInArrow(_render, "doc_id bigint, text string")

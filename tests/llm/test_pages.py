@@ -70,6 +70,18 @@ def test_furniture_leaves_out_spam_pages(spark, rows):
     assert rows(spam.furniture(df)) == sorted([(50, n) for n, x in enumerate(PAGE, 1) if x and n not in OWN], key=repr)
 
 
+def test_lines_that_a_site_repeats_are_furniture_in_any_words(spark, rows):
+    own = "The bridge {} was moved to the river in the night, and nobody had seen it."
+    pages = {i: ["Zure pribatutasuna garrantzitsua da.", own.format(f"of {'abcdefgh'[i]}"), "Partekatu orri hau 12", f"Idazlea {'abcdefgh'[i]}"] for i in range(8)}
+    sites = spark.createDataFrame([(i, "one.example" if i < 5 else "two.example" if i < 7 else None) for i in range(8)], "doc_id bigint, site string")
+    df = table(spark, pages)
+    assert rows(spam.furniture(df)) == []
+    assert rows(spam.furniture(df, sites)) == [(i, n) for i in range(5) for n in (1, 3)]
+    texts = {r.doc_id: r.text for r in spam.main_texts(df, sites).collect()}
+    assert texts[0] == "The bridge of a was moved to the river in the night, and nobody had seen it.\n\nIdazlea a" and texts[5].startswith("Zure")
+    assert rows(spam.repeated(spam.looked_at(df, part=2), sites)) == [(i, n) for i in range(5) for n in (1, 3)]
+
+
 def long_page(n):
     """Lines whose roles and counts reach over any cut: menus one per line, boxes, titles, repeated words and lines."""
     kinds = ["Home", "Fekuzu", "News", "", "Related articles", "The mill of the town", "The boat of the lake", "Most read", "1. Why the mill was closed", "2. The ferry of Baro",
@@ -90,6 +102,8 @@ def test_parts_give_the_result_of_the_whole(spark, rows, lines):
     for part in (1, 3, 64):
         got = spam.looked_at(df, part=part)
         assert rows(got.where("lang IS NOT NULL"), *columns) == rows(want, *columns)
+        open_ = lambda x: sorted((r.doc_id, o.line_no, o.key) for r in x.where("hidden IS NOT NULL").collect() for o in r.open)
+        assert open_(got) == open_(want)
         hidden = lambda x: sorted((r.doc_id, n) for r in x.where("hidden IS NOT NULL").collect() for n in r.hidden)
         assert hidden(got) == hidden(want)
 
