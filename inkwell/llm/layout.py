@@ -145,11 +145,16 @@ def _role(raw: str, line: str) -> str | None:
 
 def is_title(line: str) -> bool:
     """A line that could be a headline: some words, no end of a sentence, no row, item or address."""
-    return (len(line) < 140 and 1 < line.count(" ") < 19 and not _ends(line) and not _ROW.search(line)
+    return (len(line) < 140 and 1 < line.count(" ") < 19 and not _ends(line) and not ("|" in line and _ROW.search(line))
             and not _LIST.match(line) and not _TREE.match(line) and not _URL.search(line))
 
 
-def _roles(lines: list[str | None]) -> tuple[list[str | None], list[str]]:
+def is_markup(lines: list[tuple[int, str | None]]) -> bool:
+    """Whether a page's lines have their tags."""
+    return any(x and "<" in x and _MARKUP.search(x) for _, x in lines)
+
+
+def roles(lines: list[str | None]) -> tuple[list[str | None], list[str]]:
     """The role of every line of a page, in order, with its neighbours taken into account, and the flat lines."""
     known = [role(x) for x in lines]
     found, texts = [r for r, _ in known], [t for _, t in known]
@@ -248,12 +253,15 @@ class Element:
 _PARENT = {"li": "ul", "tr": "table", "td": "tr"}
 
 
-def build(lines: list[tuple[int, str | None]]) -> Element:
-    """The tree of a page's lines; blank lines end open lists and tables.  Lines that have their tags get it from these."""
-    if any(x and "<" in x and _MARKUP.search(x) for _, x in lines):
+def build(lines: list[tuple[int, str | None]], known: tuple[list[str | None], list[str]] | None = None) -> Element:
+    """The tree of a page's lines; blank lines end open lists and tables.  Lines that have their tags get it from these.
+
+    ``known`` are the lines' ``roles`` where the caller has them already.
+    """
+    if known is None and is_markup(lines):
         return _from_markup(lines)
     body = Element("body")
-    kinds, texts = _roles([x for _, x in lines])
+    kinds, texts = known or roles([x for _, x in lines])
     seen_text = False
     for (line_no, raw), kind, text in zip(lines, kinds, texts, strict=True):
         last = body.children[-1] if body.children else None
@@ -287,7 +295,7 @@ def _from_markup(lines: list[tuple[int, str | None]]) -> Element:
     """
     body, blocks = Element("body"), markup.blocks(lines)
     visible_ = [b for b in blocks if not b.hidden]
-    kinds, _ = _roles([b.text for b in visible_])
+    kinds, _ = roles([b.text for b in visible_])
     for b, kind in zip(visible_, kinds, strict=True):
         # headings are not items of a box, and rows and preformatted text no prompts
         b.hidden = HIDDEN.get(kind, "") if not (b.tag in ("tr", "pre") or b.tag == "h" and kind == "item") else ""
@@ -316,11 +324,11 @@ def _from_markup(lines: list[tuple[int, str | None]]) -> Element:
 
 
 def _article_tag(raw: str, text: str, seen_text: bool) -> str:
-    if _TREE.match(raw):
+    if raw[0] in "│├└─┌ " and _TREE.match(raw):
         return "pre"
-    if _ROW.search(text):
+    if "|" in text and _ROW.search(text):
         return "tr"
-    if _LIST.match(text):
+    if (text[0] in "-*•‣–—" or text[0].isdigit()) and _LIST.match(text):
         return "li"
     if is_title(text):
         return "h2" if seen_text else "h1"

@@ -10,6 +10,7 @@ list of parts.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 
@@ -136,11 +137,12 @@ def _counted(batches):
         walked, _ = layout.walk(kinds, texts, keys, ENTRIES[entry], tuple(ahead), crumb)
         roles = [None if n == shown else k for n, k in zip(keys, walked, strict=True)]
         hidden = [n for n, k in zip(keys, roles, strict=True) if k is not None]
-        sums, *counted = spam.count([t for t, k in zip(texts, roles, strict=True) if k is None])
-        counts = [("sum", k, n) for k, n in sums.items()]
-        for kind, of in zip(("lang", "word", "pair", "line"), counted, strict=True):
-            counts += [(kind, " ".join(k) if kind == "pair" else k, n) for k, n in of.items()]
-        yield doc_id, hidden, *spam.keys_and_open(list(zip(numbers, lines, strict=True)), hidden), [dict(zip(("kind", "key", "n"), c)) for c in counts]
+        own = [t for t, k in zip(texts, roles, strict=True) if k is None]
+        sums, words, pairs = spam.count(own)
+        counts = [("sum", k, n) for k, n in sums.items()] + [("lang", k, n) for k, n in spam.languages(words).items()]
+        counts += [("word", w, n) for w, n in words.items() if spam.is_content(w)] + [("pair", " ".join(p), n) for p, n in pairs.items() if spam.is_telling(p)]
+        counts += [("line", t, n) for t, n in Counter(own).items()]
+        yield doc_id, hidden, *spam.keys_and_open(list(zip(keys, texts, strict=True)), hidden), [dict(zip(("kind", "key", "n"), c)) for c in counts]
 
     return _each(batches, _COUNTED, one)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import encoding, mixing, packing, site_lines, spam, splitting, term_stats, term_weight, tokens
+from inkwell.plans.heavy import ENTRIES_SQL
 from inkwell.sources.tables import entries, load, page_rows, spread
 from inkwell.storage import materialize
 
@@ -56,7 +57,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_measures(spark: SparkSession, folder: str) -> DataFrame:
-    return spam.verdicts(materialize(spam.looked_at(load(spark, folder, "trec_line")).drop("hidden", "keys", "open"), "pages"))
+    return spam.verdicts(materialize(spam.looked_at(load(spark, folder, "trec_line"), with_lines=False).drop("hidden", "keys", "open"), "pages"))
 
 
 def _sites(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,13 +142,6 @@ QUERIES = {
     "p10_pieces": p10_pieces,
 }
 
-_ENTRIES = """
-  SELECT lower(trim(word)) AS word, doc_id,
-         max(struct_pack(l := loaded_at, o := occurrence)).o AS occurrence
-  FROM list_pointer
-  WHERE trim(word) <> '' AND doc_id IS NOT NULL AND occurrence > 0
-  GROUP BY 1, 2"""
-
 _PAGES = r"""
   SELECT doc_id, word_number,
          nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -165,7 +159,7 @@ _REPEATED = f"""
   f AS (SELECT DISTINCT l.doc_id, l.line_no FROM l JOIN c ON l.site = c.site AND l.k = c.k)"""
 
 _MARKED = f"""
-  e AS ({_ENTRIES}),
+  e AS ({ENTRIES_SQL}),
   n AS (SELECT count(DISTINCT doc_id) AS n FROM e),
   w AS (SELECT word, count(*) AS n_pages, CAST(sum(occurrence) AS BIGINT) AS occurrences FROM e GROUP BY word),
   m AS (SELECT w.*, n_pages <= 2 AS rare, n_pages > 0.25 * n AS common FROM w, n)"""
@@ -175,11 +169,11 @@ SQL = {
     "p3_clean_lines": f"""WITH {_REPEATED},
   a AS (SELECT doc_id, line_no, max(line) AS line FROM trec_line WHERE doc_id IS NOT NULL AND line_no IS NOT NULL GROUP BY 1, 2)
 SELECT a.* FROM a ANTI JOIN f ON a.doc_id = f.doc_id AND a.line_no = f.line_no""",
-    "p4_found": f"""WITH e AS ({_ENTRIES}), p AS ({_PAGES}),
+    "p4_found": f"""WITH e AS ({ENTRIES_SQL}), p AS ({_PAGES}),
   d AS (SELECT word FROM e GROUP BY word HAVING count(*) BETWEEN 2 AND 6)
 SELECT e.doc_id, e.word FROM e JOIN d ON d.word = e.word JOIN p ON p.doc_id = e.doc_id
 WHERE e.occurrence * 10 >= p.word_number""",
-    "p4_scores": f"""WITH e AS ({_ENTRIES}), p AS ({_PAGES}),
+    "p4_scores": f"""WITH e AS ({ENTRIES_SQL}), p AS ({_PAGES}),
   d AS (SELECT word, count(*) AS n_pages FROM e GROUP BY word),
   n AS (SELECT count(DISTINCT doc_id) AS n FROM e),
   t AS (SELECT DISTINCT doc_id, word, try_cast(x AS INT) AS pos

@@ -20,7 +20,9 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,27 +61,21 @@ def _function() -> tuple[frozenset[str], dict[str, list[str]]]:
 MEASURES = ["words", "sentences", "function", "top", "pairs", "links", "tags", "separators", "lines", "n_lines"]
 
 
-def count(texts: list[str]) -> tuple[dict[str, int], Counter, Counter, Counter, Counter]:
-    """What of a page's lines (or a part of them) can be added up: sums, and counts by language, content word, pair and line.
-
-    Function words are counted for each language they belong to; a pair of
-    two of them is no repetition.
-    """
-    any_function, function = _function()
-    used: Counter[str] = Counter()
+def count(texts: list[str]) -> tuple[dict[str, int], Counter, Counter]:
+    """What of a page's lines (or a part of them) can be added up: sums, and counts of words and of pairs of words within a line."""
+    any_function, _ = _function()
+    is_function = any_function.__contains__
     words: Counter[str] = Counter()
     pairs: Counter[tuple[str, str]] = Counter()
     sums = dict.fromkeys(SUMS, 0)
     for text in texts:
         low = text.lower()
         own = _WORD.findall(low)
-        mine = [w for w in own if w in any_function]
-        used.update(mine)
         words.update(own)
         pairs.update(zip(own, own[1:]))
         n = len(own)
         sums["words"] += n
-        if n > 4 and 10 * len(mine) >= n:
+        if n > 4 and 10 * sum(map(is_function, own)) >= n:
             ends = len(_END.findall(text))
             if ends and _varied(own, ends):
                 sums["sentences"] += ends
@@ -89,13 +85,27 @@ def count(texts: list[str]) -> tuple[dict[str, int], Counter, Counter, Counter,
             sums["tags"] += n
         sums["separators"] += sum(map(text.count, _SIGNS))
     sums["n_lines"] = len(texts)
+    return sums, words, pairs
+
+
+def languages(words: Counter) -> Counter:
+    """Function words by language; one that several languages have counts for each."""
+    any_function, of = _function()
     by_lang: Counter[str] = Counter()
-    for w, n in used.items():
-        for lang in function[w]:
-            by_lang[lang] += n
-    content = Counter({w: n for w, n in words.items() if len(w) > 2 and not w.isdigit() and w not in any_function})
-    told = Counter({p: n for p, n in pairs.items() if not (p[0] in any_function and p[1] in any_function)})
-    return sums, by_lang, content, told, Counter(texts)
+    for w in any_function & words.keys():
+        for lang in of[w]:
+            by_lang[lang] += words[w]
+    return by_lang
+
+
+def is_content(word: str) -> bool:
+    return len(word) > 2 and not word.isdigit() and word not in _function()[0]
+
+
+def is_telling(pair: tuple[str, str]) -> bool:
+    """Two function words after each other are no repetition."""
+    any_function = _function()[0]
+    return pair[0] not in any_function or pair[1] not in any_function
 
 
 SUMS = ["words", "sentences", "links", "tags", "separators", "n_lines"]
@@ -104,10 +114,11 @@ MEASURES = ["words", "sentences", "function", "top", "pairs", "links", "tags", "
 
 def measure(texts: list[str]) -> dict[str, int | str]:
     """Counts over a page's lines without its furniture; shares are these by ``words`` (``lines`` by ``n_lines``)."""
-    sums, by_lang, content, pairs, lines = count(texts)
+    sums, words, pairs = count(texts)
+    by_lang = languages(words)
     lang = max(by_lang, key=lambda x: (by_lang[x], x)) if by_lang else ""
-    return {"lang": lang, **sums, "function": by_lang[lang], "top": sum(sorted(n for n in content.values() if n > 2)[-3:]),
-            "pairs": sum(n - 1 for n in pairs.values() if n > 1), "lines": sum(n - 1 for n in lines.values())}
+    return {"lang": lang, **sums, "function": by_lang[lang], "top": sum(sorted(n for w, n in words.items() if n > 2 and is_content(w))[-3:]),
+            "pairs": sum(n - 1 for p, n in pairs.items() if n > 1 and is_telling(p)), "lines": len(texts) - len(set(texts))}
 
 
 def _varied(own: list[str], ends: int) -> bool:
@@ -137,6 +148,8 @@ def shown_and_hidden(body: layout.Element) -> tuple[list[str], list[int]]:
 
 def once(numbers: list[int], lines: list[str | None]) -> list[tuple[int, str | None]]:
     """Lines in order; of a line delivered twice, the larger text."""
+    if all(a < b for a, b in zip(numbers, numbers[1:])):
+        return list(zip(numbers, lines, strict=True))
     own: dict[int, str | None] = {}
     for n, line in zip(numbers, lines, strict=True):
         if n not in own or (line or "") > (own[n] or ""):
@@ -147,28 +160,47 @@ def once(numbers: list[int], lines: list[str | None]) -> list[tuple[int, str | N
 _DIGITS = re.compile("[0-9]+")
 
 
-def line_key(line: str) -> int:
-    """64 bits of a line without regard to case, white space and numbers: lines of one key count as the same."""
-    return xxhash.xxh64_intdigest(_DIGITS.sub("0", " ".join(line.split())).lower()) - (1 << 63)
+def line_key(flat: str) -> int:
+    """64 bits of a flat line without regard to case and numbers: lines of one key count as the same."""
+    return xxhash.xxh64_intdigest(_DIGITS.sub("0", flat.lower())) - (1 << 63)
 
 
-def keys_and_open(lines: list[tuple[int, str | None]], hidden: list[int]) -> tuple[list[int], list[dict]]:
-    """The different keys of some lines, and number and key of those that aren't hidden."""
+def keys_and_open(flat: list[tuple[int, str]], hidden: list[int]) -> tuple[list[int], list[dict]]:
+    """The different keys of some lines that aren't blank, and number and key of those that aren't hidden."""
     gone = set(hidden)
-    keyed = [(n, line_key(x)) for n, x in lines if x and not x.isspace()]
+    keyed = [(n, line_key(x)) for n, x in flat if x]
     return list({k for _, k in keyed}), [{"line_no": n, "key": k} for n, k in keyed if n not in gone]
 
 
-def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, numbers, lines in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            page = once(numbers, lines)
-            # boxes and prompts are furniture of ordinary pages; what is left decides
-            shown, hidden = shown_and_hidden(layout.build(page))
-            keys, open_ = keys_and_open(page, hidden)
-            rows.append({"doc_id": doc_id, **measure(shown), "hidden": hidden, "keys": keys, "open": open_})
-        yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+def _pages(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch whose columns from the second on are lists of one length; flat columns are far quicker to read than nested ones."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)).tolist()
+    flat = [batch.column(i).flatten().to_pylist() for i in (1, 2)]
+    for doc_id, a, b in zip(batch.column(0).to_pylist(), [0, *ends], ends):
+        yield doc_id, once(flat[0][a:b], flat[1][a:b])
+
+
+def _look(with_lines: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, page in _pages(batch):
+                # boxes and prompts are furniture of ordinary pages; what is left decides
+                if layout.is_markup(page):
+                    shown, hidden = shown_and_hidden(layout.build(page))
+                    flat = [(n, " ".join((x or "").split())) for n, x in page]
+                else:
+                    kinds, texts = known = layout.roles([x for _, x in page])
+                    flat = [(n, x) for (n, _), x in zip(page, texts, strict=True)]
+                    if with_lines:
+                        shown, hidden = shown_and_hidden(layout.build(page, known))
+                    else:  # what the tree would show
+                        shown, hidden = [x for k, x in zip(kinds, texts, strict=True) if k is None], None
+                keys, open_ = keys_and_open(flat, hidden) if with_lines else (None, None)
+                rows.append({"doc_id": doc_id, **measure(shown), "hidden": hidden if with_lines else None, "keys": keys, "open": open_})
+            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+
+    return run
 
 
 _TEXT = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
@@ -188,8 +220,8 @@ def _rows(trec_line: DataFrame) -> DataFrame:
     return trec_line.where("doc_id IS NOT NULL AND line_no IS NOT NULL").select("doc_id", "line_no", "line")
 
 
-def looked_at(trec_line: DataFrame, part: int = PART) -> DataFrame:
-    """A row per page: its measures, the numbers of its hidden lines, the keys of all lines, and number and key of the others.
+def looked_at(trec_line: DataFrame, part: int = PART, with_lines: bool = True) -> DataFrame:
+    """A row per page: its measures, and ``with_lines`` the numbers of its hidden lines, the keys of all lines, and number and key of the others.
 
     Pages with line numbers outside of 1 … ``part`` and without markup are
     looked at in parts, each a row without measures, and have a row of
@@ -204,7 +236,7 @@ def looked_at(trec_line: DataFrame, part: int = PART) -> DataFrame:
         in_parts = long_pages.looked_at(rows.join(long, "doc_id", "left_semi"), part)
         rows = rows.join(long, "doc_id", "left_anti")
     pages = rows.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line")).alias("lines"))
-    whole = pages.select("doc_id", F.col("lines.line_no"), F.col("lines.line")).mapInArrow(_look, _DDL)
+    whole = pages.select("doc_id", F.col("lines.line_no"), F.col("lines.line")).mapInArrow(_look(with_lines), _DDL)
     return whole if in_parts is None else whole.unionByName(in_parts)
 
 
@@ -244,7 +276,7 @@ def spam_pages(trec_line: DataFrame) -> DataFrame:
     one line, of two that differ the larger text counts; a page of null and
     blank lines is no spam, and an empty table gives no rows.
     """
-    return verdicts(materialize(looked_at(trec_line).drop("hidden", "keys", "open"), "pages")).where("spam").select("doc_id")
+    return verdicts(materialize(looked_at(trec_line, with_lines=False).drop("hidden", "keys", "open"), "pages")).where("spam").select("doc_id")
 
 
 def repeated(pages: DataFrame, sites: DataFrame, least: int = REPEATED) -> DataFrame:
