@@ -3,13 +3,16 @@
 1. *Near-twins.*  Words and lines are grouped by what is left without their
    non-ASCII characters.  The form that most rows have is the clean twin of
    the rarer forms; only (form, twin) pairs are joined, never all forms.
-2. *Learning.*  Aligned at their common ASCII characters, a pair leaves gaps.
+2. *Learning.*  Aligned at their common ASCII characters, a pair leaves gaps,
+   and each character of the gaps becomes a learned mapping (garbled, clean).
    Every hypothesis "encoded as X, read as Y" that turns the clean gaps into
-   the garbled ones gets the pair as support, and each character of the gaps
-   becomes a learned mapping.
-3. *Applying.*  On all lines, the learned transformations are undone word by
-   word; the best run of words decides.  How much more usual the text becomes
-   is measured by a character model counted over all lines.
+   the garbled ones gets the pair as support, and its mappings.  Mappings that
+   many pairs agree in and no hypothesis explains are a transformation of
+   their own.
+3. *Applying.*  On all lines, the transformations are undone word by word: by
+   their learned mappings, and by the encoding where no pair showed a
+   character.  The best run of words decides.  How much more usual the text
+   becomes is measured by a character model counted over all lines.
 
 U+FFFD marks text that can't be given back by a mapping; such words are taken
 from their clean twin where there is one.
@@ -17,6 +20,7 @@ from their clean twin where there is one.
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 import unicodedata
@@ -39,7 +43,10 @@ READ_AS = ["cp1252", "latin_1", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp43
 
 MIN_SUPPORT = 2  # different pairs that a transformation must explain to count as learned
 TWIN_ROWS = 3  # rows that a twin must have, and times those of the garbled form
-#: Least gain in log-likelihood: of a multi-byte and a single-byte transformation, learned and not, and on a garbled page.
+OWN_PAIRS, AGREEING, OF_ALL = 3, 0.9, 0.5  # a mapping that no encoding explains: pairs, part of them that agree, and of the character's occurrences
+#: Least gain in log-likelihood (natural: 7 is odds of 1,000 to 1 for the text before) of a multi-byte and a single-byte transformation, learned
+#: and not, and on a page or with characters that are surely garbled.  The fewer texts could come out by chance, the less is asked for: multi-byte
+#: sequences hardly ever decode by chance, single bytes always do, and a page that was read in one wrong way was so throughout.
 GAIN = {"wide": 1.0, "wide_unlearned": 8.0, "single": 7.0, "single_unlearned": 16.0, "wide_page": 0.3, "single_page": 1.5, "marked": 1.0}
 CHANCE = 7.0  # added per word that a multi-byte transformation takes back: other words hardly ever decode
 UNLEARNED_CHARACTERS = 3  # different characters of a word that show a single-byte transformation without learned pairs
@@ -74,9 +81,12 @@ class Transformation:
         self._char = own
         #: characters that garbled text of this kind can hold
         self.domain = frozenset(c for c, b in self._byte.items() if self.wide or own[b] != c)
+        self.mappings: dict[str, str] = {}  # garbled → clean, as pairs showed them
 
     def undo(self, text: str) -> str | None:
-        """The text before, or None if it can't have come about this way."""
+        """The text before, or None if it can't have come about this way: by the learned mappings, where they don't reach by the encoding."""
+        if self.mappings and (before := _mapped(text, self.mappings)) is not None:
+            return before
         for _ in range(self.times):
             data = bytearray()
             for c in text:
@@ -99,6 +109,35 @@ class Transformation:
         return text
 
 
+def _mapped(text: str, mappings: dict[str, str]) -> str | None:
+    """Every run of characters outside ASCII replaced by what its parts of one width map to; None if one has no mapping."""
+    out, upto = [], 0
+    for m in _OUTSIDE_RUN.finditer(text):
+        run = m[0]
+        for width in range(1, min(len(run), 8) + 1):
+            if len(run) % width == 0:
+                parts = [mappings.get(run[i : i + width]) for i in range(0, len(run), width)]
+                if None not in parts:
+                    break
+        else:
+            return None
+        out += [text[upto : m.start()], *parts]
+        upto = m.end()
+    return "".join(out) + text[upto:]
+
+
+class OwnMapping:
+    """A transformation that no listed encoding explains: nothing but learned mappings of one width."""
+
+    def __init__(self, width: int, mappings: dict[str, str]):
+        self.name, self.wide, self.times, self.mappings = f"learned>{width}", width > 1, 1, mappings
+        self._byte: dict[str, int] = {}
+        self.domain = frozenset("".join(mappings))
+
+    def undo(self, text: str) -> str | None:
+        return _mapped(text, self.mappings)
+
+
 @lru_cache(1)
 def hypotheses() -> dict[str, Transformation]:
     """All transformations of the listed encodings that change something, by name."""
@@ -135,6 +174,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of characters, pairs and triples by slot, and of forms: words with two ASCII letters, lines mostly of other letters."""
     total = np.zeros(UNI + BI + TRI, dtype=np.int64)
     forms: Counter[str] = Counter()
+    held = 0
     for batch in batches:
         lines = batch.column(0).to_pylist()
         text = "  ".join(["", *lines, ""])
@@ -146,13 +186,15 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total += np.bincount(pair, minlength=total.size)
         total += np.bincount(triple[near], minlength=total.size)
         for line in lines:
-            forms.update([w for w in line.split(" ") if not w.isascii() and len(w) < 64])
+            forms.update([w for w in line.split(" ") if not w.isascii()])
             other = len(line.encode()) - len(line)
             if 2 * other > len(line) - line.count(" "):
                 forms[line] += 1
-        if len(forms) > 200_000:
+            held += len(line)
+        if len(forms) > 200_000 or held > 64_000_000:  # what a task holds, whatever the lengths of words
             yield _forms(forms)
             forms.clear()
+            held = 0
     yield _forms(forms)
     used = np.flatnonzero(total)
     none = pa.nulls(len(used), pa.string())
@@ -242,33 +284,78 @@ def explain(form: str, twin: str) -> list[str]:
     ]
 
 
-_MAPPINGS = pa.schema([("names", pa.string()), ("garbled", pa.string()), ("clean", pa.string()), ("pairs", pa.int64())])
+_MAPPINGS = pa.schema([("names", pa.string()), ("garbled", pa.string()), ("clean", pa.string()), ("pairs", pa.int64()), ("rows", pa.int64())])
+
+
+def _characters(form: str, twin: str) -> list[tuple[str, str]] | None:
+    """The characters that a pair maps, if all of its gaps became longer by one factor."""
+    garbled, clean = _gaps(form), _gaps(twin)
+    if len(garbled) != len(clean) or garbled == clean or REPLACED in form:
+        return None
+    width = len(garbled[0]) // len(clean[0]) if garbled else 0
+    if width < 1 or any(len(g) != width * len(c) for g, c in zip(garbled, clean, strict=True)):
+        return None
+    return [(g[i * width : (i + 1) * width], x) for g, c in zip(garbled, clean, strict=True) for i, x in enumerate(c)]
 
 
 def _support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found: Counter[tuple[str, str | None, str | None]] = Counter()
-        for form, twin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if names := explain(form, twin):
-                key = " ".join(names)
-                found[key, None, None] += 1
-                for g, c in zip(_gaps(form), _gaps(twin), strict=True):
-                    width = len(g) // len(c)  # a gap whose characters all became equally long splits into them
-                    even = [g[i * width : (i + 1) * width] for i in range(len(c))]
-                    whole = "".join(even) == g and all(hypotheses()[names[0]].undo(e) == x for e, x in zip(even, c))
-                    for e, x in zip(even, c) if whole else [(g, c)]:
-                        found[key, e, x] += 1
-        yield pa.RecordBatch.from_pylist([dict(zip(_MAPPINGS.names, (*k, v))) for k, v in found.items()], schema=_MAPPINGS)
+        found: dict[tuple[str, str | None, str | None], list[int]] = {}
+        for form, twin, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            names = explain(form, twin)
+            key = " ".join(names)
+            shown = _characters(form, twin) or [(g, c) for g, c in zip(_gaps(form), _gaps(twin)) if names and len(c) == 1]
+            # only characters that are mapped one by one say something about other texts
+            table = hypotheses()
+            times = Counter((e, x) for e, x in shown if e != x and (not names or table[names[0]].undo(e) == x))
+            if names:
+                times[None, None] = 1
+            for (e, x), k in times.items():
+                had = found.setdefault((key, e, x), [0, 0])
+                had[0] += 1
+                had[1] += n * k
+        yield pa.RecordBatch.from_pylist([dict(zip(_MAPPINGS.names, (*k, *v))) for k, v in found.items()], schema=_MAPPINGS)
 
 
 def learned_mappings(pairs: DataFrame, twin_rows: int = TWIN_ROWS) -> DataFrame:
-    """``names, garbled, clean, pairs``: character mappings, the transformations that make them, and the twin pairs that show them.
+    """``names, garbled, clean, pairs, rows``: character mappings, the transformations that make them, the twin pairs that show them and how often these have them.
 
-    Rows with null characters count whole pairs.
+    Rows with null characters count whole pairs; those without names are of
+    pairs that no transformation explains.  A mapping is of one character
+    each, so there are at most as many rows as pairs of characters.
     """
     unlike = pairs.where((F.col("form") != F.col("twin")) & (F.col("n_twin") >= twin_rows) & (F.col("n_twin") >= twin_rows * F.col("n")))
-    shown = unlike.select("form", "twin").mapInArrow(_support, "names string, garbled string, clean string, pairs bigint")
-    return shown.groupBy("names", "garbled", "clean").agg(F.sum("pairs").alias("pairs"))
+    shown = unlike.select("form", "twin", "n").mapInArrow(_support, "names string, garbled string, clean string, pairs bigint, rows bigint")
+    return shown.groupBy("names", "garbled", "clean").agg(F.sum("pairs").alias("pairs"), F.sum("rows").alias("rows"))
+
+
+def own_mappings(unexplained: list[tuple[str, str, int, int]], counts: np.ndarray) -> list[OwnMapping]:
+    """Transformations of mappings (garbled, clean, pairs, rows) that no encoding explains, one for each width.
+
+    A mapping counts if nearly all pairs with its garbled part agree in it,
+    and most occurrences of the part's first character stand in such pairs:
+    letters that words merely differ in occur mostly elsewhere.
+    """
+    total: Counter[str] = Counter()
+    of_first: Counter[str] = Counter()
+    for g, _, pairs, rows in unexplained:
+        total[g] += pairs
+        of_first[g[0]] += rows
+    kept: dict[int, dict[str, str]] = {}
+    for g, x, pairs, _ in unexplained:
+        if pairs >= OWN_PAIRS and pairs >= AGREEING * total[g] and of_first[g[0]] >= OF_ALL * counts[ord(g[0]) & (UNI - 1)]:
+            kept.setdefault(len(g), {})[g] = x
+    return [OwnMapping(width, m) for width, m in sorted(kept.items())]
+
+
+def learned(rows: list, support: dict[str, int], counts: np.ndarray) -> tuple[dict[str, dict[str, str]], list[OwnMapping]]:
+    """The mappings of each transformation that was chosen, and the transformations of mappings alone."""
+    mappings: dict[str, dict[str, str]] = {name: {} for name in support}
+    for r in rows:
+        for name in (r["names"] or "").split(" ") if r["garbled"] is not None else ():
+            if name in mappings:
+                mappings[name][r["garbled"]] = r["clean"]
+    return mappings, own_mappings([(r["garbled"], r["clean"], r["pairs"], r["rows"]) for r in rows if not r["names"] and r["garbled"] is not None], counts)
 
 
 def fewest(explained: dict[str, int], min_support: int = MIN_SUPPORT) -> dict[str, int]:
@@ -296,21 +383,33 @@ def fewest(explained: dict[str, int], min_support: int = MIN_SUPPORT) -> dict[st
 # -- applying --------------------------------------------------------------------------------------------------
 
 
+def _with_mappings(mappings: dict[str, dict[str, str]], own: list[OwnMapping]) -> dict[str, Transformation | OwnMapping]:
+    """All transformations by name, those with learned mappings as copies that hold these."""
+    made: dict[str, Transformation | OwnMapping] = dict(hypotheses())
+    for name, m in mappings.items():
+        made[name] = t = copy.copy(made[name])
+        t.mappings = m
+    return made | {t.name: t for t in own}
+
+
 class Restorer:
     """Finds the transformation under which a line becomes most usual, and undoes it."""
 
     LEAST = 0.3  # gain of a run of words below which a line is not looked at further
 
-    def __init__(self, counts: np.ndarray, support: dict[str, int]):
+    def __init__(self, counts: np.ndarray, support: dict[str, int], mappings: dict[str, dict[str, str]] | None = None, own: list[OwnMapping] | None = None):
+        table = _with_mappings(mappings or {}, own or [])
+        support = support | {t.name: MIN_SUPPORT for t in own or []}
         self.model, self.support = CharacterModel(counts), support
         seen = [chr(c) for c in np.flatnonzero(counts[:UNI]) if c > 127 and not 0xD800 <= c < 0xE000]
         usual = {c for c in seen if counts[ord(c)] >= 2 and unicodedata.category(c) not in ("Cc", "Co", "Cn")} - {REPLACED}
         self._usual = frozenset(usual)
         # what a single-byte mix-up hides are letters and signs of running text, not frames and blocks
         plain = {c for c in usual if unicodedata.category(c)[0] in "LP" or "\u00a0" <= c <= "\u00ff" or c in "€™№−"}
-        self._order = sorted(hypotheses().values(), key=lambda t: (-support.get(t.name, 0), t.name))
+        self._order = sorted(table.values(), key=lambda t: (-support.get(t.name, 0), t.name))
         self._rank = {t.name: i for i, t in enumerate(self._order)}
-        self._wide = [(t, t._byte) for t in self._order if t.wide]
+        self._wide = [(t, t._byte) for t in self._order if t.wide and t._byte]
+        self._own_wide = [t for t in self._order if t.wide and not t._byte]
         self._single = [t for t in self._order if not t.wide]
         self._tables = [{ord(c): x for c in t.domain if (x := t.undo(c)) is not None} for t in self._single]
         # per character, as bits: mix-ups that it can stem from, and those that change it
@@ -376,6 +475,7 @@ class Restorer:
         ways = []
         run = _OUTSIDE_RUN.search(word)[0]
         if len(run) > 1:
+            ways += [(self._rank[t.name], before) for t in self._own_wide if own <= t.domain and (before := t.undo(word)) is not None]
             for t, byte in self._wide:
                 # the first run must begin like a sequence of bytes
                 if 0xC1 < byte.get(run[0], 0) < 0xF5 and 0x7F < byte.get(run[1], 0) < 0xC0 and own <= t.domain:
@@ -468,13 +568,13 @@ def _changed(line: str, restored: str | None) -> str | None:
 _in_worker: dict[str, tuple[Restorer, dict[str, tuple[str | None, float, str | None]]]] = {}
 
 
-def _apply(counts, support: dict[str, int]):
+def _apply(counts, support: dict[str, int], mappings: dict[str, dict[str, str]], own: list[OwnMapping]):
     run_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if run_id not in _in_worker:  # a Python worker does many tasks of a run and remembers words and lines
             _in_worker.clear()
-            _in_worker[run_id] = (Restorer(counts.value, support), {})
+            _in_worker[run_id] = (Restorer(counts.value, support, mappings, own), {})
         restorer, known = _in_worker[run_id]
         for batch in batches:
             rows = []
@@ -508,11 +608,12 @@ def garbled_lines(trec_line: DataFrame, min_support: int = MIN_SUPPORT) -> DataF
     counted = statistics(rows.select("line"))
     counts = spark.sparkContext.broadcast(character_counts(counted))  # tables of fixed size
     pairs = twins(counted)
-    # sets of hypotheses, of which there are under 200
-    sets = learned_mappings(pairs).where("garbled IS NULL").collect()
-    support = fewest({r["names"]: r["pairs"] for r in sets}, min_support)
-    found = materialize(rows.mapInArrow(_apply(counts, support), _RESULT_DDL), "candidates")
-    return _with_twins(_decided(found, counts.value, support, min_support), pairs)
+    # mappings of single characters and sets of hypotheses, as many as there are of these, whatever the number of lines
+    shown = learned_mappings(pairs).collect()
+    support = fewest({r["names"]: r["pairs"] for r in shown if r["garbled"] is None}, min_support)
+    mappings, own = learned(shown, support, counts.value)
+    found = materialize(rows.mapInArrow(_apply(counts, support, mappings, own), _RESULT_DDL), "candidates")
+    return _with_twins(_decided(found, counts.value, support | {t.name: min_support for t in own}, min_support), pairs)
 
 
 def _markers(sure: DataFrame, counts: np.ndarray) -> list[str]:
@@ -525,8 +626,8 @@ def _markers(sure: DataFrame, counts: np.ndarray) -> list[str]:
 def _decided(found: DataFrame, counts: np.ndarray, support: dict[str, int], min_support: int) -> DataFrame:
     """Candidates whose gain suffices: by itself, with characters that mark garbled text, or on a page garbled the same way."""
     table = hypotheses()
-    wide = [n for n, t in table.items() if t.wide]
-    learned = [n for n in table if support.get(n, 0) >= min_support]
+    wide = [n for n, t in table.items() if t.wide] + [n for n in support if n not in table and n != "learned>1"]
+    learned = [n for n in (*table, *(n for n in support if n not in table)) if support.get(n, 0) >= min_support]
     is_wide, is_learned = F.col("name").isin(wide), F.col("name").isin(learned)
     need = (
         F.when(is_wide & is_learned, GAIN["wide"]).when(is_wide, GAIN["wide_unlearned"])

@@ -79,3 +79,34 @@ def test_long_lines_and_empty_tables(spark):
     assert got == {(300, 1): " ".join(["für"] * 30_003)}
     assert encoding.garbled_lines(df.limit(0)).collect() == []
     assert encoding.garbled_lines(df.where("doc_id = 0 AND line_no = 99")).collect() == []
+
+
+def test_learned_mappings_are_applied_before_the_encoding():
+    t = encoding._with_mappings({"utf_8>cp1252": {"Ã¼": "ü", "Ã¤": "Ä"}}, [])["utf_8>cp1252"]
+    assert t.undo("fÃ¼r GÃ¤ste") == "für GÄste"  # a mapping says so, against the encoding
+    assert t.undo("fÃ¼r spÃ¶t") == "für spöt"  # no pair showed ö: the encoding
+    assert encoding.hypotheses()["utf_8>cp1252"].mappings == {}
+
+
+def test_an_unlisted_mix_up_is_learned_from_twins(spark):
+    # characters exchanged by a table that is no encoding's: one to one, and one to two
+    table = dict(zip("äöüßéèàôçâ", "ⱥⱦⱨⱪⱬⱱⱳⱶⱸⱺ"))
+    double = {c: "ꙁ" + x for c, x in zip("äöüßéèàôçâ", "ꙃꙅꙇꙉꙋꙍꙏꙑꙓꙕ")}
+    words = ["späte", "Brücke", "Straße", "Gäste", "geöffnet", "forêt", "préférée", "rénovée", "côte", "Mühle", "Hütte", "schön", "grün", "für", "Höhe", "Länge", "große", "weiß",
+             "déjà", "voilà", "très", "après", "reçu", "leçon", "âge", "pâte", "hôtel", "tôt", "père", "mère", "holà", "garçon", "mâle", "fête", "tête"]
+    rows = [(d, 1, " ".join(words[(d + k) % len(words)] for k in range(12))) for d in range(600)]
+    swap = lambda t, m: "".join(m.get(c, c) for c in t)
+    bad = [(1000 + d, 1, swap(rows[d][2], table if d % 2 else double)) for d in range(80)]
+    df = spark.createDataFrame(rows + bad, "doc_id bigint, line_no int, line string")
+    got = {r.doc_id: (r.transformation, r.restored) for r in encoding.garbled_lines(df).collect()}
+    assert set(got) == {d for d, _, _ in bad}
+    for d in (d for d, _, _ in bad if "ê" not in rows[d - 1000][2]):  # which stays as it is and parts a line's runs
+        assert got[d] == ("learned>1" if d % 2 else "learned>2", rows[d - 1000][2])
+
+
+def test_words_that_merely_differ_teach_nothing():
+    counts = encoding.np.zeros(encoding.UNI)
+    counts[ord("ä")] = 1000
+    assert encoding.own_mappings([("ä", "ü", 5, 40)], counts) == []
+    counts[ord("ⱥ")] = 40
+    assert [t.mappings for t in encoding.own_mappings([("ä", "ü", 5, 40), ("ⱥ", "ä", 5, 40)], counts)] == [{"ⱥ": "ä"}]
