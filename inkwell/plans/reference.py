@@ -167,6 +167,19 @@ def run_lines(spark, folder):
     return parsed.select("word", "doc_id", F.size("positions").alias("tf"), F.get("positions", F.lit(0)).alias("first"))
 
 
+def spill_run_file(spark, folder):
+    """Postings written as run lines, sorted by word and doc id over all files, and the files' lines read in order."""
+    heap = load(spark, folder, "heap_line").where("word IS NOT NULL AND doc_id IS NOT NULL AND positions IS NOT NULL")
+    p = heap.groupBy(F.col("word").alias("term"), "doc_id").agg(F.split(F.max("positions"), ",").alias("positions"))
+    path = new_path(spark, "run-file")
+    trec.write_run_lines(p, path)
+    return trec.lines(spark, path).select("at", F.col("line").alias("value"))
+
+
+def plain_decimals(spark, folder):
+    return load(spark, folder, "events").select("event_id", text.plain_decimal("value").alias("line"))
+
+
 def merged_lists(spark, folder):
     """Run lines merged to one list per word, as lines of text."""
     p = load(spark, folder, "heap_line").where("word IS NOT NULL").select("word", "doc_id", "positions").distinct()
@@ -323,6 +336,8 @@ QUERIES = {
     "posting_sizes": posting_sizes,
     "vbyte_roundtrip": vbyte_roundtrip,
     "run_lines": run_lines,
+    "spill_run_file": spill_run_file,
+    "plain_decimals": plain_decimals,
     "merged_lists": merged_lists,
     "snippets_top10": snippets_top10,
     "snippets_all": snippets_all,
@@ -491,6 +506,9 @@ SELECT t.term, t.target, min(post.doc_id) FILTER (post.doc_id >= t.target) AS do
 SELECT word, doc_id, list_sum(list_transform(range(len(p)), lambda i: {_VB.format("CASE WHEN i = 0 THEN p[1] ELSE p[i + 1] - p[i] END")}))::INT AS n_bytes, positions FROM l""",
     "run_lines": """SELECT word, doc_id, len(string_split(positions, ','))::INT AS tf, string_split(positions, ',')[1]::INT AS first
 FROM heap_line WHERE word IS NOT NULL AND positions IS NOT NULL AND doc_id IS NOT NULL""",
+    "spill_run_file": """SELECT row_number() OVER (ORDER BY word, doc_id) - 1 AS at, word || ' ' || doc_id || ',' || p AS value
+FROM (SELECT word, doc_id, max(positions) AS p FROM heap_line WHERE word IS NOT NULL AND doc_id IS NOT NULL AND positions IS NOT NULL GROUP BY 1, 2)""",
+    "plain_decimals": r"SELECT event_id, regexp_replace(CAST(value AS VARCHAR), '\.0$', '') AS line FROM events",
     "merged_lists": """WITH p AS (SELECT DISTINCT word, doc_id, positions FROM heap_line WHERE word IS NOT NULL)
 SELECT word AS term, word || ' ' || string_agg(doc_id || ',' || positions, ' ' ORDER BY doc_id) AS value FROM p GROUP BY 1""",
     "snippets_top10": _search_sql(SOME, "d").replace("WITH ", f"WITH {_SNIPPET.format(p=_PATTERN, n=len(SOME.split())).replace('s AS (', 'sn AS (').replace('FROM s)', 'FROM sn)')},", 1)
