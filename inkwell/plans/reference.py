@@ -133,6 +133,13 @@ def binary_index(spark, folder):
     return index.read_blocks(file, index.open_lists(file, opened.lexicon)).select("term", "block_no", "at", joined("doc_ids"), joined("tfs"))
 
 
+def list_metadata(spark, folder):
+    """What opening a list of that file tells of its blocks, before any of them is read."""
+    opened = _index(spark, folder)
+    file = materialize(index.list_file(opened.blocks), "list-file")
+    return index.open_lists(file, opened.lexicon).select("term", "block_no", "last_doc_id", "doc_size", "freq_size")
+
+
 def binary_lists_from(spark, folder):
     """Cursors over that file: of the words of a query, the doc ids from 100 on, blocks that end before them skipped and frequencies left coded."""
     opened = _index(spark, folder)
@@ -264,6 +271,12 @@ def full_ranks(spark, folder):
     return _fixpoint(spark, folder).ranks
 
 
+def pagerank_scaled(spark, folder):
+    """The ranks in units of 1 / N, to six decimals whatever the number of pages."""
+    n = corpus(spark, folder).where("url IS NOT NULL").select("url").distinct().count()
+    return full_ranks(spark, folder).select("doc_id", F.round(F.col("rank") * max(1, n), 6).alias("rank"))
+
+
 def pagerank_iterations(spark, folder):
     """After how many updates the ranks stand still."""
     return spark.range(1).select(F.lit(_fixpoint(spark, folder).iterations).alias("iterations"))
@@ -331,6 +344,7 @@ QUERIES = {
     "lexicon_file": lexicon_file,
     "page_table_file": page_table_file,
     "binary_index": binary_index,
+    "list_metadata": list_metadata,
     "binary_lists_from": binary_lists_from,
     "next_geq": next_geq,
     "posting_sizes": posting_sizes,
@@ -344,6 +358,7 @@ QUERIES = {
     "url_dictionary": url_dictionary,
     "link_edges": link_edges,
     "pagerank_undivided": pagerank_undivided,
+    "pagerank_scaled": pagerank_scaled,
     "pagerank_iterations": pagerank_iterations,
     "rank_lines": rank_lines,
     "full_ranks": full_ranks,
@@ -496,6 +511,7 @@ FROM b JOIN o ON o.term = b.term AND o.nth // 128 = b.block_no GROUP BY 1, 2""",
                - docid_bytes - freq_bytes)::BIGINT AS at FROM b JOIN offs ON offs.term = b.term)
 SELECT s.term, s.block_no, any_value(s.at) AS at, string_agg(o.doc_id, ',' ORDER BY o.doc_id) AS doc_ids, string_agg(o.tf, ',' ORDER BY o.doc_id) AS tfs
 FROM s JOIN o ON o.term = s.term AND o.nth // 128 = s.block_no GROUP BY 1, 2""",
+    "list_metadata": f"WITH {_BLOCKS} SELECT term, block_no, last_doc_id, docid_bytes AS doc_size, freq_bytes AS freq_size FROM b",
     "binary_lists_from": f"WITH {_TOKENS} SELECT term, doc_id FROM post WHERE doc_id >= 100 AND term IN ({', '.join(f"'{w}'" for w in SOME.split())})",
     "next_geq": f"""WITH {_TOKENS},
   t AS (SELECT DISTINCT lower(trim(word)) AS term, doc_id AS target FROM list_pointer WHERE trim(word) <> '')
@@ -517,6 +533,7 @@ SELECT word AS term, word || ' ' || string_agg(doc_id || ',' || positions, ' ' O
     "url_dictionary": "SELECT url, max(doc_id) AS doc_id FROM documents WHERE url IS NOT NULL GROUP BY url",
     "link_edges": f"WITH {_LINKS} SELECT src, dst FROM e",
     "pagerank_undivided": f"{_RANK} SELECT doc_id, rank FROM final",
+    "pagerank_scaled": f"{_RANK} SELECT doc_id, round(r * n.n, 6) AS rank FROM it, n WHERE k = (SELECT max(k) FROM it)",
     "pagerank_iterations": f"{_RANK} SELECT max(k) AS iterations FROM it",
     "rank_lines": f"{_RANK} SELECT doc_id, regexp_replace(regexp_replace(printf('%.4f', rank), '0+$', ''), '[.]$', '') AS line FROM final",
     "section_offsets": r"""WITH d AS (SELECT doc_id, 'D' || doc_id AS no, coalesce(url, '') AS url, regexp_replace(coalesce(text, ''), '[\r\n]+', chr(10), 'g') AS b FROM documents),
