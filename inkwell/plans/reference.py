@@ -272,9 +272,9 @@ def full_ranks(spark, folder):
 
 
 def pagerank_scaled(spark, folder):
-    """The ranks in units of 1 / N, to six decimals whatever the number of pages."""
+    """The ranks in units of 1 / N, to six decimals whatever the number of pages; halves, which are frequent, go up in spite of the last bits."""
     n = corpus(spark, folder).where("url IS NOT NULL").select("url").distinct().count()
-    return full_ranks(spark, folder).select("doc_id", F.round(F.col("rank") * max(1, n), 6).alias("rank"))
+    return full_ranks(spark, folder).select("doc_id", (F.floor(F.col("rank") * max(1, n) * 1e6 + 0.5001) / 1e6).alias("rank"))
 
 
 def pagerank_iterations(spark, folder):
@@ -533,7 +533,7 @@ SELECT word AS term, word || ' ' || string_agg(doc_id || ',' || positions, ' ' O
     "url_dictionary": "SELECT url, max(doc_id) AS doc_id FROM documents WHERE url IS NOT NULL GROUP BY url",
     "link_edges": f"WITH {_LINKS} SELECT src, dst FROM e",
     "pagerank_undivided": f"{_RANK} SELECT doc_id, rank FROM final",
-    "pagerank_scaled": f"{_RANK} SELECT doc_id, round(r * n.n, 6) AS rank FROM it, n WHERE k = (SELECT max(k) FROM it)",
+    "pagerank_scaled": f"{_RANK} SELECT doc_id, floor(r * n.n * 1e6::DOUBLE + 0.5001::DOUBLE) / 1e6::DOUBLE AS rank FROM it, n WHERE k = (SELECT max(k) FROM it)",
     "pagerank_iterations": f"{_RANK} SELECT max(k) AS iterations FROM it",
     "rank_lines": f"{_RANK} SELECT doc_id, regexp_replace(regexp_replace(printf('%.4f', rank), '0+$', ''), '[.]$', '') AS line FROM final",
     "section_offsets": r"""WITH d AS (SELECT doc_id, 'D' || doc_id AS no, coalesce(url, '') AS url, regexp_replace(coalesce(text, ''), '[\r\n]+', chr(10), 'g') AS b FROM documents),
