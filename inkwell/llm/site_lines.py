@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import digest, lines_of
-from inkwell.storage import new_path
+from inkwell.storage import materialize, new_path
 
 MIN_PAGES = 5
 BUCKETS = 8  # of sites; a larger corpus has more
@@ -42,8 +42,8 @@ def bucketed(pages: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return pages.select("doc_id", bucket.alias("bucket"), "site", "fetched_at")
 
 
-def keyed_lines(trec_line: DataFrame, pages: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``doc_id, line_no, bucket, k1, k2, first, fetched_at`` of every line that can count.
+def keyed_lines(trec_line: DataFrame, placed: DataFrame) -> DataFrame:
+    """``doc_id, line_no, bucket, k1, k2, first, fetched_at`` of every line that can count; ``placed`` are ``bucketed`` pages.
 
     ``first`` is 1 for the first line of its key on a page and 0 for others,
     so that pages are counted by a sum.  Null lines, lines empty after
@@ -53,10 +53,10 @@ def keyed_lines(trec_line: DataFrame, pages: DataFrame, buckets: int = BUCKETS)
     """
     text = trec_line.select("doc_id", "line_no", normalized(F.col("line")).alias("line")).where("line <> ''")
     keys = text.select("doc_id", "line_no", *digest(F.col("line"), names=("l1", "l2")))
-    placed = keys.join(bucketed(pages, buckets).where("site IS NOT NULL"), "doc_id").select(
+    keyed = keys.join(placed.where("site IS NOT NULL"), "doc_id").select(
         "doc_id", "line_no", "bucket", F.xxhash64("site", "l1").alias("k1"), F.xxhash64("l2", "site", F.lit(977)).alias("k2"), "fetched_at").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id", "k1", "k2").orderBy("line_no")) == 1
-    return placed.withColumn("first", first.cast("int"))
+    return keyed.withColumn("first", first.cast("int"))
 
 
 def delta(keyed: DataFrame) -> DataFrame:
@@ -236,7 +236,8 @@ def repeated_lines(trec_line: DataFrame, pages: DataFrame, min_pages: int = MIN_
     """
     spark = trec_line.sparkSession
     store = SiteLines(spark, new_path(spark, "site-lines"), min_pages)
-    for part in store.stage(keyed_lines(trec_line, pages), _later(pages)):
+    placed = materialize(bucketed(pages), "pages")  # used twice
+    for part in store.stage(keyed_lines(trec_line, placed), _later(placed)):
         store.add(part, keep=False)
     found = store.repeated()
     return found if found is not None else _none(spark, "doc_id bigint, line_no int")
@@ -251,11 +252,11 @@ def clean_lines(trec_line: DataFrame, pages: DataFrame, min_pages: int = MIN_PAG
     """
     spark = trec_line.sparkSession
     store = SiteLines(spark, new_path(spark, "site-lines"), min_pages)
-    later = _later(pages)
-    placed = bucketed(pages)
+    placed = materialize(bucketed(pages), "pages")
+    later = _later(placed)
     texts = lines_of(trec_line).join(placed.select("doc_id", "bucket", "fetched_at"), "doc_id", "left")
     texts = store_texts(spark, texts.withColumn("bucket", F.coalesce("bucket", F.lit(BUCKETS))).withColumn("part", later))
-    for i, part in enumerate(store.stage(keyed_lines(trec_line, pages), later)):
+    for i, part in enumerate(store.stage(keyed_lines(trec_line, placed), later)):
         store.add(part, texts.where(F.col("part") == i), keep=False)
     got = store.clean()
     return got if got is not None else _none(spark, "doc_id bigint, line_no int, line string")

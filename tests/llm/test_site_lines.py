@@ -43,7 +43,7 @@ def three_runs(spark, path, sites):
     p = page_rows(spark.createDataFrame([(i, f"http://{sites[i // 9]}/{i}", 1, i) for i in range(18)], "doc_id bigint, url string, word_number int, fetched_at int"))
     placed = site_lines.bucketed(p)
     data = lines(spark, [(i, 1, "menu") for i in range(18)] + [(i, 2, f"own {'abcdefghi'[i % 9]}") for i in range(18)] + [(i, 3, "late") for i in (0, 6, 7, 8)])
-    keyed = site_lines.keyed_lines(data, p)
+    keyed = site_lines.keyed_lines(data, placed)
     texts = data.join(placed.select("doc_id", "bucket"), "doc_id")
     for where in ("doc_id IN (0, 1, 2, 3) OR doc_id > 8", "doc_id IN (4, 5)", "doc_id IN (6, 7, 8)"):
         store = site_lines.SiteLines(spark, path, 4 if "1" in where else store.min_pages)
