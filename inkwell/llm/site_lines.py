@@ -92,7 +92,8 @@ class SiteLines:
 
     def __init__(self, spark: SparkSession, path: str, min_pages: int = MIN_PAGES):
         self.spark, self.path, self.min_pages = spark, path.rstrip("/"), min_pages
-        self.version, self._counts, self._buckets = 0, {}, {}
+        self.version, self._counts, self._buckets = 0, {}, {}  # counts: bucket → version; buckets: version → table → buckets
+        self._unkept: list[DataFrame] = []  # partitions whose lines stay with the caller
         if self._exists(f"{self.path}/manifest"):
             said = [json.loads(r.value) for r in spark.read.text(f"{self.path}/manifest/*").collect()]  # a row per version
             last = max(said, key=lambda x: x["version"])
@@ -144,7 +145,7 @@ class SiteLines:
             self._write(keyed.select(*WHERE, *KEY, "first"), "lines", new)
             keyed = self._read("lines", [new])
         else:
-            self._unkept = [*getattr(self, "_unkept", []), keyed]
+            self._unkept.append(keyed)
         # at most as many rows as there are buckets
         touched = sorted(r["bucket"] for r in keyed.select("bucket").distinct().collect()) if keyed is not None else []
         newly_in: list[int] = []
@@ -173,7 +174,7 @@ class SiteLines:
 
     def _lines_before(self, version: int, buckets: list[int]) -> DataFrame | None:
         kept = self._read("lines", list(range(1, version)), buckets)
-        unkept = [x.where(F.col("bucket").isin(buckets)) for x in getattr(self, "_unkept", [])[:-1]] if buckets else []
+        unkept = [x.where(F.col("bucket").isin(buckets)) for x in self._unkept[:-1]] if buckets else []
         all_ = [x.select(*WHERE, *KEY) for x in ([kept] if kept is not None else []) + unkept]
         return reduce(DataFrame.unionByName, all_) if all_ else None
 
