@@ -34,6 +34,7 @@ _LIST = re.compile(r"^([-*•‣–—] |\d+[.)] |\d+ ?(g|kg|ml|l|cl|dl)\b)")
 #: What tells that lines have their tags.
 MARKUP = r"(?i)</?(html|head|body|title|div|span|p|br|ul|ol|li|dl|dt|dd|table|thead|tbody|tfoot|tr|td|th|caption|h[1-6]|nav|aside|header|footer|main|section|article|form|button|select|option|script|style|noscript|template|pre|blockquote|figure|figcaption|address|a|b|i|em|strong|img)(\s[^<>]*)?/?>"
 _MARKUP = re.compile(MARKUP)
+_COOKIES, _WITH_COOKIES = re.compile(lexicon.COOKIES), re.compile(lexicon.WITH_COOKIES)
 _TREE = re.compile(r"^[│├└─┌ ]{2,}")
 _URL = re.compile(r"https?://|www\.")
 #: Single-byte mix-ups that furniture is looked for under, and characters that such lines show.
@@ -121,6 +122,8 @@ def _role(raw: str, line: str) -> str | None:
     for part, kind in holds:
         if part in low:
             return kind
+    if ("cookie" in low or "куки" in low) and low.count(" ") < lexicon.COOKIE_WORDS and _COOKIES.search(low) and _WITH_COOKIES.search(low):
+        return "consent"
     m = notes.match(low)
     if m:
         return next(k for k, v in m.groupdict().items() if v is not None)

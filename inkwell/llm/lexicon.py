@@ -8,33 +8,43 @@ from __future__ import annotations
 #: Entries of site menus.
 MENU = {
     "en": "about us, archive, business, contact, culture, faq, food, forum, gallery, health, help, home, jobs, news, newsletter, "
-          "opinion, register, search, shop, sign in, sitemap, sport, travel, videos, weather, log in, world, politics, science, technology",
+          "opinion, register, search, shop, sign in, sitemap, sport, travel, videos, weather, log in, world, politics, science, technology, menu, main menu, "
+          "navigation, skip to content, sign up, subscribe, my account, cart, contact us, careers, advertise",
     "de": "anmelden, archiv, bücher, gesundheit, hilfe, kontakt, kultur, meinung, nachrichten, reisen, startseite, wirtschaft, "
           "über uns, wetter, sport, videos, suche, politik, wissen",
     "fr": "accueil, actualités, aide, archives, connexion, culture, météo, nous écrire, santé, vidéos, voyages, à propos, économie, "
           "recherche, sport, opinions, livres",
     "pt": "ajuda, contacto, cultura, economia, entrar, início, notícias, opinião, saúde, sobre nós, viagens, vídeos, arquivo, pesquisa, desporto, livros",
     "pl": "gospodarka, kontakt, książki, kultura, o nas, podróże, pogoda, pomoc, strona główna, wiadomości, zaloguj się, zdrowie, szukaj, archiwum, sport",
+    "es": "acerca de, archivo, ayuda, buscar, contacto, cultura, deportes, economía, entrar, iniciar sesión, inicio, menú, noticias, opinión, registrarse, salud, "
+          "sociedad, sobre nosotros, suscríbete, tienda, viajes",
+    "it": "accedi, aiuto, archivio, cerca, chi siamo, contatti, cronaca, cultura, economia, home page, menu, notizie, politica, registrati, salute, viaggi",
+    "nl": "aanmelden, archief, economie, gezondheid, inloggen, nieuws, over ons, registreren, reizen, winkel, zoeken",
     "ru": "архив, войти, главная, здоровье, контакты, культура, новости, о нас, погода, помощь, путешествия, экономика, поиск, спорт, мнения, книги",
 }
 
 #: Whole lines that prompt, link or head a box.  A number in brackets may follow.
 WHOLE = {
-    "box": "most read, related articles, you may also like, editor’s picks, editor's picks, read more, read also, in this section, popular, trending, "
+    "box": "related stories, related posts, more stories, recommended, recommended for you, latest news, top stories, lo más leído, artículos relacionados, te puede interesar, "
+           "i più letti, articoli correlati, meest gelezen, most read, related articles, you may also like, editor’s picks, editor's picks, read more, read also, in this section, popular, trending, "
            "meistgelesen, mehr zum thema, ähnliche beiträge, lesen sie auch, les plus lus, à lire aussi, sur le même thème, articles liés, "
            "últimas notícias, mais lidas, também lhe pode interessar, leia também, artigos relacionados, podobne artykuły, najczęściej czytane, "
            "czytaj także, polecamy, самое читаемое, похожие статьи, читайте также, популярное",
-    "share": "share this page, share this article with a friend, did you like this? pass it on, send by mail · print · save, artikel teilen, "
+    "share": "tweet, share, share on facebook, share on twitter, share this, email this, pin it, compartir, tuitear, compartir en facebook, condividi, delen, teilen, partager, "
+             "share this page, share this article with a friend, did you like this? pass it on, send by mail · print · save, artikel teilen, "
              "gefällt ihnen dieser beitrag?, per mail verschicken · drucken, partager cet article, vous avez aimé ? faites suivre, "
              "envoyer à un proche · imprimer, partilhar esta página, enviar a um amigo · imprimir, udostępnij tę stronę, wyślij znajomemu · drukuj, "
              "поделиться страницей, отправить другу · печать, gostou? partilhe, podoba się? podaj dalej, понравилось? поделитесь",
-    "prompt": "sign up for our newsletter, newsletter abonnieren, s’abonner à la lettre, s'abonner à la lettre, subscrever a newsletter, "
+    "prompt": "leave a comment, post a comment, leave a reply, comments, load more, show more, subscribe to our newsletter, deja un comentario, comentarios, lascia un commento, "
+              "plaats een reactie, volver arriba, sign up for our newsletter, newsletter abonnieren, s’abonner à la lettre, s'abonner à la lettre, subscrever a newsletter, "
               "zapisz się do newslettera, подписаться на рассылку, log in to leave a comment, kommentar schreiben, réagir, deixe um comentário, "
               "dodaj komentarz, оставить комментарий, back to top, zum seitenanfang, haut de page, voltar ao início, do góry, наверх, "
               "skip to main content, please enable scripts to view this page, zum inhalt springen, aller au contenu, ir para o conteúdo, "
               "przejdź do treści, перейти к содержанию",
-    "ad": "advertisement, sponsored, anzeige, werbung, publicité, publicidade, reklama, реклама",
-    "consent": "accept all, manage settings, ok, got it, accept, reject all, alle akzeptieren, einstellungen ändern, tout accepter, paramétrer, "
+    "ad": "continue reading below, article continues below, story continues below, continue reading, sponsored content, publicidad, pubblicità, advertentie, sigue leyendo, "
+          "advertisement, sponsored, anzeige, werbung, publicité, publicidade, reklama, реклама",
+    "consent": "accept cookies, accept all cookies, allow all, cookie settings, cookie policy, manage cookies, i agree, aceptar cookies, aceptar todo, política de cookies, "
+               "accetta tutto, alles accepteren, cookies akzeptieren, accepter les cookies, accept all, manage settings, ok, got it, accept, reject all, alle akzeptieren, einstellungen ändern, tout accepter, paramétrer, "
                "aceitar, aceitar tudo, opções, zgadzam się, więcej, принять, настроить",
     "legal": "terms of use · privacy · imprint · accessibility, impressum · datenschutz · agb, mentions légales · confidentialité, "
              "termos · privacidade, regulamin · prywatność, условия · конфиденциальность, privacy policy, terms of use, impressum, datenschutz",
@@ -45,7 +55,7 @@ BEGINS = {
     "consent": "we use cookies, this website stores , this website uses , your privacy matters, you can change your choice at any time, wir verwenden cookies, "
                "mit der nutzung unserer seite, nous utilisons des cookies, en poursuivant votre visite, utilizamos cookies, ao continuar aceita, "
                "dalsze korzystanie oznacza, używamy plików, мы используем файлы cookie, продолжая просмотр",
-    "legal": "© , designed and hosted by, no part of this publication may be, the opinions given here are those, nachdruck nur mit, "
+    "legal": "© , copyright © , copyright (c) , (c) 1, (c) 2, copyright 1, copyright 2, todos los derechos reservados, tutti i diritti riservati, designed and hosted by, no part of this publication may be, the opinions given here are those, nachdruck nur mit, "
              "toute reproduction est interdite, é proibida a reprodução, kopiowanie treści bez zgody, перепечатка только с, terms of use · privacy, "
              "impressum · datenschutz, mentions légales ·, termos · privacidade, regulamin · prywatność, условия · конфиденциальность",
     "crumb": "you are here: , sie sind hier: , vous êtes ici: , vous êtes ici : , está aqui: , você está aqui: , jesteś tutaj: , вы здесь: ",
@@ -61,6 +71,13 @@ HOLDS = {
     "legal": "all rights reserved, alle rechte vorbehalten, tous droits réservés, todos os direitos reservados, wszelkie prawa zastrzeżone, все права защищены",
 }
 
+#: With the word for cookies in one line of no more than ``COOKIE_WORDS`` words, any of these makes it a notice.
+COOKIES = r"\b(cookies?|куки)\b"
+COOKIE_WORDS = 24
+WITH_COOKIES = (r"\b(sites?|websites?|use|uses|using|rel(y|ies) on|accept|consent|policy|settings|preferences|browser|privacy|advertising|"
+                r"sitio|web|utiliza|usa|usamos|aceptar|aceptas|política|navegador|sito|utilizza|accetta|seiten?|verwende[tn]?|nutzt|akzeptieren|zustimmen|"
+                r"utilise|utilisons|accepter|politique|navigateur|aceitar|navegação|website|gebruikt|accepteren|strona|używa|akceptuj\w*|сайт|использует|принять)\b")
+
 #: Patterns that a whole short line matches.
 SHAPES = {
     "legal": [r"registered in .+ under number \d+", r"[^,.!?]+, (\d+ [^,.!?]+|[^,.!?]+ \d+), [^,.!?]+"],

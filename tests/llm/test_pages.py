@@ -28,6 +28,18 @@ def test_cookies_in_an_article_stay():
     assert layout.role("")[0] == "blank" and layout.role(None)[0] == "blank"
 
 
+@pytest.mark.parametrize("line", ["Menu", "Accept cookies", "This site relies on cookies.", "Continue reading below", "By the staff", "Tweet", "Copyright 2020 Acme", "Menú",
+                                  "Aceptar cookies", "Este sitio utiliza cookies.", "Sigue leyendo", "Por la redacción", "Tuitear", "Todos los derechos reservados"])
+def test_common_notices(line):
+    assert layout.role(line)[0] in layout.HIDDEN
+
+
+@pytest.mark.parametrize("line", ["She bakes cookies in the town and accepts all orders by post.", "The menu of the evening was short, and nobody read it.", "He sent a tweet about it.",
+                                  "The copyright on the book had run out.", "Share prices fell in the night."])
+def test_their_words_in_an_article(line):
+    assert layout.role(line)[0] is None
+
+
 def test_unnumbered_box_leaves_the_headline():
     lines = ["Related articles", "The mill of the town", "The boat of the lake", "The road to the hill", "The road was closed by the council in the spring."]
     assert layout.hidden_lines(list(enumerate(lines, 1))) == [1, 2, 3]
