@@ -67,7 +67,7 @@ BEGINS = {
 
 #: What a line of the kind holds somewhere.
 HOLDS = {
-    "consent": "and its partners need your consent, und ihre partner benötigen, e os seus parceiros, i partnerzy potrzebują, и партнёры просят, agree to our cookie policy, speichert daten auf ihrem gerät, et ses partenaires souhaitent, guarda dados para, zapisuje dane, хранит данные",
+    "consent": "aceita a nossa política, and its partners need your consent, und ihre partner benötigen, e os seus parceiros, i partnerzy potrzebują, и партнёры просят, agree to our cookie policy, speichert daten auf ihrem gerät, et ses partenaires souhaitent, guarda dados para, zapisuje dane, хранит данные",
     "legal": "all rights reserved, alle rechte vorbehalten, tous droits réservés, todos os direitos reservados, wszelkie prawa zastrzeżone, все права защищены",
 }
 
@@ -92,7 +92,8 @@ SHAPES = {
 }
 
 #: How some longer lines begin that hold further notices.
-RUNS_ON = {"legal": [r"registered in [^.]+ under number \d+ ", r"[^,.!?]+, (\d+ [^,.!?]+|[^,.!?]+ \d+), \S+ (designed and hosted|the opinions given|no part of this)"]}
+RUNS_ON = {"legal": [r"registered in [^.]+ under number \d+ ", r"[^,.!?]+, (\d+ [^,.!?]+|[^,.!?]+ \d+), \S+ (designed and hosted|the opinions given|no part of this|registered in|terms of use|nachdruck nur|"
+                      r"impressum|toute reproduction|mentions légales|é proibida|termos ·|kopiowanie treści|regulamin ·|перепечатка|условия ·)"]}
 
 #: Notes on an author: after the name.
 NOTES = r"\S+ \S+ (\S+ )?(writes for .+ about|schreibt für|écrit pour|escreve para|pisze dla|пишет для) "
