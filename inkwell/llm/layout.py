@@ -94,14 +94,32 @@ def role(raw: str | None) -> tuple[str | None, str]:
         text = _taken_back(raw)
         line = " ".join(text.split())
         kind = _role(text, line)
-        if kind is None and not line.isascii() and _STRANGE.search(line):
-            kind = _strange_role(line)
+        if kind is None and not line.isascii():
+            known, most = _skeletons()
+            # no phrase has more words, and lost characters don't add any
+            kind = (known.get(_skeleton(line)) if line.count(" ") <= most else None) or (_strange_role(line) if _STRANGE.search(line) else None)
         got = (kind, line)
         if len(raw) < 80 and len(_known) < 200_000:
             _known[raw] = got
     return got
 
 
+_OUTSIDE = re.compile("[^\x00-\x7f]+")
+
+
+def _skeleton(line: str) -> str:
+    """What is left of a line without characters outside ASCII, which is all that lost or strange characters leave as it was."""
+    return " ".join(_OUTSIDE.sub("", line.lower()).split())
+
+
+@lru_cache(1)
+def _skeletons() -> tuple[dict[str, str], int]:
+    """Kinds of whole lines that hold such characters, by what they have besides (short ones could be anything), and the most spaces of one."""
+    whole = {**dict.fromkeys(lexicon.menu_entries(), "nav"), **lexicon.whole_lines()}
+    known = {x: kind for x, kind in whole.items() if not x.isascii() and len(_skeleton(x)) > 5}
+    return {_skeleton(x): kind for x, kind in known.items()}, max(x.count(" ") for x in known)
+
+
 def _strange_role(line: str) -> str | None:
     """The role of a line of furniture that was read in a wrong single-byte encoding."""
     for name in _SINGLE:

@@ -87,7 +87,7 @@ SHAPES = {
         r"\S+ \S+ \([^()]+ (post|times|portal|review|online|notes|news)\)",
     ],
     "share": [r"follow .+ for more stories"],
-    "aside": [r"[^:.!?]+: -?\d+ ?°[cf] / [^:.!?]+: -?\d+ ?°[cf]"],
+    "aside": [r"[^:.!?]+: -?\d+ ?[°\ufffd]+[cf] / [^:.!?]+: -?\d+ ?[°\ufffd]+[cf]"],
     "ad": [r".+: .+, \+\d\d( \d+)+"],
 }
 
