@@ -95,9 +95,7 @@ def role(raw: str | None) -> tuple[str | None, str]:
         line = " ".join(text.split())
         kind = _role(text, line)
         if kind is None and not line.isascii():
-            known, most = _skeletons()
-            # no phrase has more words, and lost characters don't add any
-            kind = (known.get(_skeleton(line)) if line.count(" ") <= most else None) or (_strange_role(line) if _STRANGE.search(line) else None)
+            kind = _by_skeleton(line) or (_strange_role(line) if _STRANGE.search(line) else None)
         got = (kind, line)
         if len(raw) < 80 and len(_known) < 200_000:
             _known[raw] = got
@@ -112,12 +110,22 @@ def _skeleton(line: str) -> str:
     return " ".join(_OUTSIDE.sub("", line.lower()).split())
 
 
+def _by_skeleton(line: str) -> str | None:
+    """The role of a line that is, or begins with, a phrase of furniture but for its characters outside ASCII."""
+    known, begins, most = _skeletons()
+    if line.count(" ") > most:  # no phrase has more words, and lost characters don't add any
+        return None
+    left = _skeleton(line)
+    return known.get(left) or next((kind for x, kind in begins if left.startswith(x)), None)
+
+
 @lru_cache(1)
-def _skeletons() -> tuple[dict[str, str], int]:
-    """Kinds of whole lines that hold such characters, by what they have besides (short ones could be anything), and the most spaces of one."""
+def _skeletons() -> tuple[dict[str, str], list[tuple[str, str]], int]:
+    """Kinds of whole lines and beginnings that hold such characters, by what they have besides (short ones could be anything), and the most spaces."""
     whole = {**dict.fromkeys(lexicon.menu_entries(), "nav"), **lexicon.whole_lines()}
     known = {x: kind for x, kind in whole.items() if not x.isascii() and len(_skeleton(x)) > 5}
-    return {_skeleton(x): kind for x, kind in known.items()}, max(x.count(" ") for x in known)
+    begins = [(k, kind) for starts, kind in lexicon.beginnings() for x in starts if not x.isascii() and len(k := _skeleton(x)) > 8]
+    return {_skeleton(x): kind for x, kind in known.items()}, begins, max(x.count(" ") for x in known)
 
 
 def _strange_role(line: str) -> str | None:

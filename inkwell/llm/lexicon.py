@@ -62,6 +62,8 @@ BEGINS = {
     "byline": "posted by , published by , veröffentlicht von , publié par , publicado por , opublikował , опубликовал ",
     "share": "folgen sie uns, suivez-nous, siga-nos, obserwuj nas, следите за нами",
     "box": "latest from , neues von , aktuelles von , dernières nouvelles de , najnowsze z , новое на ",
+    "teaser": "read next: , read more: , related: , lesen sie auch: , weiterlesen: , à lire aussi: , à lire aussi : , leia também: , leia a seguir: , czytaj także: , czytaj dalej: , "
+              "читайте также: , читайте далее: , lea también: , leggi anche: , lees ook: ",
     "aside": "tags: , schlagwörter: , mots-clés: , tagi: , теги: , метки: ",
 }
 

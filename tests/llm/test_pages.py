@@ -30,7 +30,7 @@ def test_cookies_in_an_article_stay():
 
 @pytest.mark.parametrize("line", ["Menu", "Accept cookies", "This site relies on cookies.", "Continue reading below", "By the staff", "Tweet", "Copyright 2020 Acme", "Menú",
                                   "Aceptar cookies", "Este sitio utiliza cookies.", "Sigue leyendo", "Por la redacción", "Tuitear", "Todos los derechos reservados", "Terms of use \ufffd Privacy \ufffd Imprint \ufffd Accessibility",
-                                  "NOT\ufffdCIAS", "\ufffdltimas not\ufffdcias", "Dosasuth: 16 \ufffdC / Femise: 10 \ufffdC", "Ao continuar, aceita a nossa política."])
+                                  "NOT\ufffdCIAS", "Read next: How the mill was sold", "Ver\ufffdffentlicht von A B am 3. M\ufffdrz", "\ufffdltimas not\ufffdcias", "Dosasuth: 16 \ufffdC / Femise: 10 \ufffdC", "Ao continuar, aceita a nossa política."])
 def test_common_notices(line):
     assert layout.role(line)[0] in layout.HIDDEN
 
