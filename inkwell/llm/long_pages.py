@@ -142,7 +142,8 @@ def _counted(batches):
         counts = [("sum", k, n) for k, n in sums.items()] + [("lang", k, n) for k, n in spam.languages(words).items()]
         counts += [("word", w, n) for w, n in words.items() if spam.is_content(w)] + [("pair", " ".join(p), n) for p, n in pairs.items() if spam.is_telling(p)]
         counts += [("line", t, n) for t, n in Counter(own).items()]
-        yield doc_id, hidden, *spam.keys_and_open(list(zip(keys, texts, strict=True)), hidden), [dict(zip(("kind", "key", "n"), c)) for c in counts]
+        known, open_ = spam.keys_and_open(list(zip(keys, texts, strict=True)), hidden)
+        yield doc_id, hidden, known, [dict(zip(("line_no", "key"), x)) for x in open_], [dict(zip(("kind", "key", "n"), c)) for c in counts]
 
     return _each(batches, _COUNTED, one)
 

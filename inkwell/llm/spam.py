@@ -165,11 +165,25 @@ def line_key(flat: str) -> int:
     return xxhash.xxh64_intdigest(_DIGITS.sub("0", flat.lower())) - (1 << 63)
 
 
-def keys_and_open(flat: list[tuple[int, str]], hidden: list[int]) -> tuple[list[int], list[dict]]:
+def keys_and_open(flat: list[tuple[int, str]], hidden: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
     """The different keys of some lines that aren't blank, and number and key of those that aren't hidden."""
     gone = set(hidden)
     keyed = [(n, line_key(x)) for n, x in flat if x]
-    return list({k for _, k in keyed}), [{"line_no": n, "key": k} for n, k in keyed if n not in gone]
+    return list({k for _, k in keyed}), [x for x in keyed if x[0] not in gone]
+
+
+class _Lists:
+    """Lists of a batch's rows, kept flat: Arrow takes them far quicker than nested ones."""
+
+    def __init__(self):
+        self.flat, self.ends = [], [0]
+
+    def add(self, values: list) -> None:
+        self.flat += values
+        self.ends.append(len(self.flat))
+
+    def array(self, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), values)
 
 
 def _pages(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -183,7 +197,7 @@ def _pages(batch: pa.RecordBatch) -> Iterator[tuple]:
 def _look(with_lines: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            doc_ids, measures, hiddens, keys, opens = [], [], _Lists(), _Lists(), _Lists()
             for doc_id, page in _pages(batch):
                 # boxes and prompts are furniture of ordinary pages; what is left decides
                 if layout.is_markup(page):
@@ -195,10 +209,22 @@ def _look(with_lines: bool):
                     if with_lines:
                         shown, hidden = shown_and_hidden(layout.build(page, known))
                     else:  # what the tree would show
-                        shown, hidden = [x for k, x in zip(kinds, texts, strict=True) if k is None], None
-                keys, open_ = keys_and_open(flat, hidden) if with_lines else (None, None)
-                rows.append({"doc_id": doc_id, **measure(shown), "hidden": hidden if with_lines else None, "keys": keys, "open": open_})
-            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+                        shown = [x for k, x in zip(kinds, texts, strict=True) if k is None]
+                doc_ids.append(doc_id)
+                measures.append(measure(shown))
+                if with_lines:
+                    own, open_ = keys_and_open(flat, hidden)
+                    hiddens.add(hidden)
+                    keys.add(own)
+                    opens.add(open_)
+            columns = [pa.array(doc_ids, pa.int64()), *[pa.array([m[c] for m in measures], _SCHEMA.field(c).type) for c in ("lang", *MEASURES)]]
+            if with_lines:
+                numbers, of = zip(*opens.flat) if opens.flat else ((), ())
+                pairs = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(of, pa.int64())], fields=list(_OPEN.value_type))
+                columns += [hiddens.array(pa.array(hiddens.flat, pa.int32())), keys.array(pa.array(keys.flat, pa.int64())), opens.array(pairs)]
+            else:
+                columns += [pa.nulls(len(doc_ids), _SCHEMA.field(c).type) for c in ("hidden", "keys", "open")]
+            yield pa.record_batch(columns, schema=_SCHEMA)
 
     return run
 
